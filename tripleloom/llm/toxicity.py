@@ -81,7 +81,7 @@ class Inputs:
         share = (toxic.sum() + 1) / (len(toxic) + 2)
         self.base = float(np.log(share / (1 - share)))
         seen: dict[bytes, list[int]] = {}
-        cells = np.zeros((CELLS, 2))
+        cells, mark = np.zeros((CELLS, 2)), np.zeros(CELLS, dtype=bool)
         vocabulary = list({w for t in texts for w in t})
         places = {w: i for i, w in enumerate(vocabulary)}
         cell, of = word_cells(vocabulary)
@@ -92,17 +92,22 @@ class Inputs:
             for w in unique:
                 seen.setdefault(w, [0, 0])[label] += 1
             if unique:
-                own = np.unique(np.concatenate([cell[edge[places[w]] : edge[places[w] + 1]] for w in unique]))
-                cells[own, label] += 1
+                mark[:] = False
+                mark[np.concatenate([cell[edge[places[w]] : edge[places[w] + 1]] for w in unique])] = True
+                cells[:, label] += mark
         total = np.array([(toxic == 0).sum(), (toxic == 1).sum()], dtype=float)
-        self.words = {w: float(self._odds(np.array([c], float), total)[0]) for w, c in seen.items() if sum(c) >= LEAST}
+        often = [w for w, c in seen.items() if sum(c) >= LEAST]
+        odds = self._odds(np.array([seen[w] for w in often], dtype=float).reshape(-1, 2), total)
+        self.words = dict(zip(often, odds.tolist()))
         self.cells = np.where(cells.sum(axis=1) >= LEAST, self._odds(cells, total), 0.0).astype(np.float32)
 
     @staticmethod
     def _odds(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
-        rate = (counts + 0.5) / (total + 1.0)
-        shrink = counts.sum(axis=1) / (counts.sum(axis=1) + 2.0)
-        return np.clip(np.log(rate[:, 1] / rate[:, 0]) * shrink, -4, 6) / 2
+        """Half the log odds, drawn to 0 where few texts speak: by chance some words are in a few toxic ones only."""
+        rate, seen = (counts + 0.5) / (total + 1.0), counts.sum(axis=1)
+        odds = np.log(rate[:, 1] / rate[:, 0])
+        sure = np.sign(odds) * np.maximum(0, np.abs(odds) - 1.5 / np.sqrt(seen + 0.5))
+        return np.clip(sure * seen / (seen + 5.0), -4, 6) / 2
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         """Network inputs of some words."""
@@ -210,7 +215,7 @@ class Network:
             carry[side] = d * z + self.p[f"u{side}"].T @ d_hidden
         return grad
 
-    def train(self, rows: np.ndarray, ids: np.ndarray, mask: np.ndarray, label: np.ndarray, epochs: int = 8, size: int = 256, rate: float = 0.02) -> None:
+    def train(self, rows: np.ndarray, ids: np.ndarray, mask: np.ndarray, label: np.ndarray, epochs: int = 6, size: int = 256, rate: float = 0.02) -> None:
         """Adam over shuffled batches; ids and mask are (windows, steps)."""
         rng = np.random.default_rng(1)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
@@ -219,7 +224,8 @@ class Network:
             order = rng.permutation(len(label))
             for k in range(0, len(order), size):
                 some = order[k : k + size]
-                grad = self.gradients(rows, ids[some].T, mask[some].T, label[some])
+                used, at = np.unique(ids[some], return_inverse=True)
+                grad = self.gradients(rows[used], at.reshape(ids[some].shape).T, mask[some].T, label[some])
                 step += 1
                 for name, g in grad.items():
                     first[name] = 0.9 * first[name] + 0.1 * g
@@ -263,7 +269,7 @@ class Model:
             order = np.lexsort((-loud, text))
             lead = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
             rest = np.setdiff1d(np.flatnonzero(label[text] == 0), lead)
-            more = np.random.default_rng(side).permutation(rest)[: 2 * len(lead)]
+            more = np.random.default_rng(side).permutation(rest)[: len(lead)]
             use = np.concatenate([lead, more])
             sets.append((rows, ids[use], mask[use], label[text[use]].astype(np.float32)))
             tops.append((rows, text, ids, mask, label))
@@ -274,7 +280,7 @@ class Model:
         self.network.train(rows, ids, np.concatenate([s[2] for s in sets]), np.concatenate([s[3] for s in sets]))
         logits, labels = [], []
         for rows, text, ids, mask, label in tops:
-            gates = self.network.project(rows)
+            gates = self.network.project(rows)  # once for all windows
             found = np.concatenate([self.network.forward(gates, ids[k : k + BATCH].T, mask[k : k + BATCH].T) for k in range(0, len(ids), BATCH)])
             top = np.full(len(label), -np.inf)
             np.maximum.at(top, text, found)

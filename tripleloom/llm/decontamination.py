@@ -58,13 +58,13 @@ def item_windows(items: list[tuple[object, str | None]], window: int = WINDOW) -
     return found
 
 
-_INDEX = "row_ids binary, doc_ids binary, known binary, starts binary, terms binary, ends binary, positions binary"
+_INDEX = "row_ids binary, row_keys binary, doc_ids binary, known binary, starts binary, terms binary, ends binary, positions binary"
 
 
 def _build(term_ids: dict[bytes, int], gap: int):
     """Worker function: texts to index segments."""
 
-    def segment(ids: list[int | None], keys: list[int], texts: list[bytes | None]) -> dict[str, bytes]:
+    def segment(rows: list[int], ids: list[int | None], keys: list[int], texts: list[bytes | None]) -> dict[str, bytes]:
         starts = np.zeros(len(texts) + 1, dtype=np.int64)
         terms, where = [], []
         get = term_ids.get
@@ -81,7 +81,8 @@ def _build(term_ids: dict[bytes, int], gap: int):
         order = np.argsort(term, kind="stable")
         used, counts = np.unique(term, return_counts=True)
         return {
-            "row_ids": np.array(keys, dtype=np.int64).tobytes(),
+            "row_ids": np.array(rows, dtype=np.int64).tobytes(),
+            "row_keys": np.array(keys, dtype=np.int64).tobytes(),
             "doc_ids": np.array([0 if x is None else x for x in ids], dtype=np.int64).tobytes(),
             "known": np.array([x is not None for x in ids], dtype=np.uint8).tobytes(),
             "starts": starts.tobytes(),
@@ -92,13 +93,14 @@ def _build(term_ids: dict[bytes, int], gap: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = batch.column(2).cast(pa.large_binary())
+            rows, ids, keys = (batch.column(k).to_pylist() for k in range(3))
+            texts = batch.column(3).cast(pa.large_binary())
             begin, size = 0, 0
             for i in range(len(texts)):
                 size += len(texts[i].as_py() or b"")
                 if size >= SEGMENT or i == len(texts) - 1:
-                    row = segment(ids[begin : i + 1], keys[begin : i + 1], texts.slice(begin, i + 1 - begin).to_pylist())
+                    part = slice(begin, i + 1)
+                    row = segment(rows[part], ids[part], keys[part], texts.slice(begin, i + 1 - begin).to_pylist())
                     yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in row.values()], names=list(row))
                     begin, size = i + 1, 0
 
@@ -106,7 +108,7 @@ def _build(term_ids: dict[bytes, int], gap: int):
 
 
 def build_index(docs: DataFrame, term_ids: dict[bytes, int], gap: int) -> DataFrame:
-    """Write the segments of ``docs`` (doc_id, row_key, text) for the given terms."""
+    """Write the segments of ``docs`` (row_id, doc_id, row_key, text) for the given terms."""
     return materialize(docs.mapInArrow(_build(term_ids, gap), _INDEX), "postings")
 
 
@@ -185,13 +187,12 @@ def _search(queries: list[tuple[list[tuple[int, int]], int, list[str]]], gap: in
                 else:
                     own.append({"s": s, "e": e})
         known = np.frombuffer(row["known"], dtype=np.uint8)
-        keys = np.frombuffer(row["row_ids"], dtype=np.int64)
         span_type = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(row["segment_id"] * (1 << 24) + np.arange(n), pa.int64()),
+                pa.array(np.frombuffer(row["row_ids"], dtype=np.int64)),
                 pa.array(np.frombuffer(row["doc_ids"], dtype=np.int64), pa.int64(), mask=known == 0),
-                pa.array(keys, pa.int64()),
+                pa.array(np.frombuffer(row["row_keys"], dtype=np.int64)),
                 pa.array(np.diff(seg.starts) - gap, pa.int64()),
                 pa.array(spans, span_type),
                 pa.array([sorted(x) for x in items], pa.list_(pa.string())),
@@ -218,21 +219,21 @@ def benchmark_hits(
     """
     asked = list(item_windows([(r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator()], window).items())
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_key"),
-        F.col("text").cast("string").alias("text"),
+        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_key"), F.col("text").cast("string").alias("text"),
     )
+    gap = window + (span or 0)
+    term_ids = {t: i for i, t in enumerate(sorted({t for w, _ in asked for t in w}))}
+    index = build_index(rows, term_ids, gap)
+    counts = _corpus_counts(index, len(term_ids))
     found = None
     for k in range(0, max(1, len(asked)), windows):
-        block = asked[k : k + windows]
-        term_ids = {t: i for i, t in enumerate(sorted({t for w, _ in block for t in w}))}
-        index = build_index(rows, term_ids, window + (span or 0)).withColumn("segment_id", F.monotonically_increasing_id())
-        counts = _corpus_counts(index, len(term_ids))
         queries = []
-        for terms, items in block:
+        for terms, items in asked[k : k + windows]:
             order = sorted(range(len(terms)), key=lambda i: (counts[term_ids[terms[i]]], i))
             queries.append(([(term_ids[terms[i]], i) for i in order], len(terms), items))
         queries = [q for q in queries if all(counts[t] for t, _ in q[0])]
-        part = index.mapInArrow(_search(queries, window + (span or 0), span), _HITS)
+        part = index.mapInArrow(_search(queries, gap, span), _HITS)
         found = part if found is None else found.unionByName(part)
     if len(asked) <= windows:
         return found

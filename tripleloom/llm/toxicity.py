@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import materialize, unit_hash
 
 SAMPLE = 1_200
 WINDOW = 48
@@ -389,7 +389,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed:
         (F.col("toxic") == 1) & (u < sample / max(1, sizes.get(1, 0))) | (F.col("toxic") == 0) & (u < 2 * sample / max(1, sizes.get(0, 0)))
     )
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(~is_held_out(F.col("doc_id")))
-    rows = picked.dropDuplicates(["doc_id", "toxic"]).join(texts, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "toxic", "text").toArrow()
+    # The sample's size is bounded, so it goes to the texts and no text is shuffled.
+    picked = F.broadcast(materialize(picked.dropDuplicates(["doc_id", "toxic"]), "toxic-sample"))
+    rows = texts.join(picked, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "toxic", "text").toArrow()
     # Label rows are few against texts; should one doc_id repeat, its rows are bounded here.
     rows = rows.slice(0, 6 * sample)
     return Model([words_of((t or "").encode()) for t in rows["text"].to_pylist()], rows["toxic"].to_numpy().astype(np.int64))

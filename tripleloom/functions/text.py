@@ -9,12 +9,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Keys whose names mark the origin of a record (fixed values).
 PROVENANCE = ["source_", "sample_id", "doc_id", "document_id", "chunk_id", "essay_id"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(labels: pd.Series) -> pd.Series:
     """Unicode compatibility composition; Spark has no such function of its own."""
     return labels.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
@@ -69,7 +70,7 @@ def qa_normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(texts: pd.Series) -> pd.Series:
     def strip(s: str | None) -> str | None:
         return None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
@@ -121,7 +122,7 @@ def loose_json(text: str | None):
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def extract_json(texts: pd.Series) -> pd.Series:
     """Canonical JSON of ``loose_json``; plain text comes back as a JSON string."""
     return texts.map(lambda s: None if s is None else json.dumps(loose_json(s), sort_keys=True, ensure_ascii=False))

@@ -95,7 +95,9 @@ def metrics(relations: DataFrame) -> DataFrame:
     sizes = member.groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("giant"))
     nodes = degree.agg(F.count("*").alias("nodes"), F.count_if(F.col("degree") == 1).alias("leaves"))
     triples = relations.agg(F.count("*").alias("triples"))
-    one = triples.crossJoin(nodes).crossJoin(sizes)  # one row each
+    # Each side is one row; they are put together by a constant key.
+    key = F.lit(1).alias("_k")
+    one = triples.select("*", key).join(nodes.select("*", key), "_k").join(sizes.select("*", key), "_k")
     n = F.greatest(F.col("nodes"), F.lit(1))
     return one.select(
         "triples", "nodes", F.round(F.col("nodes") / F.greatest(F.col("triples"), F.lit(1)), 4).alias("nodes_per_triple"), "components", "giant",

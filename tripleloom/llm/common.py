@@ -41,6 +41,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(docs: DataFrame) -> list[Column]:
+    """_id and _row_key, which together tell rows apart unless they are equal in all columns.
+
+    Hashes leave nulls out, so which columns are null is hashed as well.
+    """
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.xxhash64(*cols, *[c.isNull() for c in cols])
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), key.alias("_row_key")]
+
+
+KEYS = ["_id", "_row_key"]
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

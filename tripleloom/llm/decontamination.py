@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import KEYS, materialize, row_keys
 
 WINDOW = 10
 #: Text bytes in one segment, about.
@@ -220,7 +220,7 @@ def benchmark_hits(
     asked = list(item_windows([(r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator()], window).items())
     rows = docs.select(
         F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_key"), F.col("text").cast("string").alias("text"),
+        row_keys(docs)[1].alias("row_key"), F.col("text").cast("string").alias("text"),
     )
     gap = window + (span or 0)
     term_ids = {t: i for i, t in enumerate(sorted({t for w, _ in asked for t in w}))}
@@ -283,8 +283,6 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = materialize(
-        benchmark_hits(docs, bench).filter("size(spans) > 0").select(F.col("row_key").alias("_row_key")).distinct(), "leaks"
-    )
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn("_row_key", F.xxhash64(*cols)).join(bad, "_row_key", "left_anti").select(*cols)
+    hits = benchmark_hits(docs, bench).filter("size(spans) > 0")
+    bad = hits.select(F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("row_key").alias("_row_key")).distinct()
+    return docs.select("*", *row_keys(docs)).join(materialize(bad, "leaks"), KEYS, "left_anti").drop(*KEYS)

@@ -278,14 +278,22 @@ def labelled_pages(count: int = 160, seed: int = 5) -> list[str]:
             lambda: el("div", words(rng.randint(4, 30)), 0, 'style="display:none"'),
         ])()
 
+    def comments() -> str:
+        word = rng.choice("comment comments discussion replies respond disqus reply".split())
+        each = [el("p", words(rng.randint(2, 40)), 0) for _ in range(rng.randint(1, 5))]
+        if rng.random() < 0.6:
+            each = [el("div", x, 0, f'class="{rng.choice(["comment", "reply", "item"])}"') for x in each]
+        head = el("h3", words(2, False), 0) if rng.random() < 0.5 else ""
+        return el(rng.choice(["div", "section"]), head + "".join(each), 0, f'{rng.choice(["class", "id"])}="{word}"')
+
     def foot() -> str:
         return rng.choice([
             lambda: el("footer", "&copy; " + words(rng.randint(3, 20)), 0), lambda: el("footer", el("p", words(rng.randint(3, 30)), 0) + links(3, 0), 0),
-            lambda: el("div", words(rng.randint(3, 20)), 0, 'class="footer"'), lambda: el("section", "".join(el("div", el("p", words(rng.randint(4, 40)), 0), 0, 'class="comment"') for _ in range(rng.randint(1, 5))), 0, 'id="comments"'),
+            lambda: el("div", words(rng.randint(3, 20)), 0, 'class="footer"'), comments,
         ])()
 
     def para() -> str:
-        inner = words(rng.randint(1, 90))
+        inner = words(rng.choice([rng.randint(1, 12), rng.randint(8, 90)]))
         if rng.random() < 0.3:
             inner += " " + el(rng.choice(["a", "b", "em", "span", "strong", "i"]), words(rng.randint(1, 12), False), 1) + " " + words(rng.randint(1, 30))
         if rng.random() < 0.15:
@@ -302,11 +310,13 @@ def labelled_pages(count: int = 160, seed: int = 5) -> list[str]:
 
     pages = []
     for _ in range(count):
-        inner = el("h1", words(rng.randint(1, 9), False), 1) if rng.random() < 0.85 else ""
-        for _ in range(rng.randint(1, 9)):
+        inner = el("h1", words(rng.randint(1, 9), False), 1) if rng.random() < 0.7 else ""
+        for _ in range(rng.choice([1, 1, 2, 3, 5, 7, 9])):
             inner += body()
             if rng.random() < 0.12:
                 inner += part()
+        if rng.random() < 0.4:
+            inner += rng.choice([comments, junk])()
         attrs = rng.choice(["class='content'", "class='article-body'", "id='main'", "class='post entry'", "class='story text'", "id='content'", "role='main'"])
         article = rng.choice([
             lambda: el("article", inner, 1), lambda: el("article", inner, 1), lambda: el("main", inner, 1), lambda: el("main", el("article", inner, 1), 1),
@@ -316,12 +326,15 @@ def labelled_pages(count: int = 160, seed: int = 5) -> list[str]:
         middle = before + article + after + (foot() if rng.random() < 0.8 else "") + (foot() if rng.random() < 0.3 else "")
         if rng.random() < 0.3:
             middle = el("div", middle, 1, rng.choice(["class='page'", "id='wrapper'", "class='container'"]))
+        if rng.random() < 0.25:
+            pages.append(middle)
+            continue
         pages.append(el("html", el("head", el("title", words(4, False), 0) + el("style", "a{}", 0), 0) + el("body", middle, 1), 1))
     return pages
 
 
 @functools.cache
-def fit_pages(count: int = 120, rounds: int = 120, rate: float = 0.08, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_pages(count: int = 300, rounds: int = 200, rate: float = 0.08, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """(node weights, edge potentials) that maximise the labelled pages' likelihood (Adam)."""
     trees = [parse(p) for p in labelled_pages(count)]
     forest = Forest(trees)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, running_sum, unit_hash, word_count
+from .common import KEYS, materialize, row_keys, running_sum, unit_hash, word_count
 
 GOLDEN = 0.6180339887498949
 #: Slots of the whole schedule; a block holds the words of one slot.
@@ -96,14 +96,14 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """Mix ``docs`` (doc_id, source, text, …) and return (documents, schedule).
 
-    documents: row_id, doc_id, source, row_key, size, source_size, target,
+    documents: row_id, doc_id, source, _id and _row_key, size, source_size, target,
     taken (words of the document in the mix, repeats counted). schedule: see
     ``slot_schedule``. Reruns over the same files agree.
     """
     sized = materialize(
         docs.select(
             F.monotonically_increasing_id().alias("row_id"), "doc_id", "source",
-            F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_key"),
+            *row_keys(docs),
             word_count(F.col("text")).alias("size"),
         ),
         "mix-sizes",
@@ -153,15 +153,15 @@ def stage_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     mixed, _ = mix_sources(docs)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5))
-    plan = mixed.groupBy(F.col("row_key").alias("_row_key")).agg(
+    plan = mixed.groupBy(*KEYS).agg(
         F.sum(copies).cast("int").alias("_copies"), F.count("*").alias("_rows")
     )
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_row_key", F.xxhash64(*cols)).join(plan, "_row_key")
+    keyed = docs.select("*", *row_keys(docs)).join(plan, KEYS)
     times = F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_n")
     alone = keyed.filter("_rows = 1").select(*cols, times)
     # Rows equal in all columns stand for each other: one is kept for the copies of all.
-    many = keyed.filter("_rows > 1").groupBy("_row_key").agg(
+    many = keyed.filter("_rows > 1").groupBy(*KEYS).agg(
         F.first("_copies").alias("_copies"), *[F.first(c).alias(f"_c{i}") for i, c in enumerate(cols)]
     )
     many = many.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], times)

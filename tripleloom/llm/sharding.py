@@ -4,7 +4,7 @@ A node is split at the weighted median of its widest metadata dimension until
 leaves are down to the target bytes. Equal texts are one unit of the tree: a
 cut falls between units, nearest to the median. Only where the unit at the
 median weighs more than ``TOLERANCE`` of its node is it cut itself, its rows
-going to either side by a hash, so that even a third of all rows in one group
+going to either side in hash order, so that even a third of all rows in one group
 leaves the shards equal.
 
 Nulls: a null text counts as empty (size 1, CRC 0). Repeated rows are separate
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, running_sum, unit_hash
+from .common import KEYS, materialize, row_keys, running_sum, unit_hash
 
 #: Bins of one histogram; medians are found by refining bins.
 BINS = 256
@@ -131,7 +131,7 @@ def kd_leaves(units: DataFrame, dims: list[str], target_bytes: float) -> tuple[D
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """row_id, doc_id, row_key, size, text_crc32, shard, slot for all rows of ``docs``.
+    """row_id, doc_id, _id, _row_key, size, text_crc32, shard, slot for all rows of ``docs``.
 
     ``shards`` (a power of two) sets the target bytes of a leaf. Dimensions are
     the logarithm of the size and the CRC of the text, both the text's own, so
@@ -143,7 +143,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     rows = materialize(
         docs.select(
             F.monotonically_increasing_id().alias("row_id"), "doc_id",
-            F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_key"),
+            *row_keys(docs),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.xxhash64(text).alias("text_hash"),
@@ -159,15 +159,22 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     total = units.agg(F.sum("bytes")).first()[0] or 0
     leaves, _ = kd_leaves(units, ["d_size", "d_crc"], max(1.0, total / shards))
     leaves = leaves.select("size", "text_crc32", "text_hash", "leaf", "from_u", "to_u")
-    rows = rows.withColumn("_u", unit_hash(F.col("row_id"), F.col("doc_id")))
-    placed = rows.join(leaves, ["size", "text_crc32", "text_hash"]).filter("_u >= from_u and _u < to_u")
+    unit = ["size", "text_crc32", "text_hash"]
+    rows = rows.withColumn("_h", unit_hash(F.col("row_id"), F.col("doc_id")))
+    # Rows of a cut unit are ranked in hash order, so that each side gets its exact share of them.
+    cut = materialize(leaves.filter("from_u > 0 or to_u < 1").select(*unit).distinct().join(units.select(*unit, (F.col("bytes") / F.col("size")).alias("_n")), unit), "shard-cut")
+    hot = rows.join(cut, unit).withColumns({"_bucket": F.floor(F.col("_h") * F.ceil(F.col("_n") / BUCKET)), "_one": F.lit(1).cast("long")})
+    hot = running_sum(hot, unit, [F.col("_h"), F.col("row_id")], "_bucket", "_one", "_rank")
+    hot = hot.withColumn("_u", (F.col("_rank") + 0.5) / F.col("_n")).drop("_bucket", "_one", "_rank", "_n")
+    rows = rows.join(cut, unit, "left_anti").withColumn("_u", F.lit(0.5)).unionByName(hot)
+    placed = rows.join(leaves, unit).filter("_u >= from_u and _u < to_u")
     placed = placed.withColumnRenamed("leaf", "shard").drop("from_u", "to_u")
     placed = materialize(placed, "shard-placed")
     n = placed.count()
-    placed = placed.withColumn("_bucket", F.floor(F.col("_u") * max(1, math.ceil(n / shards / BUCKET))))
+    placed = placed.withColumn("_bucket", F.floor(F.col("_h") * max(1, math.ceil(n / shards / BUCKET))))
     placed = placed.withColumn("_one", F.lit(1).cast("long"))
-    placed = running_sum(placed, ["shard"], [F.col("_u"), F.col("row_id")], "_bucket", "_one", "slot")
-    return placed.select("row_id", "doc_id", "row_key", "size", "text_crc32", "shard", "slot")
+    placed = running_sum(placed, ["shard"], [F.col("_h"), F.col("row_id")], "_bucket", "_one", "slot")
+    return placed.select("row_id", "doc_id", *KEYS, "size", "text_crc32", "shard", "slot")
 
 
 def op7_shard_documents(spark, sf_dir: str) -> DataFrame:
@@ -185,13 +192,12 @@ def stage_shard(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = shard_documents(docs)
     # Rows equal in all columns stand for each other: the n-th of them gets the n-th place.
     same = F.struct("shard", "slot")
-    places = placed.groupBy("row_key").agg(F.count("*").alias("_n"), F.min(same).alias("_first"))
-    keyed = docs.withColumn("_row_key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    keyed = keyed.join(places.withColumnRenamed("row_key", "_row_key"), "_row_key")
+    places = placed.groupBy(*KEYS).agg(F.count("*").alias("_n"), F.min(same).alias("_first"))
+    keyed = docs.select("*", *row_keys(docs)).join(places, KEYS)
     out = [F.col(f"`{c}`") for c in docs.columns]
     alone = keyed.filter("_n = 1").select(*out, F.col("_first.shard").alias("shard"), F.col("_first.slot").alias("slot"))
     # One row of each repeated kind is kept and joined to all of its places.
-    many = keyed.filter("_n > 1").groupBy("_row_key").agg(*[F.first(c).alias(f"_c{i}") for i, c in enumerate(out)])
-    many = many.join(placed.withColumnRenamed("row_key", "_row_key").select("_row_key", "shard", "slot"), "_row_key")
+    many = keyed.filter("_n > 1").groupBy(*KEYS).agg(*[F.first(c).alias(f"_c{i}") for i, c in enumerate(out)])
+    many = many.join(placed.select(*KEYS, "shard", "slot"), KEYS)
     many = many.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], "shard", "slot")
     return alone.unionByName(many)

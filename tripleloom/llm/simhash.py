@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import KEYS, materialize, row_keys
 
 SEED = 42
 SHINGLE = 4
@@ -105,7 +105,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprint_documents(docs: DataFrame, with_key: bool = False) -> DataFrame:
     """doc_id, row_key (a hash of the whole row, or null), fp (the 64 bits as a long)."""
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]) if with_key else F.lit(None).cast("long")
+    key = row_keys(docs)[1] if with_key else F.lit(None).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("row_key"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_fingerprint_batches, "doc_id long, row_key long, fp long")
 
@@ -252,11 +252,11 @@ def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     best = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
     )
-    keep = best.select(F.col("best.row_key").alias("_row_key")).join(
-        found.groupBy(F.col("row_key").alias("_row_key")).agg(F.count("*").alias("_rows")), "_row_key"
-    )
+    id_ = F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id")
+    rows = found.groupBy(id_, F.col("row_key").alias("_row_key")).agg(F.count("*").alias("_rows"))
+    keep = best.select("best.*").select(id_, F.col("row_key").alias("_row_key")).join(rows, KEYS)
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_row_key", F.xxhash64(*cols)).join(keep, "_row_key")
+    keyed = docs.select("*", *row_keys(docs)).join(keep, KEYS)
     alone = keyed.filter("_rows = 1").select(*cols)
-    many = keyed.filter("_rows > 1").groupBy("_row_key").agg(*[F.first(c).alias(f"_c{i}") for i, c in enumerate(cols)])
+    many = keyed.filter("_rows > 1").groupBy(*KEYS).agg(*[F.first(c).alias(f"_c{i}") for i, c in enumerate(cols)])
     return alone.unionByName(many.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)]))

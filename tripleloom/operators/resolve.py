@@ -80,7 +80,7 @@ def positional_zip(left: DataFrame, right: DataFrame, key: str, a: str, b: str)
 
 def first_wins(df: DataFrame, keys: list[str], ordinal: list[str], values: list[str]) -> DataFrame:
     """Of rows with equal keys the one with the smallest ordinal."""
-    best = F.min(F.struct(*ordinal, *values))
+    best = F.min(F.struct(*dict.fromkeys([*ordinal, *values])))
     return df.groupBy(*keys).agg(best.alias("b")).select(*keys, *[F.col(f"b.{v}").alias(v) for v in values])
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, unit_hash
+from .common import KEYS, materialize, row_keys, unit_hash
 
 SAMPLE = 1_200
 WINDOW = 48
@@ -43,9 +43,9 @@ LENGTHS = (3, 4, 5)
 #: A word or n-gram in fewer training texts says nothing.
 LEAST = 3
 #: Words of a text chunk, windows in a batch, and words whose inputs a worker remembers.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 BATCH = 2_048
-MEMORY = 300_000
+MEMORY = 120_000
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -313,8 +313,10 @@ class Scorer:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.gates = [np.zeros((0, 3 * HIDDEN), dtype=np.float32)] * 2
+        """Word 0 pads. Room for gates doubles as words come."""
+        self.place: dict[bytes, int] = {b"": 0}
+        if self.model.constant is None:
+            self.gates = list(self.model.network.project(np.zeros((1, INPUTS), dtype=np.float32)))
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         model = self.model
@@ -328,11 +330,11 @@ class Scorer:
         flat = np.fromiter((place.setdefault(w, len(place)) for t in said for w in t), dtype=np.int32)
         if len(place) > known:
             new = list(place)[known:]
-            added = model.network.project(model.inputs.rows(new))
-            self.gates = [np.concatenate([g, a]) for g, a in zip(self.gates, added)]
-        pad = model.network.project(np.zeros((1, INPUTS), dtype=np.float32))
-        gates = [np.concatenate([g, p]) for g, p in zip(self.gates, pad)]
-        flat = np.append(flat, np.int32(len(place)))
+            for k, added in enumerate(model.network.project(model.inputs.rows(new))):
+                if len(self.gates[k]) < len(place):
+                    self.gates[k] = np.resize(self.gates[k], (2 * len(place), 3 * HIDDEN))
+                self.gates[k][known : len(place)] = added
+        flat = np.append(flat, np.int32(0))
         sizes = np.array([len(t) for t in said], dtype=np.int64)
         text, begin, length = windows_of(sizes)
         start = (np.cumsum(sizes) - sizes)[text] + begin
@@ -342,15 +344,15 @@ class Scorer:
             some = slice(k, k + BATCH)
             mask = step < length[some]
             ids = flat[np.where(mask, start[some] + step, len(flat) - 1)]
-            np.maximum.at(top, text[some], model.network.forward(gates, ids, mask.astype(np.float32)))
+            np.maximum.at(top, text[some], model.network.forward(self.gates, ids, mask.astype(np.float32)))
         return model.probability(top)
 
 
 _SCORERS: dict[str, Scorer] = {}
 
 
-def _run(shared, name: str, text_at: int) -> Callable:
-    """Worker function: adds the score of the text column to each row."""
+def _run(shared, name: str) -> Callable:
+    """Worker function: the text, the last column, becomes its score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _SCORERS:
@@ -358,8 +360,8 @@ def _run(shared, name: str, text_at: int) -> Callable:
             _SCORERS[name] = Scorer(shared.value)
         scorer = _SCORERS[name]
         for batch in batches:
-            found, part, size = [], [], 0
-            for text in batch.column(text_at).cast(pa.large_binary()):
+            found, part, size = [np.empty(0)], [], 0
+            for text in batch.columns[-1].cast(pa.large_binary()):
                 part.append(text.as_py())
                 size += len(part[-1] or b"")
                 if size > CHUNK:
@@ -367,10 +369,8 @@ def _run(shared, name: str, text_at: int) -> Callable:
                     part, size = [], 0
             if part:
                 found.append(scorer.scores(part))
-            values = pa.array(np.concatenate(found) if found else np.empty(0), pa.float64())
-            kept = [c for i, c in enumerate(batch.columns) if i != text_at or text_at < len(batch.columns) - 1]
-            names = [n for i, n in enumerate(batch.schema.names) if i != text_at or text_at < len(batch.columns) - 1]
-            yield pa.RecordBatch.from_arrays([*kept, values], names=[*names, "score"])
+            values = pa.array(np.concatenate(found), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*batch.schema.names[:-1], "score"])
 
     return run
 
@@ -401,7 +401,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_run(shared, uuid.uuid4().hex, 2), "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(_run(shared, uuid.uuid4().hex), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
@@ -413,8 +413,7 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
 def stage_toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     shared = spark.sparkContext.broadcast(fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("text").cast("string").alias("_text"))
-    fields = ", ".join(f"{n} {t}" for n, t in plain.dtypes if n != "_text")
-    scored = plain.mapInArrow(_run(shared, uuid.uuid4().hex, len(names)), f"{fields}, score double")
-    return scored.filter("score < 0.5").select(*[F.col(n).alias(c) for c, n in names.items()])
+    rows = docs.select(*row_keys(docs), F.col("text").cast("string").alias("text"))
+    scored = rows.mapInArrow(_run(shared, uuid.uuid4().hex), "_id long, _row_key long, score double")
+    bad = materialize(scored.filter("score >= 0.5").select(*KEYS).distinct(), "toxic")
+    return docs.select("*", *row_keys(docs)).join(bad, KEYS, "left_anti").drop(*KEYS)

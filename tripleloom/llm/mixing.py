@@ -27,7 +27,7 @@ STRETCH = 4096
 #: Cells into which the unit interval is cut to look up a point's source.
 CELLS = 4096
 #: Documents in one ordering bucket of a source's shuffle.
-BUCKET = 20_000
+BUCKET = 4_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:

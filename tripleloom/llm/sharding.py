@@ -27,7 +27,7 @@ TOLERANCE = 0.004
 #: Leaves whose cuts the driver keeps; beyond it the tree is refused, not bent.
 MAX_LEAVES = 1 << 14
 #: Rows in one numbering bucket of a shard.
-BUCKET = 20_000
+BUCKET = 4_000
 
 
 def _bins(at: Column, tie: Column) -> list[Column]:

@@ -988,10 +988,11 @@ def _with(forest: str) -> str:
 
 @query("b6_constraint_diff", f"SELECT coalesce(a.relation_id, b.relation_id) AS relation_id, coalesce(a.dom, b.dom) AS domain, coalesce(a.rng, b.rng) AS range, a.strength AS was, b.strength AS now FROM ({_with(PARTS_FOREST)}) a FULL OUTER JOIN ({_with(_MOVED)}) b ON a.relation_id = b.relation_id AND a.dom = b.dom AND a.rng = b.rng WHERE a.strength IS DISTINCT FROM b.strength")
 def b6(spark, sf):
-    old, u, t = forest_edges(spark), up(spark, sf), typed(spark, sf)
+    old, u = forest_edges(spark), up(spark, sf)
+    t = cut(typed(spark, sf).select("relation_id", "surface", "subject_type_id", "object_type_id"))
     new, _ = tree.sandbox_reparent(old, u, "supplier", "consumer")
-    before = constraints.induce(t, u)
-    touched = tree.affected_types(u, old, "supplier", "consumer")
+    before = cut(constraints.induce(t, u))
+    touched = cut(tree.affected_types(u, old, "supplier", "consumer"))
     some = constraints.restricted(t, before, touched)
     kept = before.join(before.select("relation_id", F.explode(F.array("domain", "range")).alias("node")).join(touched, "node").select("relation_id"), "relation_id", "left_semi")
     return constraints.difference(kept, constraints.induce(some, tree.closure(new, nodes(spark, sf))))

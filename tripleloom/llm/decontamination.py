@@ -280,6 +280,21 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     )
 
 
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP10_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_SQL_WORDS} AS ws FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS ws FROM benchmark),
+wins AS (SELECT DISTINCT item, ws[i : i + {WINDOW - 1}] AS win FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - {WINDOW - 2}, 2))) AS i FROM items WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT len(win) AS n FROM wins),
+places AS (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS p FROM docs),
+found AS (SELECT DISTINCT rid, p, n, item FROM (SELECT rid, p, n, ws[p : p + n - 1] AS g FROM places, lens WHERE p + n - 1 <= len(ws)) JOIN wins ON g = win),
+hit AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(p, p + n)) FROM found) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM found WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")

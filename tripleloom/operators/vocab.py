@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clean, collapse, compound, item_id, normalize_compound
+from ..plans.checkpoint import cut
 
 
 def _qualifiers(triplets: DataFrame) -> DataFrame:
@@ -66,9 +67,22 @@ def normalized_counts(counted: DataFrame) -> DataFrame:
 def own_groups(counted: DataFrame) -> DataFrame:
     """Groups of one: each normal form is its own canonical label, in sorted order (group, member, canonical_label)."""
     labels = counted.select("normalized").distinct()
-    # Vocabularies are small against mentions: the numbering sorts distinct labels only.
-    index = F.row_number().over(Window.orderBy("normalized")) - 1
-    return labels.select(index.alias("group"), F.col("normalized").alias("member"), F.col("normalized").alias("canonical_label"))
+    return numbered(labels, "normalized").select("group", F.col("normalized").alias("member"), F.col("normalized").alias("canonical_label"))
+
+
+def numbered(labels: DataFrame, column: str) -> DataFrame:
+    """Add ``group``: the place of each distinct label in sorted order, from 0.
+
+    Labels are dealt out by range and numbered within their range, so no task
+    sorts more than its part of the vocabulary.
+    """
+    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(labels.repartitionByRange(parts, column).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return ranged.withColumn("_within", within).join(sizes, "_part").withColumn("group", F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
 
 
 def assemble(counted: DataFrame, groups: DataFrame, kind: str, prefix: str, width: int) -> tuple[DataFrame, DataFrame]:
@@ -85,9 +99,9 @@ def assemble(counted: DataFrame, groups: DataFrame, kind: str, prefix: str, widt
         F.sum("n").alias("count_per_normalized"), F.array_sort(F.collect_list("surface")).alias("surface_forms"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("surface", "n")))).alias("surface_form_counts"),
     )
-    items = items.withColumn("item_id", item_id(prefix, width, F.col("group").cast("int")))
+    items = items.withColumn("item_id", item_id(prefix, width, F.col("group").cast("long")))
     surfaces = form.select("group", "surface").unionAll(groups.select("group", F.col("canonical_label").alias("surface")).distinct())
-    to_id = surfaces.groupBy("surface").agg(F.max("group").alias("group")).select("surface", item_id(prefix, width, F.col("group").cast("int")).alias("item_id"))
+    to_id = surfaces.groupBy("surface").agg(F.max("group").alias("group")).select("surface", item_id(prefix, width, F.col("group").cast("long")).alias("item_id"))
     out = items.select(F.lit(kind).alias("kind"), "item_id", "canonical_label", "count_per_normalized", "surface_forms", "surface_form_counts")
     return out, to_id.select(F.lit(kind).alias("kind"), "surface", "item_id")
 

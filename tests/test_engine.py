@@ -345,3 +345,41 @@ def test_whole_run(spark, tmp_path):
     found = runs.load(number, "constraints").collect()
     assert len(found) == 1 and found[0]["support"] == 3 and found[0]["strength"] == "hard"
     assert run(triplets, runs, DecisionTable(), resume=True) == number
+
+
+def test_compare_types_reports_missing_gold_and_failures(spark):
+    from tripleloom.operators.adjudicate import compare_types
+
+    class Judge:
+        def compare_types(self, ours, gold):
+            if ours == "bad":
+                raise RuntimeError("no answer")
+            return "exact" if ours == gold else None
+
+    pairs = spark.createDataFrame([(1, "a", "a"), (2, "a", None), (3, "bad", "a"), (4, "a", "b"), (5, "a", "a"), (6, None, "")], "id int, ours string, gold string")
+    got = {r["id"]: r["label"] for r in compare_types(pairs, Judge()).collect()}
+    assert got == {1: "exact", 2: "no_gold_type", 3: "judge_call_failed", 4: None, 5: "exact", 6: "no_gold_type"}
+
+
+def test_directions_default_to_forward(spark):
+    from tripleloom.operators.adjudicate import classify_directions
+
+    class Judge:
+        def classify_directions(self, relation, surfaces):
+            if relation == "broken":
+                raise RuntimeError("no answer")
+            return {"owned by": "inverted", "odd": "sideways"}
+
+    rows = [("own", "owns"), ("own", "owned by"), ("own", "odd"), ("broken", "x"), ("broken", "y"), ("lone", "owned by")]
+    got = {(r["relation"], r["surface"]): r["direction"] for r in classify_directions(spark.createDataFrame(rows, "relation string, surface string"), Judge(), cap=2).collect()}
+    assert got.pop(("own", "owned by")) == "inverted"
+    assert set(got.values()) == {"forward"} and len(got) == 5
+
+
+def test_repair_answers_separates_what_cannot_be_trusted(spark):
+    from tripleloom.operators.adjudicate import repair_answers
+
+    said = '{"groups": [{"canonical_label": "A", "members": ["a", "a1"]}]}'
+    rows = [(1, ["a", "a1", "b"], said), (2, ["a", "a1"], "no idea"), (3, ["a", "a1"], None)]
+    got = {(r["cluster"], r["canonical_label"], r["member"]) for r in repair_answers(spark.createDataFrame(rows, "cluster int, members array<string>, answer string")).collect()}
+    assert got == {(1, "a", "a"), (1, "a", "a1"), (1, "b", "b"), (2, "a", "a"), (2, "a1", "a1"), (3, "a", "a"), (3, "a1", "a1")}

@@ -164,7 +164,7 @@ _QA = "trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')
 
 @query("f8_qa_normalize", f"SELECT c_custkey, {_QA.format('t')} AS normal FROM (SELECT c_custkey, c_name || ' owes ' || CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) || '.50, in (' || c_mktsegment || ')!' AS t FROM customer)")
 def f8(spark, sf):
-    t = F.concat("c_name", F.lit(" owes "), F.round("c_acctbal", 0).cast("long").cast("string"), F.lit(".50, in ("), "c_mktsegment", F.lit(")!"))
+    t = F.concat("c_name", F.lit(" owes "), F.rint("c_acctbal").cast("long").cast("string"), F.lit(".50, in ("), "c_mktsegment", F.lit(")!"))
     return table(spark, sf, "customer").select("c_custkey", T.qa_normalize(t).alias("normal"))
 
 
@@ -1156,3 +1156,67 @@ def g8(spark, sf):
     e = edges(spark, sf).filter("kind in (1, 2, 3, 9)").select("sample_id", "s", "r", "o").distinct()
     asked = table(spark, sf, "nation").select(c("n_nationkey").cast("long").alias("sample_id"), c("n_name").alias("mention"))
     return answer_context(e, asked, 5, 2)
+
+
+@query("c1_embed", "SELECT DISTINCT p_name AS text, CAST(1.0 AS DOUBLE) AS norm FROM part")
+def c1(spark, sf):
+    v = similarity.embed(table(spark, sf, "part").select(c("p_name").alias("text")).distinct(), similarity.hashed_embedding)
+    norm2 = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return v.select("text", F.round(F.sqrt(norm2), 4).alias("norm"))
+
+
+@query("x2_repair_groups", "SELECT n_regionkey AS cluster, CASE WHEN n_regionkey <> 0 AND rn <= 2 THEN 'joined' ELSE n_name END AS canonical_label, n_name AS member FROM (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS rn FROM nation)")
+def x2(spark, sf):
+    """Region 0 gets an answer that isn't JSON; the others name two members and leave the rest out."""
+    from ..operators.adjudicate import repair_answers
+
+    g = table(spark, sf, "nation").groupBy(c("n_regionkey").alias("cluster")).agg(F.array_sort(F.collect_list("n_name")).alias("members"))
+    said = F.to_json(F.struct(F.array(F.struct(F.lit("Joined").alias("canonical_label"), F.slice("members", 1, 2).alias("members"))).alias("groups")))
+    return repair_answers(g.withColumn("answer", F.when(c("cluster") == 0, "no idea").otherwise(said)))
+
+
+@query("x7_classify_directions", "SELECT c_mktsegment AS relation, c_name AS surface, CASE WHEN c_name = 'Customer#000000001' THEN 'inverted' ELSE 'forward' END AS direction FROM customer")
+def x7(spark, sf):
+    from ..operators.adjudicate import DecisionTable, classify_directions
+
+    surfaces = table(spark, sf, "customer").select(c("c_mktsegment").alias("relation"), c("c_name").alias("surface"))
+    return classify_directions(surfaces, DecisionTable(directions={"Customer#000000001": "inverted"}))
+
+
+@query("x9_compare_types", "SELECT c_mktsegment AS ours, 'BUILDING' AS gold, CASE WHEN c_mktsegment = 'BUILDING' THEN 'exact' WHEN c_mktsegment = 'MACHINERY' THEN 'more_general' END AS label, count(*) AS n FROM customer GROUP BY ALL")
+def x9(spark, sf):
+    from ..operators.adjudicate import DecisionTable, compare_types
+
+    said = DecisionTable(type_labels={("MACHINERY", "BUILDING"): "more_general"})
+    pairs = table(spark, sf, "customer").select(c("c_mktsegment").alias("ours"), F.lit("BUILDING").alias("gold"))
+    return compare_types(pairs, said).groupBy("ours", "gold", "label").agg(F.count("*").alias("n"))
+
+
+@query("l2_essay_registry", "SELECT p_size AS essay, p_partkey AS ord, p_name AS name, first_value(p_name) OVER (PARTITION BY p_size, p_type, lower(p_name) ORDER BY p_partkey) AS entity FROM part")
+def l2(spark, sf):
+    from ..operators.adjudicate import DecisionTable
+    from ..operators.linking import essay_registry
+
+    m = table(spark, sf, "part").select(c("p_size").alias("essay"), c("p_partkey").alias("ord"), c("p_name").alias("name"), c("p_type").alias("key"))
+    return essay_registry(m, DecisionTable())
+
+
+_SIDES = "SELECT CASE WHEN l_linenumber % 3 = 0 THEN l_linestatus ELSE l_returnflag END AS domain, CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag ELSE l_linestatus END AS range FROM lineitem"
+
+
+def sided(spark, sf):
+    return table(spark, sf, "lineitem").select(c("l_returnflag").alias("domain"), c("l_linestatus").alias("range"), F.when(c("l_linenumber") % 3 == 0, "inverse").otherwise("same").alias("direction"))
+
+
+@query("e3_judged_types", f"SELECT domain, range, count(*) AS n FROM ({_SIDES}) GROUP BY ALL")
+def e3(spark, sf):
+    return evaluate.select_judged_types(sided(spark, sf)).groupBy("domain", "range").agg(F.count("*").alias("n"))
+
+
+@query("e8_raw_type_labels", f"SELECT label, count(*) AS n FROM (SELECT CASE WHEN domain = 'F' THEN 'exact' END AS label FROM ({_SIDES})) GROUP BY label")
+def e8(spark, sf):
+    """The raw types of matched triplets judged again; matches and directions are reused."""
+    from ..operators.adjudicate import DecisionTable, compare_types
+
+    t = evaluate.select_judged_types(sided(spark, sf)).select(c("domain").alias("ours"), F.lit("F").alias("gold"))
+    return compare_types(t, DecisionTable()).groupBy("label").agg(F.count("*").alias("n"))

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -237,7 +238,7 @@ class Network:
 def _window_matrix(texts: list[list[bytes]], place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, ids, mask) of all windows of some texts; the id past the last word pads."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    flat = np.array([place[w] for t in texts for w in t] + [len(place)], dtype=np.int64)
+    flat = np.fromiter(chain((place[w] for t in texts for w in t), [len(place)]), dtype=np.int32)
     text, begin, length = windows_of(sizes)
     start = (np.cumsum(sizes) - sizes)[text] + begin
     step = np.arange(WINDOW)
@@ -264,7 +265,7 @@ class Model:
             label = toxic[half == side]
             rows = np.concatenate([other.rows(list(place)), pad])
             text, ids, mask = _window_matrix(mine, place)
-            loud = rows[ids][:, :, [0, 3]].max(axis=(1, 2)) if len(ids) else np.zeros(0)
+            loud = rows[:, [0, 3]].max(axis=1)[ids].max(axis=1) if len(ids) else np.zeros(0)
             # A toxic text is taught by its loudest window; others by their loudest and one more.
             order = np.lexsort((-loud, text))
             lead = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
@@ -394,7 +395,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed:
     rows = texts.join(picked, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "toxic", "text").toArrow()
     # Label rows are few against texts; should one doc_id repeat, its rows are bounded here.
     rows = rows.slice(0, 6 * sample)
-    return Model([words_of((t or "").encode()) for t in rows["text"].to_pylist()], rows["toxic"].to_numpy().astype(np.int64))
+    seen: dict[bytes, bytes] = {}  # equal words are one object
+    texts = [[seen.setdefault(w, w) for w in words_of((t.as_py() or "").encode())] for t in rows["text"]]
+    return Model(texts, rows["toxic"].to_numpy().astype(np.int64))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

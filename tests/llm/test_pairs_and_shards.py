@@ -200,6 +200,18 @@ def test_mixing_with_large_blocks_follows_blocks(docs):
     assert all(abs(r["t"] - r["want"]) <= 10 * block for r in sums)
 
 
+def test_small_sources_meet_their_targets_below_the_block(spark):
+    """Sources of 20 and 700 words beside 80,000, with blocks of 306 words."""
+    rows = [(i, "w " * 500, "big") for i in range(160)] + [(200, "a b " * 10, "tiny"), (201, "c " * 700, "mid"), (202, None, "void")]
+    mixed, schedule = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), slots=264)
+    found = {r["source"]: r for r in mixed.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("want"), F.first("src").alias("src")).collect()}
+    assert found["tiny"]["t"] == 60 and found["mid"]["t"] == 2100 and found["void"]["t"] == 0
+    assert all(r["t"] == int(r["want"] + 0.5) for r in found.values())
+    words = {r["src"]: r["w"] for r in schedule.groupBy("src").agg(F.sum("words").alias("w")).collect()}
+    assert words == {r["src"]: r["t"] for r in found.values() if r["t"]}
+    assert schedule.count() == schedule.select("slot").distinct().count() and schedule.filter("words <= 0 or pass >= 3").isEmpty()
+
+
 def test_mixing_stage_repeats_documents(spark, docs):
     out = mixing.stage_mix(spark, docs, "")
     mixed, _ = mixing.mix_sources(docs)

@@ -5,6 +5,9 @@ fall into the sources' cumulative shares, so every stretch of the schedule has
 each source close to its share. Slots are ranked per source; the r-th slot of
 a source takes block ``r mod blocks`` of the source's shuffled text, where all
 blocks hold the same number of words (the last of a source may hold fewer).
+What the schedule's resolution leaves over is settled: a source's last slot is
+cut, or slots for its next blocks are added at the end, so that the words taken
+of each source are its target, rounded to a whole number, at any total.
 
 Nulls: a null source is a source of its own and sorts last; a null or empty
 text has size 0 and is taken 0 times. Repeated rows are separate documents.
@@ -69,26 +72,41 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], max_repeats: int)
     )
 
 
-def slot_schedule(sources: DataFrame, total: int, block: int, max_repeats: int) -> DataFrame:
-    """The mix in order: slot, src, block, pass (how often the source ran through before)."""
+def slot_schedule(sources: DataFrame, total: int, block: int) -> DataFrame:
+    """The mix in order: slot, src, block, pass (how often the source ran through before), words (taken of the block)."""
     spark = sources.sparkSession
-    slots = spark.range(round(total / block)).select(
+    n_slots = round(total / block)
+    slots = spark.range(n_slots).select(
         F.col("id").alias("slot"), (((F.col("id") + 1) * GOLDEN) % 1.0).alias("x")
     )
     slots = slots.withColumn("cell", F.floor(F.col("x") * CELLS))
     first, last = F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1))
     shares = sources.filter("hi > lo").select(
-        "src", "lo", "hi", F.ceil(F.col("source_size") / block).alias("blocks"),
-        F.explode(F.sequence(first, last)).alias("cell"),
+        "src", "lo", "hi", F.explode(F.sequence(first, last)).alias("cell"),
     )
-    slots = slots.join(shares, "cell").filter("x >= lo and x < hi")
+    slots = slots.join(shares, "cell").filter("x >= lo and x < hi").select("slot", "src")
     slots = slots.withColumn("stretch", F.floor(F.col("slot") / STRETCH)).withColumn("one", F.lit(1))
-    slots = running_sum(slots, ["src"], [F.col("slot")], "stretch", "one", "rank")
-    slots = slots.withColumn("block", F.col("rank") % F.col("blocks")).withColumn(
-        "pass", F.floor(F.col("rank") / F.col("blocks"))
+    slots = materialize(
+        running_sum(slots, ["src"], [F.col("slot")], "stretch", "one", "rank").select("slot", "src", "rank"), "mix-slots"
     )
-    # A source never runs more often than allowed, also where the schedule rounds up.
-    return slots.filter(F.col("pass") < max_repeats).select("slot", "src", "block", "pass")
+
+    # Passes and the words of the last, partial one; a source is passed over max_repeats times at most, as its target is.
+    size, quota = F.greatest(F.col("source_size"), F.lit(1)), F.floor(F.col("target") + 0.5)
+    plan = sources.filter("source_size > 0").select("src", size.alias("size"), quota.alias("quota"))
+    plan = plan.withColumn("rest", F.col("quota") % F.col("size")).withColumn("blocks", F.expr(f"(size + {block - 1}) div {block}"))
+    plan = plan.withColumn("passes", F.expr("(quota - rest) div size"))
+    plan = plan.withColumn("need", F.expr(f"passes * blocks + (rest + {block - 1}) div {block}"))
+    have = slots.groupBy("src").agg(F.count("*").alias("have"))
+    short = plan.join(have, "src", "left").withColumn("have", F.coalesce("have", F.lit(0).cast("long"))).filter("have < need")
+    short = short.select("src", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank"))
+    added = F.row_number().over(Window.orderBy("rank", "src")) - 1 + n_slots
+    slots = slots.unionByName(short.select(added.cast("long").alias("slot"), "src", "rank"))
+
+    slots = slots.join(plan, "src").filter("rank < need")
+    slots = slots.withColumn("block", F.col("rank") % F.col("blocks")).withColumn("pass", F.expr("rank div blocks"))
+    until = F.when(F.col("pass") < F.col("passes"), F.col("size")).otherwise(F.col("rest"))
+    words = F.least(F.lit(block), until - F.col("block") * block)
+    return slots.select("slot", "src", "block", "pass", words.alias("words"))
 
 
 def mix_sources(
@@ -111,8 +129,8 @@ def mix_sources(
     sources = materialize(source_targets(sized, weights, max_repeats), "mix-sources")
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     block = max(1, -(-total // slots))
-    schedule = materialize(slot_schedule(sources, total, block, max_repeats), "mix-schedule")
-    uses = schedule.groupBy("src", "block").agg(F.count("*").alias("uses"))
+    schedule = materialize(slot_schedule(sources, total, block), "mix-schedule")
+    uses = schedule.groupBy("src", "block", "words").agg(F.count("*").alias("uses"))
 
     known = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop(sources.source)
     order = unit_hash(F.col("doc_id"), F.lit(seed))
@@ -126,7 +144,8 @@ def mix_sources(
         "row_id", "src", "begin", end.alias("end"),
         F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((end - 1) / block))).alias("block"),
     )
-    part = F.least(F.col("end"), (F.col("block") + 1) * block) - F.greatest(F.col("begin"), F.col("block") * block)
+    until = F.least(F.col("end"), F.col("block") * block + F.col("words"))
+    part = F.greatest(until - F.greatest(F.col("begin"), F.col("block") * block), F.lit(0))
     taken = (
         pieces.join(uses, ["src", "block"])
         .groupBy("row_id")

@@ -117,6 +117,22 @@ def test_assembly_and_last_wins(spark):
 # ------------------------------------------------------------ profiles
 
 
+def test_labels_equal_under_nfkc_are_one_item_and_resolve(spark):
+    forms = ["Full width", "\uff26\uff35\uff2c\uff2c width", "fine", "\ufb01ne", "x2", "x\u00b2", "a b", "a\u00a0b", "caf\u00e9", "cafe\u0301", "a\u2028b", "a\x1fb"]
+    items, to_id = vocab.vocabulary(frame(spark, [(s,) for s in forms], "surface string"), "type", "type", 4)
+    assert {r["canonical_label"]: r["count_per_normalized"] for r in items.collect()} == {"full width": 2, "fine": 2, "x2": 2, "a b": 4, "caf\u00e9": 2}
+    ids = {r["canonical_label"]: r["item_id"] for r in items.collect()}
+    unseen = frame(spark, [("F\uff35LL\u3000WIDTH", "\uff46ine", "\uff38\u00b2")], "subject_type string, object_type string, relation string")
+    found = resolve.resolve_relation(resolve.resolve_types(unseen, to_id), to_id).first()
+    assert (found["subject_type_id"], found["object_type_id"], found["relation_id"]) == (ids["full width"], ids["fine"], ids["x2"])
+    types = items.select("item_id", "canonical_label")
+    _, entity_ids = vocab.vocabulary(frame(spark, [("\u00c9t\u00e9 [fine]",)], "surface string"), "entity", "ent", 5, T.normalize_compound)
+    row = frame(spark, [("E\u0301te\u0301", ids["fine"], "\uff25\u0301t\u00e9", ids["fine"])], "subject string, subject_type_id string, object string, object_type_id string")
+    assert resolve.resolve_entities(row, types, entity_ids).select("subject_id", "object_id").first() == ("ent_00000", "ent_00000")
+    known = frame(spark, [(t, "object", "\ufb01ne") for t in ("x2", "fine")], "relation string, role string, type string")
+    assert pairs(vocab.bridge_relation_types(known, to_id, to_id.filter("surface not like '%\ufb01%'")).select("relation_id", F.array_join("type_ids", "|"))) == {(ids["x2"], ids["fine"]), (ids["fine"], ids["fine"])}
+
+
 def test_weights_and_precision(spark):
     counts = frame(spark, [("t", "r", 2.0), ("t", "q", 1.0), ("u", "r", 1.0)], "type string, relation string, weight double")
     ppmi = {(r["type"], r["relation"]): r["weight"] for r in profiles.weigh(counts).collect()}

@@ -15,10 +15,14 @@ from pyspark.sql.types import StringType
 PROVENANCE = ["source_", "sample_id", "doc_id", "document_id", "chunk_id", "essay_id"]
 
 
+#: What the JVM's lower case and white space can't be trusted with: all but ASCII, and the separators U+001C to U+001F.
+_BEYOND_ASCII = r"[^\x00-\x1B\x20-\x7F]"
+
+
 @F.pandas_udf(StringType())
-def nfkc(labels: pd.Series) -> pd.Series:
-    """Unicode compatibility composition; Spark has no such function of its own."""
-    return labels.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+def unicode_label(labels: pd.Series) -> pd.Series:
+    """NFKC, lower case, white space collapsed; Spark has no compatibility composition of its own."""
+    return labels.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).lower().split()))
 
 
 def collapse(label: Column) -> Column:
@@ -27,8 +31,14 @@ def collapse(label: Column) -> Column:
 
 
 def normalize_label(label: Column, unicode: bool = True) -> Column:
-    """Canonical surface form of a label. ``unicode=False`` skips NFKC and stays in the JVM."""
-    return collapse(nfkc(label) if unicode else label)
+    """Canonical surface form of a label: NFKC, lower case, white space collapsed.
+
+    ASCII labels, which NFKC leaves as they are, stay in the JVM. With
+    ``unicode=False`` all labels do.
+    """
+    if not unicode:
+        return collapse(label)
+    return F.coalesce(unicode_label(F.when(label.rlike(_BEYOND_ASCII), label)), collapse(label))
 
 
 def clean(text: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse
+from ..functions.text import normalize_label
 from ..plans.checkpoint import cut
 from . import tree
 from .adjudicate import adjudicate
@@ -77,7 +77,7 @@ def merge_within(entities: DataFrame, keys: list[str], adjudicator, threshold: f
 def cross_type_names(entities: DataFrame, up: DataFrame) -> DataFrame:
     """(root, norm_name, types): equal bare names under one root, which are candidates whatever their type."""
     rooted = entities.join(tree.root_of(up).withColumnRenamed("node", "type_id"), "type_id")
-    named = rooted.withColumn("norm_name", collapse(F.col("name")))
+    named = rooted.withColumn("norm_name", normalize_label(F.col("name")))
     return named.groupBy("root", "norm_name").agg(F.array_sort(F.collect_set("type_id")).alias("types")).filter("size(types) > 1")
 
 
@@ -111,7 +111,7 @@ def deduplicate(entities: DataFrame, nodes: DataFrame, edges: DataFrame, adjudic
                     rows += [(at[own[0]], at[x]) for x in own[1:]]
             yield pd.DataFrame(rows, columns=["a", "b"])
 
-    lists = rooted.groupBy("root", collapse(F.col("merged")).alias("norm")).agg(F.array_sort(F.collect_set(F.struct("node", "merged"))).alias("g")).filter("size(g) > 1")
+    lists = rooted.withColumn("norm", normalize_label(F.col("merged"))).groupBy("root", "norm").agg(F.array_sort(F.collect_set(F.struct("node", "merged"))).alias("g")).filter("size(g) > 1")
     links = lists.select(F.col("g.merged").alias("merged"), F.col("g.node").alias("group")).mapInPandas(same, "a string, b string")
     member = components(links, state.select("node").distinct())
     return state.join(member, "node").select("name", "type_id", F.col("merged").alias("canonical"), F.col("component").alias("entity"))

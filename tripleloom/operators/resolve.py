@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import clean, collapse, compound, normalize_compound
+from ..functions.text import clean, compound, normalize_compound, normalize_label
 
 
-def lookup(df: DataFrame, raw: Column, to_id: DataFrame, out: str, raw_first: bool, normalizer=collapse) -> DataFrame:
+def lookup(df: DataFrame, raw: Column, to_id: DataFrame, out: str, raw_first: bool, normalizer=normalize_label) -> DataFrame:
     """Add ``out``: the id of a surface, by its raw and its normal form, one before the other.
 
     Spark broadcasts the vocabulary where its size allows and joins by shuffle
@@ -17,9 +17,9 @@ def lookup(df: DataFrame, raw: Column, to_id: DataFrame, out: str, raw_first: bo
     """
     raw_hit = to_id.select(F.col("surface").alias("_s1"), F.col("item_id").alias("_id1"))
     norm_hit = to_id.select(F.col("surface").alias("_s2"), F.col("item_id").alias("_id2"))
-    found = df.join(raw_hit, raw == F.col("_s1"), "left").join(norm_hit, normalizer(raw) == F.col("_s2"), "left")
+    found = df.withColumn("_n", normalizer(raw)).join(raw_hit, raw == F.col("_s1"), "left").join(norm_hit, F.col("_n") == F.col("_s2"), "left")
     first, second = ("_id1", "_id2") if raw_first else ("_id2", "_id1")
-    return found.withColumn(out, F.coalesce(first, second)).drop("_s1", "_s2", "_id1", "_id2")
+    return found.withColumn(out, F.coalesce(first, second)).drop("_n", "_s1", "_s2", "_id1", "_id2")
 
 
 def resolve_relation(df: DataFrame, to_id: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def resolve_entities(df: DataFrame, types: DataFrame, to_id: DataFrame) -> DataF
     for side in ("subject", "object"):
         labels = types.select(F.col("item_id").alias(f"{side}_type_id"), F.col("canonical_label").alias("_label"))
         df = df.join(labels, f"{side}_type_id", "left").withColumn("_c", compound(F.col(side), F.col("_label")))
-        df = lookup(df, F.col("_c"), to_id, f"{side}_id", raw_first=True, normalizer=lambda c: normalize_compound(c, unicode=False)).drop("_c", "_label")
+        df = lookup(df, F.col("_c"), to_id, f"{side}_id", raw_first=True, normalizer=normalize_compound).drop("_c", "_label")
     return df
 
 
@@ -99,5 +99,5 @@ def containment_join(typed: DataFrame, constraints: DataFrame, closure: DataFram
 
 def forced_name_groups(entities: DataFrame) -> DataFrame:
     """Entities (entity_id, name) whose bare normal names are equal, as groups of two and more."""
-    named = entities.withColumn("norm_name", collapse(F.col("name")))
+    named = entities.withColumn("norm_name", normalize_label(F.col("name")))
     return named.groupBy("norm_name").agg(F.array_sort(F.collect_list("entity_id")).alias("members")).filter("size(members) > 1")

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse
+from ..functions.text import normalize_label
 from ..operators import constraints, entities, profiles, rounds, tree, vocab
 from ..operators.induce import Placement, Settings
 from ..operators.resolve import complete, resolve_relation, resolve_types
@@ -73,7 +73,7 @@ def run(triplets: DataFrame, runs: Runs, adjudicator, config: PipelineConfig | N
     typed = typed.filter("subject_type_id is not null and object_type_id is not null and relation_id is not null")
 
     def merged_entities() -> DataFrame:
-        names = typed.select(collapse(F.col("subject")).alias("name"), F.col("subject_type_id").alias("type_id")).union(typed.select(collapse(F.col("object")), "object_type_id")).distinct()
+        names = typed.select(normalize_label(F.col("subject")).alias("name"), F.col("subject_type_id").alias("type_id")).union(typed.select(normalize_label(F.col("object")), "object_type_id")).distinct()
         return entities.deduplicate(names, nodes, edges, adjudicator, config.entity_threshold)
 
     named = step("entities", merged_entities)
@@ -81,10 +81,10 @@ def run(triplets: DataFrame, runs: Runs, adjudicator, config: PipelineConfig | N
     step("entity_classes", lambda: entities.assign_classes(named.select(F.col("entity").alias("entity_id"), "type_id"), up))
 
     def mined() -> DataFrame:
-        surfaces = typed.select("relation_id", collapse(F.col("relation")).alias("surface")).distinct()
+        surfaces = typed.select("relation_id", normalize_label(F.col("relation")).alias("surface")).distinct()
         said = [(r["relation_id"], r["surface"], adjudicator.classify_directions(r["relation_id"], [r["surface"]])[r["surface"]]) for r in surfaces.toLocalIterator()]
         table = spark.createDataFrame(said, "relation_id string, surface string, direction string")
-        rows = typed.select("relation_id", collapse(F.col("relation")).alias("surface"), "subject_type_id", "object_type_id")
+        rows = typed.select("relation_id", normalize_label(F.col("relation")).alias("surface"), "subject_type_id", "object_type_id")
         return constraints.induce(rows, up, constraints.classify_directions(surfaces, table))
 
     found = step("constraints", mined)

@@ -32,16 +32,16 @@ def query(name: str, oracle: str | None = None):
 c = F.col
 
 
-def ascii_norm(label):
-    return T.normalize_label(label, unicode=False)
+def label_norm(label):
+    return T.normalize_label(label)
 
 
 def typed(spark, sf) -> DataFrame:
     """Triplets with labels as ids."""
     t = resolve.complete(triplets(spark, sf))
     return t.select(
-        "kind", "ord", "sample_id", "subject", "object", "qualifiers", ascii_norm(c("relation")).alias("relation_id"), c("relation").alias("surface"),
-        ascii_norm(c("subject_type")).alias("subject_type_id"), ascii_norm(c("object_type")).alias("object_type_id"),
+        "kind", "ord", "sample_id", "subject", "object", "qualifiers", label_norm(c("relation")).alias("relation_id"), c("relation").alias("surface"),
+        label_norm(c("subject_type")).alias("subject_type_id"), label_norm(c("object_type")).alias("object_type_id"),
     )
 
 
@@ -60,7 +60,7 @@ def all_nodes(spark, sf) -> DataFrame:
 
 def roles(spark, sf) -> DataFrame:
     r = vocab.relation_role_types(triplets(spark, sf))
-    return r.select(ascii_norm(c("relation")).alias("relation"), "role", ascii_norm(c("type")).alias("type")).distinct()
+    return r.select(label_norm(c("relation")).alias("relation"), "role", label_norm(c("type")).alias("type")).distinct()
 
 
 def ppmi(spark, sf) -> DataFrame:
@@ -84,7 +84,7 @@ def entities(spark, sf):
     items, to_id = types(spark, sf)
     labelled = to_id.join(items.select("item_id", "canonical_label"), "item_id")
     surfaces, _ = vocab.entity_surfaces(triplets(spark, sf), labelled)
-    return kept(vocab.vocabulary(surfaces.select("surface"), "entity", "ent", 5, lambda s: T.normalize_compound(s, unicode=False))), (items, to_id)
+    return kept(vocab.vocabulary(surfaces.select("surface"), "entity", "ent", 5, T.normalize_compound)), (items, to_id)
 
 
 def resolved(spark, sf) -> DataFrame:
@@ -95,7 +95,7 @@ def resolved(spark, sf) -> DataFrame:
 
 def edges(spark, sf) -> DataFrame:
     """Graph rows with readable ends: normal names and relation labels."""
-    return typed(spark, sf).select("sample_id", "kind", "ord", ascii_norm(c("subject")).alias("s"), c("relation_id").alias("r"), ascii_norm(c("object")).alias("o"), "qualifiers", "subject", "object", c("subject_type_id").alias("subject_type"), c("object_type_id").alias("object_type"))
+    return typed(spark, sf).select("sample_id", "kind", "ord", label_norm(c("subject")).alias("s"), c("relation_id").alias("r"), label_norm(c("object")).alias("o"), "qualifiers", "subject", "object", c("subject_type_id").alias("subject_type"), c("object_type_id").alias("object_type"))
 
 
 def vectors(spark, sf) -> DataFrame:
@@ -107,13 +107,13 @@ def vectors(spark, sf) -> DataFrame:
 
 @query("f1_normalize_label", sql(f"SELECT label, count(*) AS n FROM (SELECT {norm('subject_type')} AS label FROM trip) GROUP BY label", "trip"))
 def f1(spark, sf):
-    return triplets(spark, sf).select(ascii_norm(c("subject_type")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return triplets(spark, sf).select(label_norm(c("subject_type")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("f1_normalize_text", f"SELECT doc_id, md5({norm('text')}) AS digest FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\\x00-\\x7F]')")
 def f1_text(spark, sf):
     d = table(spark, sf, "documents").filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", F.md5(ascii_norm(c("text")).cast("binary")).alias("digest"))
+    return d.select("doc_id", F.md5(label_norm(c("text")).cast("binary")).alias("digest"))
 
 
 COMPOUND_SQL = "comp AS (SELECT DISTINCT p_name || ' [' || p_type || ']' AS label FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT p_name || ' [x] [y]' FROM part)"
@@ -139,7 +139,7 @@ def f3(spark, sf):
 
 @query("f4_normalize_compound", f"WITH {COMPOUND_SQL}, cut AS (SELECT label, CASE WHEN regexp_matches(label, '{_CRE}') THEN regexp_extract(label, '{_CRE}', 1) ELSE label END AS name, CASE WHEN regexp_matches(label, '{_CRE}') THEN regexp_extract(label, '{_CRE}', 2) ELSE '' END AS type FROM comp) SELECT label, CASE WHEN {norm('type')} = '' THEN {norm('name')} ELSE {norm('name')} || ' [' || {norm('type')} || ']' END AS normal FROM cut")
 def f4(spark, sf):
-    return compounds(spark, sf).select("label", T.normalize_compound(c("label"), unicode=False).alias("normal"))
+    return compounds(spark, sf).select("label", T.normalize_compound(c("label")).alias("normal"))
 
 
 @query("f5_null_safe_trim", "SELECT doc_id, trim(coalesce(CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '  ' || source || ' ' END, '')) AS value FROM documents")
@@ -1060,7 +1060,7 @@ def _merge_table():
 def c6(spark, sf):
     from ..operators.rounds import single_pass
 
-    labels = table(spark, sf, "part").select(ascii_norm(c("p_name")).alias("label")).distinct()
+    labels = table(spark, sf, "part").select(label_norm(c("p_name")).alias("label")).distinct()
     return single_pass(labels, None, "entity", 0.6)
 
 
@@ -1068,7 +1068,7 @@ def c6(spark, sf):
 def c7(spark, sf):
     from ..operators.rounds import round_loop
 
-    labels = table(spark, sf, "part").select(ascii_norm(c("p_name")).alias("label")).distinct()
+    labels = table(spark, sf, "part").select(label_norm(c("p_name")).alias("label")).distinct()
     return round_loop(labels, _merge_table(), "entity", 0.6)
 
 
@@ -1097,7 +1097,7 @@ def h5(spark, sf):
 def n2(spark, sf):
     from ..operators.entities import merge_within
 
-    e = table(spark, sf, "part").select(c("p_type").alias("type_id"), ascii_norm(c("p_name")).alias("name")).distinct()
+    e = table(spark, sf, "part").select(c("p_type").alias("type_id"), label_norm(c("p_name")).alias("name")).distinct()
     return merge_within(e, ["type_id"], _merge_table(), 0.7)
 
 
@@ -1105,7 +1105,7 @@ def n2(spark, sf):
 def n7(spark, sf):
     from ..operators.entities import deduplicate
 
-    e = table(spark, sf, "part").select(ascii_norm(c("p_type")).alias("type_id"), ascii_norm(c("p_name")).alias("name")).distinct()
+    e = table(spark, sf, "part").select(label_norm(c("p_type")).alias("type_id"), label_norm(c("p_name")).alias("name")).distinct()
     every = e.select(c("type_id").alias("node")).union(forest_edges(spark).select("child")).union(forest_edges(spark).select("parent")).distinct()
     return deduplicate(e, every, forest_edges(spark), _merge_table(), 0.8)
 
@@ -1126,7 +1126,7 @@ def l3(spark, sf):
 
     t = triplets(spark, sf).filter("kind in (1, 2, 3)").withColumn("essay", c("sample_id"))
     t = t.withColumn("ord", c("kind") * 1_000_000 + c("ord"))
-    known = t.select(ascii_norm(c("subject_type")).alias("canonical")).union(t.select(ascii_norm(c("object_type")))).distinct()
+    known = t.select(label_norm(c("subject_type")).alias("canonical")).union(t.select(label_norm(c("object_type")))).distinct()
     from ..operators.adjudicate import DecisionTable
 
     return link_and_deduplicate(t, known, t.select(c("relation").alias("canonical")).distinct(), DecisionTable())[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse
+from ..functions.text import normalize_label
 from ..schemas import TRIPLET
 
 
@@ -23,7 +23,7 @@ def distinct_triplets(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def relation_counts(stream: DataFrame) -> DataFrame:
     """Running mention counts of relations."""
-    return stream.select(collapse(F.col("relation")).alias("relation")).filter("relation <> ''").groupBy("relation").agg(F.count("*").alias("n"))
+    return stream.select(normalize_label(F.col("relation")).alias("relation")).filter("relation <> ''").groupBy("relation").agg(F.count("*").alias("n"))
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str, delay: str) -> DataFrame:

@@ -278,6 +278,21 @@ def test_entities_merge_only_where_the_forest_allows(spark, forest, nodes):
     assert kept.select("entity").distinct().count() == 4
 
 
+@pytest.mark.parametrize("cap", [40, 2])
+def test_unequal_names_of_different_sibling_groups_meet_under_their_root(spark, forest, nodes, cap):
+    """c and d have different parents under a; with cap 2 they lie in different buckets and meet in the last pass."""
+    rows = [("united states", "c"), ("united state", "d"), ("united states", "x"), ("zebra", "c"), ("quick fox", "d"), ("zebra", "e")]
+    table = frame(spark, rows, "name string, type_id string")
+    found = {(r["name"], r["type_id"]): r for r in entities.deduplicate(table, nodes, forest, DecisionTable(merge_all=True), 0.6, cap).collect()}
+    assert len(found) == len(rows)
+    one = [{k for k, r in found.items() if r["entity"] == e} for e in {r["entity"] for r in found.values()}]
+    want = [{("united states", "c"), ("united state", "d")}, {("united states", "x")}, {("zebra", "c"), ("zebra", "e")}, {("quick fox", "d")}]
+    assert sorted(map(sorted, one)) == sorted(map(sorted, want))
+    assert all(len({r["canonical"] for r in found.values() if r["entity"] == e}) == 1 for e in {r["entity"] for r in found.values()})
+    apart = entities.deduplicate(table, nodes, forest, DecisionTable(), 0.6, cap)
+    assert apart.select("entity").distinct().count() == len(rows)
+
+
 def test_placement():
     said = DecisionTable(parents={("documentary film", "*"): {"parent": "film"}, ("movie", "*"): {"parent": "film", "same_concept": True}}, children={("work", "*"): ["film"]})
     placed = Placement(said).run([("t0", "film"), ("t1", "documentary film"), ("t2", "ocean"), ("t3", "movie"), ("t4", "work")])

@@ -19,10 +19,15 @@ PROVENANCE = ["source_", "sample_id", "doc_id", "document_id", "chunk_id", "essa
 _BEYOND_ASCII = r"[^\x00-\x1B\x20-\x7F]"
 
 
+def plain_label(label: str) -> str:
+    """``normalize_label`` of one string."""
+    return " ".join(unicodedata.normalize("NFKC", label).lower().split())
+
+
 @F.pandas_udf(StringType())
 def unicode_label(labels: pd.Series) -> pd.Series:
     """NFKC, lower case, white space collapsed; Spark has no compatibility composition of its own."""
-    return labels.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).lower().split()))
+    return labels.map(lambda s: None if s is None else plain_label(s))
 
 
 def collapse(label: Column) -> Column:

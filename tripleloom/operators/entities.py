@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_label
+from ..functions.text import normalize_label, plain_label
 from ..plans.checkpoint import cut
 from . import tree
 from .adjudicate import adjudicate
-from .similarity import components, hashed_embedding, linkage_clusters
+from .similarity import hashed_embedding, linkage_clusters
 
 
 def partitions(entities: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -41,6 +42,26 @@ def recursive_partitions(entities: DataFrame, up: DataFrame, largest: int, max_d
     return state.drop("open")
 
 
+def merge_names(names: list[str], adjudicator, threshold: float, cap: int, rounds: int) -> dict[str, str]:
+    """The canonical label of each name after merging in rounds."""
+    at = {n: n for n in names}
+    for _ in range(rounds):
+        pool = sorted(set(at.values()))
+        if len(pool) < 2:
+            break
+        labels = linkage_clusters(hashed_embedding(pool), threshold)
+        moved = {}
+        for c in sorted(set(labels)):
+            own = [n for n, label in zip(pool, labels) if label == c]
+            for k in range(0, len(own), cap):
+                for label, group in adjudicate(adjudicator, "entity", own[k : k + cap]):
+                    moved |= dict.fromkeys(group, label)
+        at = {n: moved[c] for n, c in at.items()}
+        if len(set(at.values())) == len(pool):
+            break
+    return at
+
+
 def merge_within(entities: DataFrame, keys: list[str], adjudicator, threshold: float = 0.85, cap: int = 40, rounds: int = 5) -> DataFrame:
     """(keys, name, canonical): names merged in rounds inside each partition.
 
@@ -51,21 +72,7 @@ def merge_within(entities: DataFrame, keys: list[str], adjudicator, threshold: f
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                at = {n: n for n in row.names}
-                for _ in range(rounds):
-                    pool = sorted(set(at.values()))
-                    if len(pool) < 2:
-                        break
-                    labels = linkage_clusters(hashed_embedding(pool), threshold)
-                    moved = {}
-                    for c in sorted(set(labels)):
-                        own = [n for n, label in zip(pool, labels) if label == c]
-                        for k in range(0, len(own), cap):
-                            for label, group in adjudicate(adjudicator, "entity", own[k : k + cap]):
-                                moved |= dict.fromkeys(group, label)
-                    at = {n: moved[c] for n, c in at.items()}
-                    if len(set(at.values())) == len(pool):
-                        break
+                at = merge_names(list(row.names), adjudicator, threshold, cap, rounds)
                 out += [(*row[: len(keys)], n, c) for n, c in at.items()]
             yield pd.DataFrame(out, columns=[*keys, "name", "canonical"])
 
@@ -88,30 +95,85 @@ def assign_classes(members: DataFrame, up: DataFrame) -> DataFrame:
     return types.join(tree.lca(named, up, ["entity_id"]), "entity_id").withColumnRenamed("lca", "primary_type_id")
 
 
-def deduplicate(entities: DataFrame, nodes: DataFrame, edges: DataFrame, adjudicator, threshold: float = 0.85) -> DataFrame:
-    """(name, type_id, canonical, entity): merged within types, then siblings, then equal names under a root.
+def told_apart(classes: list[tuple[str, str, str]]) -> dict[str, tuple[str, str, str]]:
+    """Classes (node, label, type) by a text of their own: the label, with the type where labels are equal."""
+    often = Counter(label for _, label, _ in classes)
+    out: dict[str, tuple[str, str, str]] = {}
+    for node, label, kind in classes:
+        text = label if often[label] == 1 else f"{label} [{kind}]"
+        k, own = 0, text
+        while own in out:
+            k += 1
+            own = f"{text}#{k}"
+        out[own] = (node, label, kind)
+    return out
+
+
+def reconcile(classes: DataFrame, keys: list[str], adjudicator, threshold: float, cap: int, rounds: int = 5) -> DataFrame:
+    """(keys, node, into, label, type_id): classes (keys, node, label, type_id) merged inside each partition.
 
-    ``entity`` names the final class by its smallest (type, canonical) pair.
+    Equal normal names are candidates whatever their embedding; what is left
+    is then merged by embedding, in rounds. ``into`` is the smallest node of
+    the merged class, ``type_id`` its smallest type.
+    """
+
+    def merge(rows) -> list[tuple[str, str, str, str]]:
+        parts = {r["node"]: [r["node"]] for r in rows}
+
+        def joined(group: list[tuple[str, str, str]], label: str, shown: dict) -> tuple[str, str, str]:
+            node = min(n for n, _, _ in group)
+            parts[node] = [m for n, _, _ in group for m in parts[n]]
+            return node, shown[label][1] if label in shown else label, min(kind for _, _, kind in group)
+
+        named: dict[str, list[tuple[str, str, str]]] = {}
+        for r in rows:
+            named.setdefault(plain_label(r["label"]), []).append((r["node"], r["label"], r["type_id"]))
+        left = []
+        for same in named.values():
+            if len(same) == 1:
+                left += same
+                continue
+            shown = told_apart(same)
+            texts = list(shown)
+            for k in range(0, len(texts), cap):
+                left += [joined([shown[x] for x in own], label, shown) for label, own in adjudicate(adjudicator, "entity", texts[k : k + cap])]
+        shown = told_apart(sorted(left))
+        groups: dict[str, list[tuple[str, str, str]]] = {}
+        for text, label in merge_names(list(shown), adjudicator, threshold, cap, rounds).items():
+            groups.setdefault(label, []).append(shown[text])
+        final = [joined(group, label, shown) for label, group in groups.items()]
+        return [(m, node, label, kind) for node, label, kind in final for m in parts[node]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(*row[: len(keys)], *x) for row in frame.itertuples(index=False) for x in merge(row.classes)]
+            yield pd.DataFrame(out, columns=[*keys, "node", "into", "label", "type_id"])
+
+    kinds = dict(classes.dtypes)
+    lists = classes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("node", "label", "type_id"))).alias("classes"))
+    return lists.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", node string, into string, label string, type_id {kinds['type_id']}")
+
+
+def deduplicate(entities: DataFrame, nodes: DataFrame, edges: DataFrame, adjudicator, threshold: float = 0.85, cap: int = 40) -> DataFrame:
+    """(name, type_id, canonical, entity): merged within types, then siblings, then across the types under a root.
+
+    Across types, classes meet within buckets that follow the forest and hold
+    ``cap`` where it can split them; the buckets' survivors then meet once more
+    under their root. ``entity`` names the final class by its smallest
+    (type, canonical) pair, ``canonical`` is its label.
     """
     up = tree.closure(edges, nodes.select("node"))
-    first = cut(merge_within(entities, ["type_id"], adjudicator, threshold))
+    first = cut(merge_within(entities, ["type_id"], adjudicator, threshold, cap))
     survivors = first.select("type_id", F.col("canonical").alias("name")).distinct()
-    siblings = cut(merge_within(partitions(survivors, nodes, edges), ["tag", "key"], adjudicator, threshold))
+    siblings = cut(merge_within(partitions(survivors, nodes, edges), ["tag", "key"], adjudicator, threshold, cap))
     placed = partitions(survivors, nodes, edges).join(siblings, ["tag", "key", "name"]).select("type_id", F.col("name").alias("canonical"), "tag", "key", F.col("canonical").alias("merged"))
-    state = first.join(placed, ["type_id", "canonical"]).withColumn("node", F.concat_ws("\u001f", "tag", "key", "merged"))
-    rooted = state.join(tree.root_of(up).withColumnRenamed("node", "type_id"), "type_id", "left")
-
-    def same(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for names, group in frame[["merged", "group"]].itertuples(index=False):
-                labels = [f"{m} ({i})" if list(names).count(m) > 1 else m for i, m in enumerate(names)]
-                at = dict(zip(labels, group))
-                for _, own in adjudicate(adjudicator, "entity", labels):
-                    rows += [(at[own[0]], at[x]) for x in own[1:]]
-            yield pd.DataFrame(rows, columns=["a", "b"])
-
-    lists = rooted.withColumn("norm", normalize_label(F.col("merged"))).groupBy("root", "norm").agg(F.array_sort(F.collect_set(F.struct("node", "merged"))).alias("g")).filter("size(g) > 1")
-    links = lists.select(F.col("g.merged").alias("merged"), F.col("g.node").alias("group")).mapInPandas(same, "a string, b string")
-    member = components(links, state.select("node").distinct())
-    return state.join(member, "node").select("name", "type_id", F.col("merged").alias("canonical"), F.col("component").alias("entity"))
+    state = cut(first.join(placed, ["type_id", "canonical"]).withColumn("node", F.concat_ws("\u001f", "tag", "key", "merged")))
+    classes = state.groupBy("node").agg(F.min("merged").alias("label"), F.min("type_id").alias("type_id"))
+    classes = classes.join(tree.root_of(up).withColumnRenamed("node", "type_id"), "type_id", "left").withColumn("root", F.coalesce("root", "type_id"))
+    buckets = recursive_partitions(classes.select(F.col("node").alias("name"), "type_id"), up, cap)
+    bucketed = classes.join(buckets.select(F.col("name").alias("node"), "bucket"), "node")
+    inner = cut(reconcile(bucketed, ["root", "bucket"], adjudicator, threshold, cap))
+    met = inner.select("root", F.col("into").alias("node"), "label", "type_id").distinct()
+    outer = cut(reconcile(met, ["root"], adjudicator, threshold, cap))
+    final = inner.select("node", "into").join(outer.select(F.col("node").alias("into"), F.col("into").alias("entity"), F.col("label").alias("final")), "into")
+    return state.join(final, "node").select("name", "type_id", F.col("final").alias("canonical"), "entity")

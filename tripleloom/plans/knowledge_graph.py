@@ -74,7 +74,7 @@ def run(triplets: DataFrame, runs: Runs, adjudicator, config: PipelineConfig | N
 
     def merged_entities() -> DataFrame:
         names = typed.select(normalize_label(F.col("subject")).alias("name"), F.col("subject_type_id").alias("type_id")).union(typed.select(normalize_label(F.col("object")), "object_type_id")).distinct()
-        return entities.deduplicate(names, nodes, edges, adjudicator, config.entity_threshold)
+        return entities.deduplicate(names, nodes, edges, adjudicator, config.entity_threshold, config.max_cluster_size)
 
     named = step("entities", merged_entities)
     up = tree.closure(edges, nodes)

@@ -1,8 +1,10 @@
 """Behaviour of the engine's operators on small fixtures."""
 
+import hashlib
 import json
 import math
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from tripleloom.functions import text as T
 from tripleloom.operators import adjudicate, constraints, entities, graph, profiles, resolve, rounds, similarity, tree, vocab
 from tripleloom.operators.adjudicate import DecisionTable, repair_groups
 from tripleloom.operators.induce import Placement, Settings
+from tripleloom.plans import queries
 from tripleloom.sources import formats
 from tripleloom.sources.runs import Runs
 
@@ -48,6 +51,13 @@ def test_labels_are_normalised(spark):
     assert [r[0] for r in found] == ["full width", "a b", "", ""]
 
 
+def test_all_documents_are_normalised_as_python_does(spark, tmp_path):
+    texts = ["Plain  ASCII\n text", "\u00c9t\u00e9 \uff26\uff35", "cafe\u0301\u00a0\u2028x", "stra\u00dfe \u0130 \u03a3\u0391\u03a3", "", None]
+    frame(spark, list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(i, hashlib.md5(" ".join(unicodedata.normalize("NFKC", t or "").lower().split()).encode()).hexdigest()) for i, t in enumerate(texts)}
+    assert pairs(queries.QUERIES["f1_normalize_text_whole"](spark, str(tmp_path))) == want
+
+
 def test_compounds(spark):
     rows = [("name [type]",), ("x [c] [c]",), ("bare ",), ("a[b]",), ("[t]",)]
     found = frame(spark, rows, "s string").select(T.compound_name(F.col("s")), T.compound_type(F.col("s"))).collect()

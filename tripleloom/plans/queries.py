@@ -116,6 +116,12 @@ def f1_text(spark, sf):
     return d.select("doc_id", F.md5(label_norm(c("text")).cast("binary")).alias("digest"))
 
 
+@query("f1_normalize_text_whole")
+def f1_text_whole(spark, sf):
+    """All documents, by the full normaliser; DuckDB can't compose as NFKC does, so there is no SQL."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(label_norm(c("text")).cast("binary")).alias("digest"))
+
+
 COMPOUND_SQL = "comp AS (SELECT DISTINCT p_name || ' [' || p_type || ']' AS label FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT p_name || ' [x] [y]' FROM part)"
 
 

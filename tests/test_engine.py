@@ -5,6 +5,7 @@ import json
 import math
 import random
 import unicodedata
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -269,6 +270,41 @@ def test_graph_metrics(spark):
     assert (found["triples"], found["nodes"], found["components"], found["giant"], found["leaf_share"]) == (2, 3, 2, 2, 0.6667)
 
 
+def test_whole_graph_queries_take_all_kinds(spark):
+    """Against brute force over all triplets of sf0.001."""
+    sf = "/root/testdata/sf0.001"
+    e = {tuple(r) for r in queries.edges(spark, sf).select("sample_id", "s", "r", "o").collect()}
+    near: dict = defaultdict(lambda: defaultdict(set))
+    for sample, s, _, o in e:
+        near[sample][s].add(o)
+        near[sample][o].add(s)
+    hop = {}
+    for sample in near:
+        front = {min(s for k, s, _, _ in e if k == sample)}
+        for depth in range(5):
+            hop |= {(sample, n): depth for n in front if (sample, n) not in hop}
+            front = {m for n in front for m in near[sample][n] if (sample, m) not in hop}
+    want = {(*x, min(hop.get((x[0], n), 9) for n in (x[1], x[3])) + 1) for x in e if (x[0], x[1]) in hop or (x[0], x[3]) in hop}
+    assert pairs(queries.QUERIES["g7_supporting_edges_whole"](spark, sf)) == want
+    at = {}
+
+    def root(n):
+        while at.setdefault(n, n) != n:
+            at[n] = n = at[at[n]]
+        return n
+
+    for _, s, _, o in e:
+        at[root(s)] = root(o)
+    sizes = Counter(root(n) for n in list(at))
+    every = queries.edges(spark, sf).count()
+    assert queries.QUERIES["l3_essay_graphs"](spark, sf).count() == every > len(e)
+    qualified = queries.triplets(spark, sf).filter("size(qualifiers) > 0").count()
+    assert queries.QUERIES["f17_light_folding_whole"](spark, sf).agg(F.sum("n")).first()[0] == qualified
+    found = queries.QUERIES["m1_graph_metrics_whole"](spark, sf).first()
+    assert (found["triples"], found["nodes"]) == (len({x[1:] for x in e}), len(at))
+    assert (found["components"], found["giant"]) == (len(sizes), max(sizes.values()))
+
+
 def test_positional_zip_guards_length(spark):
     left = frame(spark, [(1, ["a", "b"]), (2, ["c"])], "k int, a array<string>")
     right = frame(spark, [(1, [True, False]), (2, [True, True])], "k int, b array<boolean>")

@@ -29,6 +29,14 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def unfiltered(name: str, *conditions: str) -> str:
+    """The SQL of a query without its row filter."""
+    found = ORACLES[name]
+    for condition in conditions:
+        found = found.replace(condition, "")
+    return found
+
+
 c = F.col
 
 
@@ -244,8 +252,19 @@ def f16(spark, sf):
 
 @query("f17_light_folding", sql("SELECT folded, count(*) AS n FROM (SELECT main || ' (' || CASE WHEN q_relation = 'status' THEN 'state' ELSE q_relation END || ': ' || q_object || ')' AS folded FROM qual WHERE kind = 4) GROUP BY folded", "qual"))
 def f17(spark, sf):
+    return folded_counts(spark, triplets(spark, sf).filter("kind = 4"))
+
+
+def folded_counts(spark, t):
     known = spark.sql("SELECT 'status' AS surface, 'state' AS label")
-    return graph.fold_qualifiers_with(triplets(spark, sf).filter("kind = 4"), known, ["kind", "ord"]).groupBy("folded").agg(F.count("*").alias("n"))
+    # Lines repeat their order and number, so kind and ord don't tell all triplets apart.
+    t = t.withColumn("row", F.monotonically_increasing_id())
+    return graph.fold_qualifiers_with(t, known, ["row"]).groupBy("folded").agg(F.count("*").alias("n"))
+
+
+@query("f17_light_folding_whole", unfiltered("f17_light_folding", " WHERE kind = 4"))
+def f17_whole(spark, sf):
+    return folded_counts(spark, triplets(spark, sf))
 
 
 @query("f18_mention_filter", sql("SELECT kind, count(*) AS n FROM trip WHERE trim(coalesce(subject, '')) <> '' AND trim(coalesce(object, '')) <> '' GROUP BY kind", "trip"))
@@ -780,19 +799,39 @@ def g5(spark, sf):
     return graph.sample_edges(edges(spark, sf).filter("kind in (1, 2, 8)")).select("sample_id", "s", "r", "o", "ord")
 
 
+@query("g5_sample_edges_whole", unfiltered("g5_sample_edges", " WHERE kind IN (1, 2, 8)"))
+def g5_whole(spark, sf):
+    return graph.sample_edges(edges(spark, sf)).select("sample_id", "s", "r", "o", "ord")
+
+
 @query("g6_sample_entities", sql("SELECT sample_id, e AS entity, arg_max(name, key) AS name, arg_max(type, key) AS type FROM (SELECT sample_id, s AS e, subject AS name, st AS type, (CAST(kind AS BIGINT) * 1000000000 + ord) * 2 AS key FROM edge WHERE kind IN (1, 2, 3) UNION ALL SELECT sample_id, o, object, ot, (CAST(kind AS BIGINT) * 1000000000 + ord) * 2 + 1 FROM edge WHERE kind IN (1, 2, 3)) GROUP BY sample_id, e", "typed", more=EDGE_SQL))
 def g6(spark, sf):
     return graph.sample_entities(edges(spark, sf).filter("kind in (1, 2, 3)"))
 
 
+@query("g6_sample_entities_whole", unfiltered("g6_sample_entities", " WHERE kind IN (1, 2, 3)"))
+def g6_whole(spark, sf):
+    return graph.sample_entities(edges(spark, sf))
+
+
 HOP_SQL = EDGE_SQL + ", small AS (SELECT DISTINCT sample_id, s, r, o FROM edge WHERE kind IN (1, 2, 3, 9)), nb AS (SELECT sample_id, s AS node, o AS other FROM small UNION SELECT sample_id, o, s FROM small), walk AS (SELECT sample_id, min(s) AS node, 0 AS hop FROM small GROUP BY sample_id UNION SELECT w.sample_id, nb.other, hop + 1 FROM walk w JOIN nb ON nb.sample_id = w.sample_id AND nb.node = w.node WHERE hop < 1), near AS (SELECT sample_id, node, min(hop) AS hop FROM walk GROUP BY ALL)"
 
 
 @query("g7_supporting_edges", sql("SELECT e.sample_id, s, r, o, CAST(min(n.hop) + 1 AS BIGINT) AS hop FROM small e JOIN near n ON n.sample_id = e.sample_id AND (n.node = e.s OR n.node = e.o) GROUP BY ALL", "typed", more=HOP_SQL))
 def g7(spark, sf):
-    e = edges(spark, sf).filter("kind in (1, 2, 3, 9)").select("sample_id", "s", "r", "o").distinct()
+    return supporting_edges(edges(spark, sf).filter("kind in (1, 2, 3, 9)"), 2)
+
+
+def supporting_edges(e, depth):
+    e = e.select("sample_id", "s", "r", "o").distinct()
     seeds = e.groupBy("sample_id").agg(F.min("s").alias("node"))
-    return graph.hops(e, seeds, 2).select("sample_id", "s", "r", "o", c("hop").cast("long").alias("hop"))
+    return graph.hops(e, seeds, depth).select("sample_id", "s", "r", "o", c("hop").cast("long").alias("hop"))
+
+
+@query("g7_supporting_edges_whole")
+def g7_whole(spark, sf):
+    """All triplets, as deep as the reference walks."""
+    return supporting_edges(edges(spark, sf), 5)
 
 
 M1_SQL = EDGE_SQL + ", tri AS (SELECT DISTINCT s, r, o FROM edge WHERE kind IN (1, 2, 3, 9)), dg AS (SELECT node, count(*) AS d FROM (SELECT s AS node FROM tri UNION ALL SELECT o FROM tri) GROUP BY node), lk AS (SELECT s AS a, o AS b FROM tri UNION SELECT o, s FROM tri), rch AS (SELECT node, node AS other FROM dg UNION SELECT r.node, lk.b FROM rch r JOIN lk ON r.other = lk.a), cp AS (SELECT node, min(other) AS comp FROM rch GROUP BY node), cz AS (SELECT comp, count(*) AS n FROM cp GROUP BY comp)"
@@ -803,6 +842,11 @@ def m1(spark, sf):
     return graph.metrics(edges(spark, sf).filter("kind in (1, 2, 3, 9)").select("s", "r", "o").distinct())
 
 
+@query("m1_graph_metrics_whole")
+def m1_whole(spark, sf):
+    return graph.metrics(edges(spark, sf).select("s", "r", "o").distinct())
+
+
 @query("m3_metric_rows", sql("SELECT strength AS metric, count(*) AS value FROM tiered GROUP BY strength UNION ALL SELECT 'hard_low_support', count(*) FROM tiered WHERE strength = 'hard' AND support < 3", "support"))
 def m3(spark, sf):
     k = constraints.induce(typed(spark, sf), up(spark, sf), include_below=True)
@@ -842,11 +886,19 @@ SUBG_SQL = EDGE_SQL + ", gn AS (SELECT DISTINCT s AS node, st AS type_id FROM ed
 
 @query("v5_type_selection", sql("SELECT node, core FROM (SELECT node, true AS core FROM core UNION ALL SELECT node, false FROM around WHERE node NOT IN (SELECT node FROM core)) ORDER BY core DESC, node LIMIT 30", "typed", more=SUBG_SQL))
 def v5(spark, sf):
-    e = edges(spark, sf).filter("kind in (2, 3)")
+    return supplier_selection(spark, edges(spark, sf).filter("kind in (2, 3)"))
+
+
+def supplier_selection(spark, e):
     n = e.select(c("s").alias("node"), c("subject_type").alias("type_id")).union(e.select("o", "object_type")).distinct()
     return graph.selection_subgraph(n, e, spark.sql("SELECT 'supplier' AS type_id"), 30)
 
 
+@query("v5_type_selection_whole", unfiltered("v5_type_selection", "kind IN (2, 3) AND ", " WHERE kind IN (2, 3)"))
+def v5_whole(spark, sf):
+    return supplier_selection(spark, edges(spark, sf))
+
+
 # ---------------------------------------------------------------- survey
 
 SURV_SQL = "inst AS (SELECT DISTINCT subject AS item, st AS class FROM typed)"
@@ -898,6 +950,11 @@ def e1(spark, sf):
     return evaluate.sentence_buckets(partial(spark, sf).filter("kind <= 3")).select("sample_id", "kept", "dropped")
 
 
+@query("e1_sentence_buckets_whole", unfiltered("e1_sentence_buckets", " WHERE kind <= 3"))
+def e1_whole(spark, sf):
+    return evaluate.sentence_buckets(partial(spark, sf)).select("sample_id", "kept", "dropped")
+
+
 JUDGE_SQL = "judged AS (SELECT l_returnflag AS domain, l_quantity > 10 AS matched, l_quantity <= 2 AS failed, CASE WHEN l_linenumber % 3 = 0 THEN 'inverse' ELSE 'same' END AS direction FROM lineitem)"
 _JUDGE = "count(*) AS gold, count(*) FILTER (matched) AS matched, count(*) FILTER (failed) AS failed, round(count(*) FILTER (matched) / nullif(count(*) - count(*) FILTER (failed), 0), 6) AS recall, count(*) FILTER (matched AND direction = 'same') AS same, count(*) FILTER (matched AND direction = 'inverse') AS inverse"
 
@@ -961,8 +1018,17 @@ IMP_SQL = "et AS (SELECT DISTINCT subject AS entity_id, st AS type_id FROM typed
 
 @query("b3_delete_impact", sql("SELECT entity_id, CASE WHEN all_gone THEN 'reassigned' ELSE 'narrowed' END AS effect, CASE WHEN all_gone THEN 'business' END AS new_type FROM eff WHERE some_gone", "up", more=IMP_SQL))
 def b3(spark, sf):
+    return delete_impact(spark, sf, typed(spark, sf).filter("kind in (2, 4, 5)"))
+
+
+@query("b3_delete_impact_whole", unfiltered("b3_delete_impact", " WHERE kind IN (2, 4, 5)"))
+def b3_whole(spark, sf):
+    return delete_impact(spark, sf, typed(spark, sf))
+
+
+def delete_impact(spark, sf, t):
     u = up(spark, sf)
-    e = typed(spark, sf).filter("kind in (2, 4, 5)").select(c("subject").alias("entity_id"), c("subject_type_id").alias("type_id")).distinct()
+    e = t.select(c("subject").alias("entity_id"), c("subject_type_id").alias("type_id")).distinct()
     return tree.delete_impact(e, tree.subtree(u, "industrial"), u)
 
 
@@ -976,9 +1042,18 @@ NEWF_SQL = "et AS (SELECT DISTINCT subject AS e, st AS t FROM typed WHERE kind I
 
 @query("b5_new_merge_pairs", sql("SELECT type_a, type_b, a.n * b.n AS pairs FROM fresh JOIN sz a ON a.t = type_a JOIN sz b ON b.t = type_b", "typed", "forest", more=NEWF_SQL))
 def b5(spark, sf):
+    return new_merge_pairs(spark, sf, typed(spark, sf).filter("kind in (2, 4, 5)"))
+
+
+@query("b5_new_merge_pairs_whole", unfiltered("b5_new_merge_pairs", " WHERE kind IN (2, 4, 5)"))
+def b5_whole(spark, sf):
+    return new_merge_pairs(spark, sf, typed(spark, sf))
+
+
+def new_merge_pairs(spark, sf, t):
     old, u, every = forest_edges(spark), up(spark, sf), all_nodes(spark, sf)
     new, _ = tree.sandbox_reparent(old, u, "supplier", "consumer")
-    e = typed(spark, sf).filter("kind in (2, 4, 5)").select(c("subject").alias("entity_id"), c("subject_type_id").alias("type_id")).distinct()
+    e = t.select(c("subject").alias("entity_id"), c("subject_type_id").alias("type_id")).distinct()
     touched = tree.affected_types(u, old, "supplier", "consumer")
     return tree.new_merge_pairs(e, tree.parent_key(every, old), tree.parent_key(every, new), touched)
 
@@ -1130,8 +1205,10 @@ def l1(spark, sf):
 def l3(spark, sf):
     from ..operators.linking import link_and_deduplicate
 
-    t = triplets(spark, sf).filter("kind in (1, 2, 3)").withColumn("essay", c("sample_id"))
-    t = t.withColumn("ord", c("kind") * 1_000_000 + c("ord"))
+    t = resolve.complete(triplets(spark, sf)).withColumn("essay", c("sample_id"))
+    # Lines repeat their order and number; registry and edges need one place for each triplet.
+    place = Window.partitionBy("essay").orderBy("kind", "ord", *resolve.FIELDS)
+    t = t.withColumn("ord", F.row_number().over(place).cast("long"))
     known = t.select(label_norm(c("subject_type")).alias("canonical")).union(t.select(label_norm(c("object_type")))).distinct()
     from ..operators.adjudicate import DecisionTable
 
@@ -1159,9 +1236,9 @@ class _AlwaysFirst:
 def g8(spark, sf):
     from ..operators.linking import answer_context
 
-    e = edges(spark, sf).filter("kind in (1, 2, 3, 9)").select("sample_id", "s", "r", "o").distinct()
+    e = edges(spark, sf).select("sample_id", "s", "r", "o").distinct()
     asked = table(spark, sf, "nation").select(c("n_nationkey").cast("long").alias("sample_id"), c("n_name").alias("mention"))
-    return answer_context(e, asked, 5, 2)
+    return answer_context(e, asked)
 
 
 @query("c1_embed", "SELECT DISTINCT p_name AS text, CAST(1.0 AS DOUBLE) AS norm FROM part")

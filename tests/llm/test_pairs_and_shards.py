@@ -253,3 +253,93 @@ def test_sharding_stage(spark, docs):
     assert len(set(places)) == len(places)
 
 
+
+
+# ------------------------------------------------------------ stages on awkward tables
+
+
+@pytest.fixture(scope="module")
+def stage_tables(spark, rows, tmp_path_factory):
+    """Labels and benchmark beside documents that are awkward in every way."""
+    at = str(tmp_path_factory.mktemp("stages"))
+    spark.createDataFrame([(r[0], 0) for r in rows[:50]] + [(None, 1)], "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, rows[3][1]), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
+def stages():
+    from tripleloom.llm import toxicity
+
+    return [toxicity.stage_toxicity, simhash.stage_near_duplicates, decontamination.stage_decontaminate, mixing.stage_mix, sharding.stage_shard]
+
+
+def test_stages_bear_any_other_columns(spark, docs, stage_tables):
+    """Columns named as the operators' own, of types that can't be hashed or compared, change nothing."""
+    odd = {
+        "_id": F.lit(3), "_row_key": F.lit("k"), "row_id": F.lit("r"), "doc": F.lit(1.5), "copies": F.lit(7), "_copies": F.lit(2), "root": F.lit(0), "fp": F.lit(1), "score": F.lit("s"), "n": F.lit(0),
+        "a.b": F.lit(4), "with `ticks`": F.lit(5), "tags": F.create_map(F.lit("a"), F.lit(1)), "leaf": F.lit(9), "src": F.lit("q"), "bucket": F.lit(1),
+    }
+    wide = docs.withColumns(odd)
+    for stage in stages():
+        plain, full = stage(spark, docs, stage_tables), stage(spark, wide, stage_tables)
+        assert Counter(r["doc_id"] for r in plain.collect()) == Counter(r["doc_id"] for r in full.collect()), stage.__name__
+        if stage is not sharding.stage_shard:
+            assert full.columns == wide.columns and full.dtypes == wide.dtypes
+        assert {r["tags"]["a"] for r in full.select("tags").collect()} == {1}
+
+
+def test_stages_on_one_doc_id_and_on_nothing(spark, docs, no_docs, stage_tables):
+    same = docs.withColumn("doc_id", F.lit(5).cast("long"))
+    none = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    for stage in stages():
+        assert stage(spark, no_docs, stage_tables).count() == 0
+        for frame in (same, none):
+            left = stage(spark, frame, stage_tables).count()
+            if stage is not mixing.stage_mix:  # mixing repeats and leaves out by weight
+                assert left <= frame.count()
+    assert sharding.stage_shard(spark, same, stage_tables).count() == docs.count()
+    assert decontamination.stage_decontaminate(spark, none, stage_tables).count() == decontamination.stage_decontaminate(spark, docs, stage_tables).count()
+
+
+def test_blocks_of_queries_find_the_same(spark, docs, rows):
+    bench = spark.createDataFrame([(i, rows[i][1]) for i in range(5)], "item_id long, text string")
+    whole, blocks = ({(r["row_id"], r["n_words"], str(r["spans"]), tuple(r["items"])) for r in decontamination.benchmark_hits(docs, bench, windows=w).collect()} for w in (100_000, 7))
+    assert whole == blocks and any(x[3] for x in whole)
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    for kind in (np.uint32, np.uint64, np.int64):
+        for numbers in ([], [5], [3, 1, 4, 1, 5, 2**31], list(range(0, 100_000, 7))):
+            x = np.array(numbers, dtype=kind)
+            assert np.array_equal(decontamination._unpacked(decontamination._packed(x), kind), x)
+
+
+def test_hot_keys_join_like_others(spark):
+    from tripleloom.llm.common import join_hot
+
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(6_000)], "k long, v long")
+    sizes = left.groupBy("k").agg(F.count("*").alias("n"))
+    assert sorted(join_hot(left, sizes, "k").select("k", "v").collect()) == sorted(left.collect())
+
+
+def plain_median(units):
+    """The first cut of the tree, by sorting all units."""
+    total, sums = sum(u[1] for u in units), 0
+    for place, w, _ in sorted(units):
+        if sums + w >= total / 2:
+            return place
+        sums += w
+
+
+def test_the_first_cut_is_the_weighted_median(spark):
+    rng = random.Random(9)
+    units = [(rng.random() * 100, rng.randint(1, 50), rng.random()) for _ in range(500)]
+    frame = spark.createDataFrame([(p, float(w), t) for p, w, t in units], "d double, bytes double, tie double")
+    cut, leaves = sharding.kd_leaves(frame, ["d"], sum(u[1] for u in units) / 2)
+    assert leaves == 2
+    low = max(r["d"] for r in cut.filter("leaf = 0").collect())
+    high = min(r["d"] for r in cut.filter("leaf = 1").collect())
+    median = plain_median(units)
+    assert low <= high and low <= median <= high

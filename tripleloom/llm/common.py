@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,47 +14,100 @@ from pyspark.sql.window import Window
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key is hot if it holds more than one row in this many; so fewer than this many keys are.
+HOT = 1_000
+
+_ROOTS: dict[str, str] = {}
+_SCRATCH: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, single machine) is a
-    temporary folder made, once per session.
+    Only where ``spark.checkpoint.dir`` is unset and all runs in one process
+    (tests, single machine) is a temporary folder made, once per session.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="tripleloom-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tripleloom-"))
+        at = context.getCheckpointDir()
     return at
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def _root(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{shared_dir(spark).rstrip('/')}/tripleloom/{app}-{uuid.uuid4().hex[:8]}"
+        system, path = _file_system(spark, _ROOTS[app])
+        system.deleteOnExit(path)
+    return _ROOTS[app]
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage, survives lost executors and gives the optimizer true
-    sizes. The table stays until the shared folder is cleaned.
+    sizes. The table stays until the application ends, or until the scratch
+    that is open ends if there is one and ``keep`` does not ask for more.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tripleloom/{tag}-{uuid.uuid4().hex}"
+    at = _root(spark) if keep or not _SCRATCH else f"{_root(spark)}/{_SCRATCH[-1]}"
+    path = f"{at}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_keys(docs: DataFrame) -> list[Column]:
-    """_id and _row_key, which together tell rows apart unless they are equal in all columns.
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end, unless kept."""
+    _SCRATCH.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        system, path = _file_system(spark, f"{_root(spark)}/{_SCRATCH.pop()}")
+        system.delete(path, True)
+
 
-    Hashes leave nulls out, so which columns are null is hashed as well.
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame, tag: str) -> DataFrame:
+    """Every row as (row_id, doc), written once: its number and all its columns as a struct.
+
+    The caller's columns lie inside the struct, so none can clash with an
+    operator's own, whatever their names and types; numbers differ even for
+    rows that are equal in all columns.
     """
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    key = F.xxhash64(*cols, *[c.isNull() for c in cols])
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), key.alias("_row_key")]
+    row = F.struct(*[quoted(c) for c in docs.columns])
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), row.alias("doc")), tag)
+
 
+def texts_of(rows: DataFrame, *names: str) -> DataFrame:
+    """row_id and some columns of numbered rows; only these are read."""
+    return rows.select("row_id", *[F.col("doc").getField(n).alias(n) for n in names])
 
-KEYS = ["_id", "_row_key"]
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """``rows`` joined to ``table``, which has one row for each ``key`` and says how many rows hold it.
+
+    Keys that hold more than one row in ``HOT`` are fewer than HOT by
+    arithmetic: these go to the rows as a broadcast, so no task gathers one.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) > total / HOT
+    often = rows.join(F.broadcast(table.filter(hot)), key)
+    rare = rows.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti").join(table.filter(~hot), key)
+    return often.unionByName(rare)
 
 
 def word_count(text: Column) -> Column:
@@ -65,23 +121,23 @@ def unit_hash(*cols: Column) -> Column:
 
 
 def running_sum(
-    df: DataFrame, group: list[str], order: list[Column], bucket: str, value: str, out: str
+    df: DataFrame, group: list[str], order: list[Column], buckets: list[str], value: str, out: str
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of ``group`` that come before.
 
-    Rows are ordered by ``bucket`` (an integer that already follows the order)
-    and then ``order``. Buckets are summed first, so no task ever holds more
-    than one bucket of a group, however hot the group is.
+    Rows are ordered by ``buckets`` (whole numbers) and then ``order``. Buckets
+    are summed first, so no task ever holds more than one bucket of a group,
+    however hot the group is.
     """
-    totals = df.groupBy(*group, bucket).agg(F.sum(value).alias("_all"))
-    ahead = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*group, *buckets).agg(F.sum(value).alias("_all"))
+    ahead = Window.partitionBy(*group).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_ahead", F.coalesce(F.sum("_all").over(ahead), F.lit(0))).drop("_all")
     inner = (
-        Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group, *buckets).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
         df.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-        .join(totals, [*group, bucket])
+        .join(totals, [*group, *buckets])
         .withColumn(out, F.col("_in") + F.col("_ahead"))
         .drop("_in", "_ahead")
     )

@@ -10,17 +10,21 @@ cut, or slots for its next blocks are added at the end, so that the words taken
 of each source are its target, rounded to a whole number, at any total.
 
 Nulls: a null source is a source of its own and sorts last; a null or empty
-text has size 0 and is taken 0 times. Repeated rows are separate documents.
-An empty table gives an empty mix. Other columns of the input are ignored.
+text has size 0 and is taken 0 times; a null doc_id is an id like any other.
+Ties: documents of equal hash follow each other in the order of their row
+numbers. Repeated rows, and rows that share a doc_id, are separate documents.
+A very long text is cut by blocks, never by length: its words fall into as
+many blocks as they fill. An empty table gives an empty mix. Other columns of
+the input are ignored, whatever their names and types; the stage returns them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import KEYS, materialize, row_keys, running_sum, unit_hash, word_count
+from .common import materialize, numbered, running_sum, texts_of, unit_hash, word_count
 
 GOLDEN = 0.6180339887498949
 #: Slots of the whole schedule; a block holds the words of one slot.
@@ -87,7 +91,7 @@ def slot_schedule(sources: DataFrame, total: int, block: int) -> DataFrame:
     slots = slots.join(shares, "cell").filter("x >= lo and x < hi").select("slot", "src")
     slots = slots.withColumn("stretch", F.floor(F.col("slot") / STRETCH)).withColumn("one", F.lit(1))
     slots = materialize(
-        running_sum(slots, ["src"], [F.col("slot")], "stretch", "one", "rank").select("slot", "src", "rank"), "mix-slots"
+        running_sum(slots, ["src"], [F.col("slot")], ["stretch"], "one", "rank").select("slot", "src", "rank"), "mix-slots"
     )
 
     # Passes and the words of the last, partial one; a source is passed over max_repeats times at most, as its target is.
@@ -110,19 +114,19 @@ def slot_schedule(sources: DataFrame, total: int, block: int) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 7, slots: int = SLOTS
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 7, slots: int = SLOTS, row_id: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Mix ``docs`` (doc_id, source, text, …) and return (documents, schedule).
 
-    documents: row_id, doc_id, source, _id and _row_key, size, source_size, target,
-    taken (words of the document in the mix, repeats counted). schedule: see
-    ``slot_schedule``. Reruns over the same files agree.
+    documents: row_id, doc_id, source, size, source_size, target, taken (words
+    of the document in the mix, repeats counted). schedule: see
+    ``slot_schedule``. ``row_id`` tells rows apart; rows are numbered without
+    it. Reruns over the same files agree.
     """
     sized = materialize(
         docs.select(
-            F.monotonically_increasing_id().alias("row_id"), "doc_id", "source",
-            *row_keys(docs),
-            word_count(F.col("text")).alias("size"),
+            (F.monotonically_increasing_id() if row_id is None else row_id).alias("row_id"), "doc_id", "source",
+            F.xxhash64(F.col("text")).alias("text_hash"), word_count(F.col("text")).alias("size"),
         ),
         "mix-sizes",
     )
@@ -133,12 +137,17 @@ def mix_sources(
     uses = schedule.groupBy("src", "block", "words").agg(F.count("*").alias("uses"))
 
     known = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop(sources.source)
-    order = unit_hash(F.col("doc_id"), F.lit(seed))
+    order = unit_hash(F.col("doc_id"), F.col("text_hash"), F.lit(seed))
     known = known.withColumn("u", order).withColumn(
         "bucket", F.floor(F.col("u") * F.ceil(F.col("n_docs") / BUCKET))
     )
-    placed = running_sum(known, ["src"], [F.col("u"), F.col("row_id")], "bucket", "size", "begin")
-    placed = materialize(placed.drop("bucket", "u", "lo", "hi", "n_docs"), "mix-placed")
+    # Copies under one doc_id share their hash; where they overfill a bucket, they are dealt on by row.
+    full = known.groupBy("src", "bucket").agg(F.count("*").alias("rows")).filter(F.col("rows") > 2 * BUCKET)
+    known = known.join(full, ["src", "bucket"], "left").withColumn(
+        "part", F.pmod(F.xxhash64("row_id"), F.coalesce(F.ceil(F.col("rows") / BUCKET), F.lit(1)))
+    )
+    placed = running_sum(known, ["src"], [F.col("u"), F.col("row_id")], ["bucket", "part"], "size", "begin")
+    placed = materialize(placed.drop("bucket", "part", "rows", "u", "text_hash", "lo", "hi", "n_docs"), "mix-placed")
     end = F.col("begin") + F.col("size")
     pieces = placed.filter("size > 0").select(
         "row_id", "src", "begin", end.alias("end"),
@@ -170,18 +179,9 @@ def stage_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words carry no weight and stay once.
     """
-    mixed, _ = mix_sources(docs)
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5))
-    plan = mixed.groupBy(*KEYS).agg(
-        F.sum(copies).cast("int").alias("_copies"), F.count("*").alias("_rows")
-    )
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select("*", *row_keys(docs)).join(plan, KEYS)
-    times = F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_n")
-    alone = keyed.filter("_rows = 1").select(*cols, times)
-    # Rows equal in all columns stand for each other: one is kept for the copies of all.
-    many = keyed.filter("_rows > 1").groupBy(*KEYS).agg(
-        F.first("_copies").alias("_copies"), *[F.first(c).alias(f"_c{i}") for i, c in enumerate(cols)]
-    )
-    many = many.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], times)
-    return alone.unionByName(many).drop("_n")
+    rows = numbered(docs, "mix-rows")
+    mixed, _ = mix_sources(texts_of(rows, "doc_id", "source", "text"), row_id=F.col("row_id"))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    plan = mixed.select("row_id", copies.alias("copies")).filter("copies > 0")
+    out = rows.join(plan, "row_id").select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
+    return out.select("doc.*")

@@ -1,14 +1,25 @@
 """Sharding by a k-d tree over metadata; DataFrame operations only.
 
 A node is split at the weighted median of its widest metadata dimension until
-leaves are down to the target bytes. Equal texts are one unit of the tree: a
-cut falls between units, nearest to the median. Only where the unit at the
-median weighs more than ``TOLERANCE`` of its node is it cut itself, its rows
-going to either side in hash order, so that even a third of all rows in one group
+leaves are down to the target bytes. Dimensions are the logarithm of the size,
+the source and the language, each measured against its spread over all rows.
+The median is found by two histograms, of places and of hashes within a place.
+What is known of a level is one row for each node, joined to the units by the
+node: as a broadcast while a level has ``NODES`` nodes at most, as a written
+table beyond, so neither the driver nor a plan holds the tree.
+
+Equal texts are one unit of the tree: a cut falls between units, at the edge
+that is nearest to the median. Only where that edge would leave a half off by
+more than ``TOLERANCE`` of itself is the unit at the median cut, its rows going
+to either side in hash order, so that even a third of all rows in one group
 leaves the shards equal.
 
-Nulls: a null text counts as empty (size 1, CRC 0). Repeated rows are separate
-rows. An empty table gives no rows.
+Nulls: a null text counts as empty (size 1, CRC 0); a null source or language
+comes before all others; a null doc_id is an id like any other. Ties: units of
+one place follow each other by the hash of their text. Repeated rows, and rows
+that share a doc_id, are separate rows. A very long text is one row of its
+bytes, which may alone outweigh a shard. An empty table gives no rows. Other
+columns are ignored, whatever their names and types; the stage returns them.
 """
 
 from __future__ import annotations
@@ -17,33 +28,25 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import KEYS, materialize, row_keys, running_sum, unit_hash
+from .common import materialize, numbered, quoted, running_sum, texts_of, unit_hash
 
 #: Bins of one histogram; medians are found by refining bins.
-BINS = 256
-#: Share of its node's bytes above which one group of equal texts is cut.
-TOLERANCE = 0.004
-#: Leaves whose cuts the driver keeps; beyond it the tree is refused, not bent.
-MAX_LEAVES = 1 << 14
+BINS = 1 << 16
+#: Histograms of one median: one of the place, one of the hash.
+DIGITS = 2
+#: Nodes of a level, one row each, that are broadcast.
+NODES = 1 << 12
+#: Share of a half that may be off before a group of equal texts is cut.
+TOLERANCE = 0.01
 #: Rows in one numbering bucket of a shard.
 BUCKET = 4_000
 
 
 def _bins(at: Column, tie: Column) -> list[Column]:
-    """Four digits, base BINS, that order units by place and then by hash."""
-    fine = F.least(F.greatest(at, F.lit(0.0)), F.lit(1.0 - 1e-12)) * BINS
-    rest = (fine - F.floor(fine)) * BINS
-    mix = tie * BINS
-    return [F.floor(c).cast("int") for c in (fine, rest, mix, (mix - F.floor(mix)) * BINS)]
-
-
-def _case(node: Column, values: dict[int, object]) -> Column:
-    """Look up a small table of literals by node."""
-    if not values:
-        return F.lit(None)
-    pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(v))]
-    return F.element_at(F.create_map(*pairs), node)
+    """Digits, base BINS, that order units by place and then by hash."""
+    return [F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0 - 1e-12)) * BINS).cast("int") for x in (at, tie)]
 
 
 def kd_leaves(units: DataFrame, dims: list[str], target_bytes: float) -> tuple[DataFrame, int]:
@@ -53,151 +56,152 @@ def kd_leaves(units: DataFrame, dims: list[str], target_bytes: float) -> tuple[D
     from_u, to_u; number of leaves): the rows of a unit whose own hash lies in
     [from_u, to_u) belong to the leaf. An uncut unit has one row, [0, 1).
     """
-    whole = units.agg(
-        F.sum("bytes").alias("w"), *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]
-    ).first()
+    edges = [f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]
+    whole = units.agg(F.sum("bytes").alias("w"), *edges).first()
+    now = units.select("*", F.lit(0).cast("long").alias("leaf"), F.lit(0.0).alias("from_u"), F.lit(1.0).alias("to_u"))
     if not whole["w"]:
-        return units.select("*", F.lit(0).alias("leaf"), F.lit(0.0).alias("from_u"), F.lit(1.0).alias("to_u")), 1
+        return now, 1
     levels = max(0, math.ceil(math.log2(max(1.0, whole["w"] / target_bytes)) - 1e-9))
-    if 1 << levels > MAX_LEAVES:
-        raise ValueError(f"{1 << levels} leaves; raise target_bytes or MAX_LEAVES")
-    span = {d: (whole[f"hi_{d}"] - whole[f"lo_{d}"]) or 1.0 for d in dims}
-    now = units.select("*", F.lit(0).alias("leaf"), F.lit(0.0).alias("from_u"), F.lit(1.0).alias("to_u"))
+    span = {d: float(whole[f"hi_{d}"] - whole[f"lo_{d}"]) or 1.0 for d in dims}
+    names = [c for c in now.columns if c not in ("leaf", "from_u", "to_u")]
     weight = F.col("bytes") * (F.col("to_u") - F.col("from_u"))
+    digits = [f"b{i}" for i in range(DIGITS)]
     for level in range(levels):
-        stats = {
-            r["leaf"]: r
-            for r in now.groupBy("leaf").agg(
-                F.sum(weight).alias("w"),
-                *[f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))],
-            ).collect()
-        }
-        wide = {k: max(range(len(dims)), key=lambda i: (r[f"hi_{dims[i]}"] - r[f"lo_{dims[i]}"]) / span[dims[i]]) for k, r in stats.items()}
-        low = {k: float(r[f"lo_{dims[wide[k]]}"]) for k, r in stats.items()}
-        size = {k: float(r[f"hi_{dims[wide[k]]}"] - r[f"lo_{dims[wide[k]]}"]) or 1.0 for k, r in stats.items()}
-        value = F.element_at(F.array(*[F.col(d).cast("double") for d in dims]), _case(F.col("leaf"), wide) + 1)
-        at = (value - _case(F.col("leaf"), low)) / _case(F.col("leaf"), size)
-        binned = now.select("*", *[b.alias(f"_b{i}") for i, b in enumerate(_bins(at, F.col("tie")))], value.alias("_v"))
-        half = {k: r["w"] / 2 for k, r in stats.items()}
-        base, cut = dict.fromkeys(stats, 0.0), {k: [] for k in stats}
-        here = binned
-        for i in range(4):
-            counts: dict[int, list] = {}
-            for r in here.groupBy("leaf", f"_b{i}").agg(F.sum(weight).alias("w")).collect():
-                counts.setdefault(r["leaf"], []).append((r[f"_b{i}"], r["w"]))
-            for k, found in counts.items():
-                found.sort()
-                for n, (b, w) in enumerate(found):
-                    if base[k] + w >= half[k] or n == len(found) - 1:
-                        cut[k].append(b)
-                        break
-                    base[k] += w
-            here = here.filter(F.col(f"_b{i}") == _case(F.col("leaf"), {k: c[i] for k, c in cut.items()}))
-        # Few units are left at the median: find the edge nearest to it, or the unit to cut.
-        near: dict[int, list] = {}
-        for r in here.select("leaf", "_v", "tie", weight.alias("w")).collect():
-            near.setdefault(r["leaf"], []).append((r["_v"], r["tie"], r["w"]))
-        edge_v, edge_tie, share = {}, {}, {}
-        for k, found in near.items():
-            found.sort()
-            for n, (v, tie, w) in enumerate(found):
-                if base[k] + w >= half[k] or n == len(found) - 1:
-                    edge_v[k], edge_tie[k] = v, tie
-                    part = min(1.0, max(0.0, (half[k] - base[k]) / w))
-                    share[k] = part if w > TOLERANCE * stats[k]["w"] and w > 0 else float(part >= 0.5)
-                    break
-                base[k] += w
-        order = F.struct(*[F.col(f"_b{i}") for i in range(4)], F.col("_v"), F.col("tie"))
-        edge = F.struct(
-            *[_case(F.col("leaf"), {k: c[i] for k, c in cut.items()}).cast("int").alias(f"_b{i}") for i in range(4)],
-            _case(F.col("leaf"), edge_v).cast("double").alias("_v"), _case(F.col("leaf"), edge_tie).cast("double").alias("tie"),
+
+        def held(known: DataFrame, tag: str, nodes: int = 1 << level) -> DataFrame:
+            return F.broadcast(known) if nodes <= NODES else materialize(known, tag)
+
+        # One row for each node: its widest dimension, and what is known of its median so far.
+        wide = [
+            F.struct(
+                ((F.col(f"hi_{d}") - F.col(f"lo_{d}")) / span[d]).alias("width"), F.lit(-i).alias("dim"), F.col(f"lo_{d}").cast("double").alias("low"),
+                (F.col(f"hi_{d}") - F.col(f"lo_{d}")).cast("double").alias("range"),
+            )
+            for i, d in enumerate(dims)
+        ]
+        known = now.groupBy("leaf").agg(F.sum(weight).alias("w"), *edges).withColumn("best", F.array_max(F.array(*wide)))
+        known = known.select(
+            "leaf", (F.col("w") / 2).alias("half"), F.lit(0.0).alias("base"), (-F.col("best.dim")).alias("dim"), F.col("best.low").alias("low"),
+            F.when(F.col("best.range") > 0, F.col("best.range")).otherwise(1.0).alias("range"),
         )
-        middle = F.col("from_u") + (F.col("to_u") - F.col("from_u")) * _case(F.col("leaf"), share)
-        split = F.when(order < edge, F.array(F.struct(F.lit(0).alias("side"), F.col("from_u").alias("f"), F.col("to_u").alias("t"))))
-        split = split.when(order > edge, F.array(F.struct(F.lit(1).alias("side"), F.col("from_u").alias("f"), F.col("to_u").alias("t"))))
-        split = split.otherwise(F.filter(
-            F.array(
-                F.struct(F.lit(0).alias("side"), F.col("from_u").alias("f"), middle.alias("t")),
-                F.struct(F.lit(1).alias("side"), middle.alias("f"), F.col("to_u").alias("t")),
-            ),
-            lambda s: s["f"] < s["t"],
-        ))
-        kept = [c for c in now.columns if c not in ("leaf", "from_u", "to_u")]
-        now = binned.withColumn("_s", F.explode(split)).select(
-            *kept, (F.col("leaf") * 2 + F.col("_s.side")).cast("int").alias("leaf"), F.col("_s.f").alias("from_u"), F.col("_s.t").alias("to_u")
+        known = held(known, "shard-nodes")
+        value = F.element_at(F.array(*[F.col(d).cast("double") for d in dims]), F.col("dim") + 1)
+        place = [b.alias(n) for b, n in zip(_bins((value - F.col("low")) / F.col("range"), F.col("tie")), digits)]
+
+        def found(known: DataFrame, now: DataFrame = now, value: Column = value, place: list[Column] = place) -> DataFrame:
+            """Units with what is known of their node, their place and their weight."""
+            return now.join(known, "leaf").select("*", *place, value.alias("v"), weight.alias("own"))
+
+        keep = ["leaf", "half", "dim", "low", "range"]
+        for i, digit in enumerate(digits):
+            here = found(known)
+            for b in digits[:i]:
+                here = here.filter(F.col(b) == F.col(f"cut_{b}"))
+            cuts = [f"cut_{b}" for b in digits[:i]]
+            bins = here.groupBy(*keep, "base", *cuts, digit).agg(F.sum("own").alias("own"))
+            at = Window.partitionBy("leaf").orderBy(digit)
+            bins = bins.withColumns({"until": F.sum("own").over(at.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead(digit).over(at)})
+            bins = bins.filter((F.col("base") + F.col("until") >= F.col("half")) | F.col("next").isNull())
+            first = F.row_number().over(Window.partitionBy("leaf").orderBy(digit))
+            known = bins.withColumn("place", first).filter("place = 1").select(
+                *keep, (F.col("base") + F.col("until") - F.col("own")).alias("base"), *cuts, F.col(digit).alias(f"cut_{digit}")
+            )
+            known = held(known, "shard-cut")
+        # Few units are left at the median: find the edge nearest to it, or the unit to cut.
+        here = found(known)
+        for b in digits:
+            here = here.filter(F.col(b) == F.col(f"cut_{b}"))
+        at = Window.partitionBy("leaf").orderBy("v", "tie")
+        here = here.withColumns({"until": F.sum("own").over(at.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("tie").over(at)})
+        here = here.filter((F.col("base") + F.col("until") >= F.col("half")) | F.col("next").isNull())
+        here = here.withColumn("place", F.row_number().over(at)).filter("place = 1")
+        ahead = (F.col("half") - F.col("base") - F.col("until") + F.col("own")) / F.col("own")
+        here = here.withColumn("share", F.greatest(F.least(F.when(F.col("own") > 0, ahead).otherwise(1.0), F.lit(1.0)), F.lit(0.0)))
+        off = F.least("share", 1 - F.col("share")) * F.col("own")
+        share = F.when(off > TOLERANCE * F.col("half"), F.col("share")).otherwise(F.when(F.col("share") >= 0.5, 1.0).otherwise(0.0))
+        known = held(here.select(*keep, *[f"cut_{b}" for b in digits], F.col("v").alias("cut_v"), F.col("tie").alias("cut_tie"), share.alias("share")), "shard-edge")
+
+        order = F.struct(*digits, "v", "tie")
+        edge = F.struct(*[F.col(f"cut_{b}").alias(b) for b in digits], F.col("cut_v").alias("v"), F.col("cut_tie").alias("tie"))
+        middle = F.col("from_u") + (F.col("to_u") - F.col("from_u")) * F.col("share")
+
+        def piece(side: int, begin: Column, end: Column) -> Column:
+            return F.struct(F.lit(side).alias("side"), begin.alias("f"), end.alias("t"))
+
+        split = F.when(order < edge, F.array(piece(0, F.col("from_u"), F.col("to_u"))))
+        split = split.when(order > edge, F.array(piece(1, F.col("from_u"), F.col("to_u"))))
+        split = split.otherwise(F.filter(F.array(piece(0, F.col("from_u"), middle), piece(1, middle, F.col("to_u"))), lambda s: s["f"] < s["t"]))
+        now = found(known).withColumn("piece", F.explode(split)).select(
+            *names, (F.col("leaf") * 2 + F.col("piece.side")).alias("leaf"), F.col("piece.f").alias("from_u"), F.col("piece.t").alias("to_u")
         )
         now = materialize(now, f"shard-level{level}")
     return now, 1 << levels
 
 
-def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """row_id, doc_id, _id, _row_key, size, text_crc32, shard, slot for all rows of ``docs``.
+def _spelled(text: Column) -> Column:
+    """A number that orders texts as their first six bytes do; 0 for null."""
+    start = F.rpad(F.hex(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, 6)), 12, "0")
+    return F.conv(start, 16, 10).cast("double")
+
 
-    ``shards`` (a power of two) sets the target bytes of a leaf. Dimensions are
-    the logarithm of the size and the CRC of the text, both the text's own, so
-    that copies lie together.
+def shard_documents(docs: DataFrame, shards: int = 8, row_id: Column | None = None, metadata: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """row_id, doc_id, size, text_crc32, shard, slot for all rows of ``docs``.
+
+    ``shards`` (a power of two) sets the target bytes of a leaf. ``row_id``
+    tells rows apart; rows are numbered without it. Dimensions besides the size
+    are the columns of ``metadata`` that there are; a group of equal texts has
+    the least value of its rows.
     """
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
     text = F.coalesce(F.col("text"), F.lit(""))
+    known = [c for c in metadata if c in docs.columns]
+    dims = [f"d_{i}" for i in range(len(known))]
     rows = materialize(
         docs.select(
-            F.monotonically_increasing_id().alias("row_id"), "doc_id",
-            *row_keys(docs),
+            (F.monotonically_increasing_id() if row_id is None else row_id).alias("row_id"), "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.xxhash64(text).alias("text_hash"),
+            *[_spelled(quoted(c).cast("string")).alias(f"d_{i}") for i, c in enumerate(known)],
         ),
         "shard-rows",
     )
-    units = rows.groupBy("size", "text_crc32", "text_hash").agg(F.sum("size").alias("bytes"))
-    units = units.select(
-        "*", F.log2(F.col("size")).alias("d_size"), F.col("text_crc32").cast("double").alias("d_crc"),
-        unit_hash(F.col("text_hash"), F.col("text_crc32"), F.col("size")).alias("tie"),
-    )
+    unit = ["size", "text_crc32", "text_hash"]
+    units = rows.groupBy(*unit).agg(F.sum("size").alias("bytes"), *[F.min(d).alias(d) for d in dims])
+    units = units.select("*", F.log2(F.col("size")).alias("d_size"), unit_hash(F.col("text_hash"), F.col("text_crc32"), F.col("size")).alias("tie"))
     units = materialize(units, "shard-units")
     total = units.agg(F.sum("bytes")).first()[0] or 0
-    leaves, _ = kd_leaves(units, ["d_size", "d_crc"], max(1.0, total / shards))
-    leaves = leaves.select("size", "text_crc32", "text_hash", "leaf", "from_u", "to_u")
-    unit = ["size", "text_crc32", "text_hash"]
-    rows = rows.withColumn("_h", unit_hash(F.col("row_id"), F.col("doc_id")))
-    # Rows of a cut unit are ranked in hash order, so that each side gets its exact share of them.
-    cut = materialize(leaves.filter("from_u > 0 or to_u < 1").select(*unit).distinct().join(units.select(*unit, (F.col("bytes") / F.col("size")).alias("_n")), unit), "shard-cut")
+    leaves, _ = kd_leaves(units, ["d_size", *dims], max(1.0, total / shards))
+    leaves = leaves.select(*unit, "leaf", "from_u", "to_u")
+    rows = rows.drop(*dims).withColumn("_h", unit_hash(F.col("row_id"), F.col("doc_id")))
+    # Rows of a cut unit are ranked in hash order, so that each side gets its exact share of them; a node cuts one unit at most.
+    cut = leaves.filter("from_u > 0 or to_u < 1").select(*unit).distinct().join(units.select(*unit, (F.col("bytes") / F.col("size")).alias("_n")), unit)
+    cut = materialize(cut, "shard-cut")
     hot = rows.join(cut, unit).withColumns({"_bucket": F.floor(F.col("_h") * F.ceil(F.col("_n") / BUCKET)), "_one": F.lit(1).cast("long")})
-    hot = running_sum(hot, unit, [F.col("_h"), F.col("row_id")], "_bucket", "_one", "_rank")
+    hot = running_sum(hot, unit, [F.col("_h"), F.col("row_id")], ["_bucket"], "_one", "_rank")
     hot = hot.withColumn("_u", (F.col("_rank") + 0.5) / F.col("_n")).drop("_bucket", "_one", "_rank", "_n")
-    rows = rows.join(cut, unit, "left_anti").withColumn("_u", F.lit(0.5)).unionByName(hot)
-    placed = rows.join(leaves, unit).filter("_u >= from_u and _u < to_u")
-    placed = placed.withColumnRenamed("leaf", "shard").drop("from_u", "to_u")
+    pieces = materialize(leaves.join(cut.select(*unit), unit, "left_semi"), "shard-pieces")
+    hot = hot.join(pieces, unit).filter("_u >= from_u and _u < to_u").drop("_u", "from_u", "to_u")
+    rest = rows.join(cut, unit, "left_anti").join(leaves.drop("from_u", "to_u"), unit)
+    placed = rest.unionByName(hot).withColumnRenamed("leaf", "shard")
     placed = materialize(placed, "shard-placed")
     n = placed.count()
     placed = placed.withColumn("_bucket", F.floor(F.col("_h") * max(1, math.ceil(n / shards / BUCKET))))
     placed = placed.withColumn("_one", F.lit(1).cast("long"))
-    placed = running_sum(placed, ["shard"], [F.col("_h"), F.col("row_id")], "_bucket", "_one", "slot")
-    return placed.select("row_id", "doc_id", *KEYS, "size", "text_crc32", "shard", "slot")
+    placed = running_sum(placed, ["shard"], [F.col("_h"), F.col("row_id")], ["_bucket"], "_one", "slot")
+    return placed.select("row_id", "doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 
 def op7_shard_documents(spark, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of nearly equal bytes."""
     placed = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def stage_shard(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with shard and slot; columns of those names are replaced."""
-    docs = docs.drop("shard", "slot")
-    placed = shard_documents(docs)
-    # Rows equal in all columns stand for each other: the n-th of them gets the n-th place.
-    same = F.struct("shard", "slot")
-    places = placed.groupBy(*KEYS).agg(F.count("*").alias("_n"), F.min(same).alias("_first"))
-    keyed = docs.select("*", *row_keys(docs)).join(places, KEYS)
-    out = [F.col(f"`{c}`") for c in docs.columns]
-    alone = keyed.filter("_n = 1").select(*out, F.col("_first.shard").alias("shard"), F.col("_first.slot").alias("slot"))
-    # One row of each repeated kind is kept and joined to all of its places.
-    many = keyed.filter("_n > 1").groupBy(*KEYS).agg(*[F.first(c).alias(f"_c{i}") for i, c in enumerate(out)])
-    many = many.join(placed.select(*KEYS, "shard", "slot"), KEYS)
-    many = many.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)], "shard", "slot")
-    return alone.unionByName(many)
+    docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in ("shard", "slot")])
+    rows = numbered(docs, "shard-docs")
+    placed = shard_documents(texts_of(rows, "doc_id", "source", "lang", "text"), row_id=F.col("row_id"))
+    return rows.join(placed.select("row_id", "shard", "slot"), "row_id").select("doc.*", "shard", "slot")

@@ -11,7 +11,15 @@ longer than ``BLOCK`` is dealt out as pairs of blocks.
 
 Nulls: a null or empty text has no words and fingerprint zero, which links
 like any other. A null doc_id is never a component's name unless there is no
-other. Repeated rows share their fingerprint. An empty table gives no rows.
+other. Repeated rows share their fingerprint, and rows that share a doc_id are
+told apart by their row number; of documents that tie for a group's place the
+one with the smallest number stays. Very long texts are hashed whole, shingle by
+shingle. An empty table gives no rows. Other columns are ignored, whatever
+their names and types; the stage returns them.
+
+Four bits of 64 are a narrow bound: an edit of a few words in a long text stays
+within it, one in a short text often does not. That bounds what the operator
+can call a near copy, whatever the index finds; the index loses no link.
 """
 
 from __future__ import annotations
@@ -23,10 +31,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYS, materialize, row_keys
+from .common import join_hot, materialize, numbered, texts_of
 
 SEED = 42
 SHINGLE = 4
@@ -100,14 +108,14 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 part, size = [], 0
         out.append(fingerprints(part))
         found = np.concatenate(out).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=["doc_id", "row_key", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=["row_id", "doc_id", "fp"])
 
 
-def fingerprint_documents(docs: DataFrame, with_key: bool = False) -> DataFrame:
-    """doc_id, row_key (a hash of the whole row, or null), fp (the 64 bits as a long)."""
-    key = row_keys(docs)[1] if with_key else F.lit(None).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("row_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, row_key long, fp long")
+def fingerprint_documents(docs: DataFrame, row_id: Column | None = None) -> DataFrame:
+    """row_id, doc_id, fp (the 64 bits as a long)."""
+    number = F.monotonically_increasing_id() if row_id is None else row_id
+    rows = docs.select(number.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, "row_id long, doc_id long, fp long")
 
 
 def _link_groups(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +195,7 @@ def fingerprint_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     ]
     postings = distinct.select("fp", F.explode(F.array(*[k.cast("long") for k in keys])).alias("key"))
     lists = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    postings = postings.join(lists, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    postings = join_hot(postings, materialize(lists, "lists"), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")
     # With one block a list is compared whole; else each pair of blocks is, by its own task.
     partner = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
@@ -222,20 +230,20 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
-    """doc_id, row_key, fp, root (a fingerprint that names the component), component_id
+def near_duplicates(docs: DataFrame, row_id: Column | None = None) -> DataFrame:
+    """row_id, doc_id, fp, root (a fingerprint that names the component), component_id
     (smallest doc_id reachable) for every row."""
-    rows = materialize(fingerprint_documents(docs, with_key), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    rows = materialize(fingerprint_documents(docs, row_id), "fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     links = materialize(fingerprint_links(distinct.select("fp")), "near")
     member = components(links).withColumnRenamed("node", "fp")
     named = member.join(distinct, "fp")
     names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = named.join(names, "root").select("fp", "root", "component_id")
     classes = distinct.join(linked, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")
+        "fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id")
     )
-    return rows.join(materialize(classes, "classes"), "fp")
+    return join_hot(rows, materialize(classes, "classes"), "fp").drop("n")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
@@ -247,16 +255,8 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 
 def stage_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate component, the one with the smallest doc_id."""
-    found = materialize(near_duplicates(docs, with_key=True).select("doc_id", "row_key", "root"), "dedup")
-    # Rows of one doc_id differ in their key; the smallest key stays.
-    best = found.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
-    )
-    id_ = F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id")
-    rows = found.groupBy(id_, F.col("row_key").alias("_row_key")).agg(F.count("*").alias("_rows"))
-    keep = best.select("best.*").select(id_, F.col("row_key").alias("_row_key")).join(rows, KEYS)
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select("*", *row_keys(docs)).join(keep, KEYS)
-    alone = keyed.filter("_rows = 1").select(*cols)
-    many = keyed.filter("_rows > 1").groupBy(*KEYS).agg(*[F.first(c).alias(f"_c{i}") for i, c in enumerate(cols)])
-    return alone.unionByName(many.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    rows = numbered(docs, "dedup-rows")
+    found = near_duplicates(texts_of(rows, "doc_id", "text"), row_id=F.col("row_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_id"))
+    keep = found.groupBy("root").agg(F.min_by("row_id", order).alias("row_id")).select("row_id")
+    return rows.join(keep, "row_id").select("doc.*")

@@ -8,16 +8,21 @@ recognised). Two gated recurrent layers read a window in both directions,
 attention pools their states, and the window with the highest logit gives the
 text's score after calibration. All windows are scored.
 
-The network is fitted on a bounded sample of labelled rows: at most about
-``SAMPLE`` toxic and twice as many other texts, chosen by hash. Tables for the
-word and character inputs are made crosswise while training, so that no text
-sees its own label.
+The network is fitted on a bounded sample of labelled rows: at most ``SAMPLE``
+toxic and twice as many other texts, in the order of a hash and as long as they
+hold ``SAMPLE_BYTES`` in all (twice that for the others), both kinds bounded on
+their own before anything reaches the driver. Tables for the word and character
+inputs are made crosswise while training, so that no text sees its own label.
 
 Nulls: a null or empty text, or one without letters, is one empty window and
 has a score like any other. A null doc_id counts as training; rows without a
-label, or with a null one, teach nothing. Repeated rows are scored alike. An
-empty table gives no rows; without labels of both kinds every score is the
-share of toxic labels (0 without any). Other columns are ignored.
+label, or with a null one, teach nothing. Repeated rows are scored alike, and
+teach once; rows of one doc_id with different texts teach on their own, and one
+with both labels teaches both. Ties: a score of exactly 0.5 counts as toxic. A
+very long text is read in full, window by window. An empty table gives no rows;
+with fewer than 8 labelled texts, or labels of one kind only, every score is
+the share of toxic labels (0 without any). Other columns are ignored, whatever
+their names and types; the stage returns them.
 """
 
 from __future__ import annotations
@@ -30,10 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import KEYS, materialize, row_keys, unit_hash
+from .common import materialize, numbered, texts_of, unit_hash
 
 SAMPLE = 1_200
+SAMPLE_BYTES = 12_000_000
 WINDOW = 48
 STRIDE = 36
 HIDDEN = 8
@@ -43,9 +50,13 @@ CELLS = 1 << 16
 LENGTHS = (3, 4, 5)
 #: A word or n-gram in fewer training texts says nothing.
 LEAST = 3
+#: Steps that the network is trained for at least.
+STEPS = 240
 #: Words of a text chunk, windows in a batch, and words whose inputs a worker remembers.
 CHUNK = 1_000_000
 BATCH = 2_048
+#: Words whose character n-grams are hashed at a time.
+PART = 10_000
 MEMORY = 120_000
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -85,9 +96,13 @@ class Inputs:
         cells, mark = np.zeros((CELLS, 2)), np.zeros(CELLS, dtype=bool)
         vocabulary = list({w for t in texts for w in t})
         places = {w: i for i, w in enumerate(vocabulary)}
-        cell, of = word_cells(vocabulary)
-        order = np.argsort(of, kind="stable")
-        cell, edge = cell[order], np.searchsorted(of[order], np.arange(len(vocabulary) + 1))
+        sizes, parts = [np.zeros(1, np.int64)], [np.empty(0, np.uint16)]
+        for k in range(0, len(vocabulary), PART):
+            some = vocabulary[k : k + PART]
+            found, of = word_cells(some)
+            parts.append(found[np.argsort(of, kind="stable")].astype(np.uint16))  # CELLS fit
+            sizes.append(np.bincount(of, minlength=len(some)))
+        cell, edge = np.concatenate(parts), np.cumsum(np.concatenate(sizes))
         for words, label in zip(texts, toxic.astype(int)):
             unique = set(words)
             for w in unique:
@@ -113,8 +128,11 @@ class Inputs:
     def rows(self, words: list[bytes]) -> np.ndarray:
         """Network inputs of some words."""
         out = np.zeros((len(words), INPUTS), dtype=np.float32)
-        if not words:
-            return out
+        for k in range(0, len(words), PART):
+            self._fill(out[k : k + PART], words[k : k + PART])
+        return out
+
+    def _fill(self, out: np.ndarray, words: list[bytes]) -> None:
         out[:, 0] = [self.words.get(w, 0.0) for w in words]
         out[:, 1] = [w in self.words for w in words]
         cell, of = word_cells(words)
@@ -124,7 +142,6 @@ class Inputs:
         np.maximum.at(out[:, 3], of, value)
         out[:, 4] = np.bincount(of, weights=value > 1.0, minlength=len(words)) / np.maximum(n, 1)
         out[:, 5] = np.minimum(np.array([len(w) for w in words]) / 10, 2)
-        return out
 
 
 def windows_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,8 +234,14 @@ class Network:
         return grad
 
     def train(self, rows: np.ndarray, ids: np.ndarray, mask: np.ndarray, label: np.ndarray, epochs: int = 6, size: int = 256, rate: float = 0.02) -> None:
-        """Adam over shuffled batches; ids and mask are (windows, steps)."""
+        """Adam over shuffled batches; ids and mask are (windows, steps).
+
+        Few windows make smaller batches and more epochs, as the network needs
+        some ``STEPS`` steps whatever the size of its sample.
+        """
         rng = np.random.default_rng(1)
+        size = min(size, max(16, len(label) // 8))
+        epochs = max(epochs, -(-STEPS * size // max(1, len(label))))
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step = 0
         for epoch in range(epochs):
@@ -232,7 +255,7 @@ class Network:
                     first[name] = 0.9 * first[name] + 0.1 * g
                     second[name] = 0.99 * second[name] + 0.01 * g * g
                     change = first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)
-                    self.p[name] -= (rate / (1 + epoch / 4) * change).astype(np.float32)
+                    self.p[name] -= (rate / (1 + 1.5 * epoch / epochs) * change).astype(np.float32)
 
 
 def _window_matrix(texts: list[list[bytes]], place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -380,21 +403,29 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 13) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: int = 13) -> Model:
     """Fit on labelled documents that are not held out."""
-    known = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
-    known = known.filter(~is_held_out(F.col("doc_id")))
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
+    known = known.filter(~is_held_out(F.col("doc_id"))).dropDuplicates(["doc_id", "toxic"])
+    most = {1: sample, 0: 2 * sample}
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     u = unit_hash(F.col("doc_id"), F.lit(seed))
-    picked = known.filter(
-        (F.col("toxic") == 1) & (u < sample / max(1, sizes.get(1, 0))) | (F.col("toxic") == 0) & (u < 2 * sample / max(1, sizes.get(0, 0)))
-    )
+    # The hash thins out both kinds to a little more than asked, then the smallest hashes are taken.
+    picked = [known.filter((F.col("toxic") == kind) & (u < 1.2 * n / max(1, sizes.get(kind, 0)))).orderBy(u, "doc_id").limit(n) for kind, n in most.items()]
+    picked = materialize(picked[0].unionByName(picked[1]), "toxic-labels")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(~is_held_out(F.col("doc_id")))
-    # The sample's size is bounded, so it goes to the texts and no text is shuffled.
-    picked = F.broadcast(materialize(picked.dropDuplicates(["doc_id", "toxic"]), "toxic-sample"))
-    rows = texts.join(picked, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "toxic", "text").toArrow()
-    # Label rows are few against texts; should one doc_id repeat, its rows are bounded here.
-    rows = rows.slice(0, 6 * sample)
+    # The labels are 3 * sample rows at most, so they go to the texts and no text is shuffled.
+    taught = texts.join(F.broadcast(picked), "doc_id").withColumns({"h": unit_hash(F.col("doc_id"), F.col("text"), F.lit(seed)), "size": F.coalesce(F.octet_length("text"), F.lit(0))})
+    taught = materialize(taught, "toxic-sample")
+    # Where doc_ids repeat there may be any number of texts: their hashes alone are ordered and bounded, in rows and in bytes.
+    kinds = []
+    for kind, n in most.items():
+        kept = taught.filter(F.col("toxic") == kind).select("toxic", "h", "size").distinct().orderBy("h", "size").limit(n)
+        until = F.sum("size").over(Window.orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0))
+        kinds.append(kept.withColumn("until", until).filter(F.col("until") <= sample_bytes * (2 - kind)).select("toxic", "h", "size"))
+    chosen = materialize(kinds[0].unionByName(kinds[1]), "toxic-chosen")
+    rows = taught.join(F.broadcast(chosen), ["toxic", "h", "size"]).groupBy("h", "toxic", "size").agg(F.first("text").alias("text"))
+    rows = rows.orderBy("h", "toxic", "size").select("text", "toxic").toArrow()
     seen: dict[bytes, bytes] = {}  # equal words are one object
     texts = [[seen.setdefault(w, w) for w in words_of((t.as_py() or "").encode())] for t in rows["text"]]
     return Model(texts, rows["toxic"].to_numpy().astype(np.int64))
@@ -415,8 +446,10 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def stage_toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
-    shared = spark.sparkContext.broadcast(fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    rows = docs.select(*row_keys(docs), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_run(shared, uuid.uuid4().hex), "_id long, _row_key long, score double")
-    bad = materialize(scored.filter("score >= 0.5").select(*KEYS).distinct(), "toxic")
-    return docs.select("*", *row_keys(docs)).join(bad, KEYS, "left_anti").drop(*KEYS)
+    rows = numbered(docs, "toxic-rows")
+    shared = spark.sparkContext.broadcast(fit_toxicity(texts_of(rows, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    texts = rows.select("row_id", F.col("doc.text").cast("string").alias("text"))
+    scored = texts.mapInArrow(_run(shared, uuid.uuid4().hex), "row_id long, score double")
+    bad = materialize(scored.filter("score >= 0.5").select("row_id"), "toxic")
+    shared.unpersist()
+    return rows.join(bad, "row_id", "left_anti").select("doc.*")

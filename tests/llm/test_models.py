@@ -65,13 +65,27 @@ def held(doc_id, n, k):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % n == k
 
 
-@pytest.mark.parametrize("table", [4_000_000, 40])
-def test_context_tree_scores(spark, table):
+def test_pieces_of_long_texts_have_the_same_grams():
+    texts = [b"", b"a", b"one two", b"x" * 30]
+    whole = list(context_tree.pieces(texts, 4))
+    assert len(whole) == 1
+    code, sizes = context_tree.gram_codes(whole[0], 4)
+    assert sizes.tolist() == [1, 2, 8, 31]
+    for most in (1, 3, 7):
+        cut = [context_tree.gram_codes(part, 4)[0] for part in context_tree.pieces(texts, 4, most)]
+        assert np.array_equal(np.concatenate(cut), code)
+
+
+@pytest.mark.parametrize("table, tokens", [(4_000_000, 400_000), (40, 3), (0, 0)])
+def test_context_tree_scores(spark, table, tokens):
     rng = random.Random(4)
     words = ["the", "cat", "sat", "Été", "on", "mat", "a", "dog"]
     rows = [(i, " ".join(rng.choices(words + [f"w{i}"], k=rng.randint(1, 9)))) for i in range(40)] + [(50, None), (51, ""), (51, "the  cat"), (None, "the cat")]
+    # Long words that differ in every letter, and so would under any polynomial hash modulo a power of two.
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    rows += [(60, thue), (61, thue.translate(str.maketrans("ab", "ba"))), (62, f"{thue} {thue} cat")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6), round(r["score"], 5), r["n_known"], r["held_out"], r["train_tokens"]) for r in context_tree.score_documents(frame, depth=3, table=table).collect()}
+    found = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6), round(r["score"], 5), r["n_known"], r["held_out"], r["train_tokens"]) for r in context_tree.score_documents(frame, depth=3, table=table, tokens=tokens).collect()}
     train = [t for d, t in rows if not held(d, 7, 2)]
     tokens = Counter(w for t in train for w in WORD.findall((t or "").translate(LOWER)))
     n, v = sum(tokens.values()) + len(train), len(tokens) + 1

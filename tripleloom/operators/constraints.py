@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.checkpoint import cut
 from . import tree
 
 #: Confidence from which a constraint is hard, soft or a hint, and the support a hard one needs.
@@ -41,9 +42,11 @@ def signature_map(typed: DataFrame, up: DataFrame) -> DataFrame:
 def joint_support(typed: DataFrame, signatures: DataFrame) -> DataFrame:
     """(relation_id, domain, range, support, total, pca_confidence), counted triplet by triplet.
 
-    Triplets are counted by their types before signatures are joined.
+    Triplets are counted by their types before signatures are joined; a column
+    ``n`` says how many triplets a row already stands for.
     """
-    counts = typed.groupBy("relation_id", "subject_type_id", "object_type_id").agg(F.count("*").alias("n"))
+    n = F.sum("n") if "n" in typed.columns else F.count("*")
+    counts = typed.groupBy("relation_id", "subject_type_id", "object_type_id").agg(n.alias("n"))
     for role, side in (("domain", "subject_type_id"), ("range", "object_type_id")):
         at = signatures.filter(F.col("role") == role).select("relation_id", F.col("type_id").alias(side), F.col("signature").alias(role))
         counts = counts.join(at, ["relation_id", side])
@@ -60,7 +63,14 @@ def with_strength(support: DataFrame, include_below: bool = False) -> DataFrame:
 
 
 def induce(typed: DataFrame, up: DataFrame, directions: DataFrame | None = None, include_below: bool = False) -> DataFrame:
-    """Constraints of ``typed`` (relation_id, surface, subject_type_id, object_type_id); empty in, empty out."""
+    """Constraints of ``typed`` (relation_id, surface, subject_type_id, object_type_id and n, if counted); empty in, empty out.
+
+    What is mined from are the counts by relation, surface and types, which are
+    few against the triplets and are written once.
+    """
+    n = F.sum("n") if "n" in typed.columns else F.count("*")
+    keys = [k for k in ("relation_id", "surface", "subject_type_id", "object_type_id") if k in typed.columns]
+    typed = cut(typed.groupBy(*keys).agg(n.alias("n")))
     if directions is not None:
         typed = apply_directions(typed, directions)
     return with_strength(joint_support(typed, signature_map(typed, up)), include_below)

@@ -7,38 +7,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clean, compound, normalize_compound, normalize_label
+from ..plans.checkpoint import cut
 
 
-def lookup(df: DataFrame, raw: Column, to_id: DataFrame, out: str, raw_first: bool, normalizer=normalize_label) -> DataFrame:
-    """Add ``out``: the id of a surface, by its raw and its normal form, one before the other.
+def named(labels: DataFrame, to_id: DataFrame, out: str, raw_first: bool, normalizer=normalize_label) -> DataFrame:
+    """(label, ``out``) of the labels that resolve: by their raw and their normal form, one before the other.
 
-    Spark broadcasts the vocabulary where its size allows and joins by shuffle
-    where it does not.
+    Each distinct label is normalised and looked up once, however often it is mentioned.
     """
-    raw_hit = to_id.select(F.col("surface").alias("_s1"), F.col("item_id").alias("_id1"))
-    norm_hit = to_id.select(F.col("surface").alias("_s2"), F.col("item_id").alias("_id2"))
-    found = df.withColumn("_n", normalizer(raw)).join(raw_hit, raw == F.col("_s1"), "left").join(norm_hit, F.col("_n") == F.col("_s2"), "left")
+    raw_hit = to_id.select(F.col("surface").alias("label"), F.col("item_id").alias("_id1"))
+    norm_hit = to_id.select(F.col("surface").alias("_n"), F.col("item_id").alias("_id2"))
+    asked = labels.select("label").filter("label is not null").distinct().withColumn("_n", normalizer(F.col("label")))
+    found = asked.join(raw_hit, "label", "left").join(norm_hit, "_n", "left")
     first, second = ("_id1", "_id2") if raw_first else ("_id2", "_id1")
-    return found.withColumn(out, F.coalesce(first, second)).drop("_n", "_s1", "_s2", "_id1", "_id2")
+    return found.select("label", F.coalesce(first, second).alias(out)).filter(F.col(out).isNotNull())
 
 
 def resolve_relation(df: DataFrame, to_id: DataFrame) -> DataFrame:
-    return lookup(df, F.col("relation"), to_id, "relation_id", raw_first=True)
+    found = named(df.select(F.col("relation").alias("label")), to_id, "relation_id", raw_first=True)
+    return df.join(found.withColumnRenamed("label", "relation"), "relation", "left").select(*df.columns, "relation_id")
 
 
 def resolve_types(df: DataFrame, to_id: DataFrame) -> DataFrame:
-    for side in ("subject", "object"):
-        df = lookup(df, F.col(f"{side}_type"), to_id, f"{side}_type_id", raw_first=False)
-    return df
+    found = named(df.select(F.explode(F.array("subject_type", "object_type")).alias("label")), to_id, "_id", raw_first=False)
+    out = df
+    for side in ("subject_type", "object_type"):
+        out = out.join(found.withColumnsRenamed({"label": side, "_id": f"{side}_id"}), side, "left")
+    return out.select(*df.columns, "subject_type_id", "object_type_id")
 
 
 def resolve_entities(df: DataFrame, types: DataFrame, to_id: DataFrame) -> DataFrame:
     """Adds subject_id and object_id; needs the sides' type ids. ``types`` has item_id, canonical_label."""
+    ends = F.array(*[F.struct(F.col(side).alias("name"), F.col(f"{side}_type_id").alias("type_id")) for side in ("subject", "object")])
+    pairs = df.select(F.explode(ends).alias("e")).select("e.name", "e.type_id").filter("type_id is not null").distinct()
+    labels = types.select(F.col("item_id").alias("type_id"), F.col("canonical_label").alias("_label"))
+    pairs = pairs.join(labels, "type_id").select("name", "type_id", compound(F.col("name"), F.col("_label")).alias("label"))
+    found = named(pairs, to_id, "_id", raw_first=True, normalizer=normalize_compound)
+    found = pairs.join(found, "label").select("name", "type_id", "_id")
+    out = df
     for side in ("subject", "object"):
-        labels = types.select(F.col("item_id").alias(f"{side}_type_id"), F.col("canonical_label").alias("_label"))
-        df = df.join(labels, f"{side}_type_id", "left").withColumn("_c", compound(F.col(side), F.col("_label")))
-        df = lookup(df, F.col("_c"), to_id, f"{side}_id", raw_first=True, normalizer=normalize_compound).drop("_c", "_label")
-    return df
+        out = out.join(found.withColumnsRenamed({"name": side, "type_id": f"{side}_type_id", "_id": f"{side}_id"}), [side, f"{side}_type_id"], "left")
+    return out.select(*df.columns, "subject_id", "object_id")
 
 
 FIELDS = ("subject", "subject_type", "relation", "object", "object_type")
@@ -65,9 +74,12 @@ def reject_reason() -> Column:
 
 
 def resolve_all(triplets: DataFrame, types_to_id: DataFrame, relations_to_id: DataFrame, types: DataFrame, entities_to_id: DataFrame) -> DataFrame:
-    """All ids of complete triplets and the reason of a reject (null if resolved)."""
-    df = resolve_types(complete(triplets), types_to_id)
-    df = resolve_relation(df, relations_to_id)
+    """All ids of complete triplets and the reason of a reject (null if resolved).
+
+    Types and relations are few and are joined first; what carries them is
+    written once, as the entities of both sides are read from it.
+    """
+    df = cut(resolve_relation(resolve_types(complete(triplets), types_to_id), relations_to_id))
     return resolve_entities(df, types, entities_to_id).withColumn("reason", reject_reason())
 
 

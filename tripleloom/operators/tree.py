@@ -120,6 +120,13 @@ def would_cycle(up: DataFrame, child: str, parent: str) -> bool:
     return child == parent or not up.filter((F.col("node") == parent) & (F.col("ancestor") == child)).isEmpty()
 
 
+def refused_moves(moves: DataFrame, up: DataFrame) -> DataFrame:
+    """The moves (child, parent) that would make a cycle: ``parent`` lies at or below ``child``."""
+    below = up.select(F.col("ancestor").alias("child"), F.col("node").alias("parent")).distinct()
+    asked = moves.select("child", "parent").distinct()
+    return asked.filter("child = parent").unionAll(asked.filter("child <> parent").join(below, ["child", "parent"], "left_semi"))
+
+
 def fold_types(items: DataFrame, to_id: DataFrame, minted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add minted types (type_id, label, pos): ids that are new, labels that nobody holds, first wins."""
     new = minted.groupBy("type_id").agg(F.min_by("label", "pos").alias("label"))

@@ -37,9 +37,12 @@ def entity_mentions(triplets: DataFrame) -> DataFrame:
 def entity_surfaces(triplets: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(surface, normalized, type_id) of mentions whose type is in ``types`` (surface, item_id, canonical_label),
     and a one-row table with the number of those skipped."""
-    found = entity_mentions(triplets).withColumn("t", normalize_label(F.col("type_label"))).join(
-        types.select(F.col("surface").alias("t"), "item_id", "canonical_label"), "t", "left"
+    mentions = entity_mentions(triplets)
+    # The type labels are few; each is normalised and looked up once.
+    known = mentions.select("type_label").distinct().withColumn("t", normalize_label(F.col("type_label"))).join(
+        types.select(F.col("surface").alias("t"), "item_id", "canonical_label"), "t"
     )
+    found = mentions.join(cut(known.drop("t")), "type_label", "left")
     skipped = found.agg(F.count_if(F.col("item_id").isNull()).alias("skipped"))
     label = compound(F.col("name"), F.col("canonical_label"))
     kept = found.filter("item_id is not null").select(label.alias("surface"), F.col("item_id").alias("type_id"))

@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
+_ROOTS: dict[str, str] = {}
+
+
+def _root(df: DataFrame) -> str:
+    """This application's own folder in the session's checkpoint folder; it goes when the application ends.
+
+    A folder is made only where the session names none and all runs in one
+    process, as in tests.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _ROOTS:
+        at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not at:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="tripleloom-")
+        _ROOTS[app] = f"{at.rstrip('/')}/rounds/{app}-{uuid.uuid4().hex[:8]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_ROOTS[app])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return _ROOTS[app]
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and go on from there.
+    """Write ``df`` to the shared folder and go on from there.
 
-    A folder is set only where the session names none, as in tests.
+    A written table is computed once, can be read by any executor, and has a
+    known size, by which Spark picks the joins that follow.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tripleloom-"))
-    return df.checkpoint(eager=True)
+    path = f"{_root(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,14 +29,6 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def unfiltered(name: str, *conditions: str) -> str:
-    """The SQL of a query without its row filter."""
-    found = ORACLES[name]
-    for condition in conditions:
-        found = found.replace(condition, "")
-    return found
-
-
 c = F.col
 
 
@@ -44,35 +36,61 @@ def label_norm(label):
     return T.normalize_label(label)
 
 
-def typed(spark, sf) -> DataFrame:
-    """Triplets with labels as ids."""
-    t = resolve.complete(triplets(spark, sf))
-    return t.select(
-        "kind", "ord", "sample_id", "subject", "object", "qualifiers", label_norm(c("relation")).alias("relation_id"), c("relation").alias("surface"),
-        label_norm(c("subject_type")).alias("subject_type_id"), label_norm(c("object_type")).alias("object_type_id"),
+def base(spark, sf) -> DataFrame:
+    """The triplets, written once for queries that read them several times."""
+    return cut(triplets(spark, sf))
+
+
+def typed(spark, sf, t=None) -> DataFrame:
+    """Triplets with labels as ids.
+
+    Combinations of relation and types are few; their labels are normalised
+    once each and joined back.
+    """
+    t = resolve.complete(base(spark, sf) if t is None else t)
+    raw = ["relation", "subject_type", "object_type"]
+    known = t.select(*raw).distinct().select(
+        *raw, label_norm(c("relation")).alias("relation_id"), label_norm(c("subject_type")).alias("subject_type_id"), label_norm(c("object_type")).alias("object_type_id")
     )
+    found = t.join(cut(known), raw)
+    return found.select("kind", "ord", "sample_id", "subject", "object", "qualifiers", "relation_id", c("relation").alias("surface"), "subject_type_id", "object_type_id")
 
 
-def nodes(spark, sf) -> DataFrame:
-    return typed(spark, sf).select(F.explode(F.array("subject_type_id", "object_type_id")).alias("node")).distinct()
+def counted(spark, sf, t=None) -> DataFrame:
+    """How many triplets (n) there are of each relation, surface and types, written once."""
+    t = resolve.complete(triplets(spark, sf) if t is None else t)
+    raw = t.groupBy("relation", "subject_type", "object_type").agg(F.count("*").alias("n"))
+    ids = raw.select(label_norm(c("relation")).alias("relation_id"), c("relation").alias("surface"), label_norm(c("subject_type")).alias("subject_type_id"), label_norm(c("object_type")).alias("object_type_id"), "n")
+    return cut(ids.groupBy("relation_id", "surface", "subject_type_id", "object_type_id").agg(F.sum("n").alias("n")))
 
 
-def up(spark, sf) -> DataFrame:
-    return tree.closure(forest_edges(spark), cut(nodes(spark, sf)))
+def nodes(spark, sf, n=None) -> DataFrame:
+    n = counted(spark, sf) if n is None else n
+    return n.select(F.explode(F.array("subject_type_id", "object_type_id")).alias("node")).distinct()
 
 
-def all_nodes(spark, sf) -> DataFrame:
+def up(spark, sf, n=None) -> DataFrame:
+    return tree.closure(forest_edges(spark), cut(nodes(spark, sf, n)))
+
+
+def counted_up(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Counts by relation and types, and the closure over their types, from one reading of the triplets."""
+    n = counted(spark, sf)
+    return n, up(spark, sf, n)
+
+
+def all_nodes(spark, sf, n=None) -> DataFrame:
     e = forest_edges(spark)
-    return nodes(spark, sf).union(e.select("child")).union(e.select("parent")).distinct()
+    return cut(nodes(spark, sf, n).union(e.select("child")).union(e.select("parent")).distinct())
 
 
 def roles(spark, sf) -> DataFrame:
     r = vocab.relation_role_types(triplets(spark, sf))
-    return r.select(label_norm(c("relation")).alias("relation"), "role", label_norm(c("type")).alias("type")).distinct()
+    return cut(r.select(label_norm(c("relation")).alias("relation"), "role", label_norm(c("type")).alias("type")).distinct())
 
 
 def ppmi(spark, sf) -> DataFrame:
-    return profiles.weigh(profiles.relation_counts(roles(spark, sf)))
+    return cut(profiles.weigh(cut(profiles.relation_counts(roles(spark, sf)))))
 
 
 def kept(vocabulary: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -80,25 +98,27 @@ def kept(vocabulary: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]
     return tuple(cut(part) for part in vocabulary)
 
 
-def types(spark, sf):
-    return kept(vocab.vocabulary(vocab.type_surfaces(triplets(spark, sf)), "type", "type", 4))
+def types(spark, sf, t=None):
+    return kept(vocab.vocabulary(vocab.type_surfaces(triplets(spark, sf) if t is None else t), "type", "type", 4))
 
 
-def relations(spark, sf):
-    return kept(vocab.vocabulary(vocab.relation_surfaces(triplets(spark, sf)), "relation", "rel", 5))
+def relations(spark, sf, t=None):
+    return kept(vocab.vocabulary(vocab.relation_surfaces(triplets(spark, sf) if t is None else t), "relation", "rel", 5))
 
 
-def entities(spark, sf):
-    items, to_id = types(spark, sf)
+def entities(spark, sf, t=None):
+    t = base(spark, sf) if t is None else t
+    items, to_id = types(spark, sf, t)
     labelled = to_id.join(items.select("item_id", "canonical_label"), "item_id")
-    surfaces, _ = vocab.entity_surfaces(triplets(spark, sf), labelled)
+    surfaces, _ = vocab.entity_surfaces(t, labelled)
     return kept(vocab.vocabulary(surfaces.select("surface"), "entity", "ent", 5, T.normalize_compound)), (items, to_id)
 
 
 def resolved(spark, sf) -> DataFrame:
-    (_, entity_ids), (type_items, type_ids) = entities(spark, sf)
-    _, relation_ids = relations(spark, sf)
-    return resolve.resolve_all(triplets(spark, sf), type_ids, relation_ids, type_items, entity_ids)
+    t = base(spark, sf)
+    (_, entity_ids), (type_items, type_ids) = entities(spark, sf, t)
+    _, relation_ids = relations(spark, sf, t)
+    return resolve.resolve_all(t, type_ids, relation_ids, type_items, entity_ids)
 
 
 def edges(spark, sf) -> DataFrame:
@@ -118,13 +138,7 @@ def f1(spark, sf):
     return triplets(spark, sf).select(label_norm(c("subject_type")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("f1_normalize_text", f"SELECT doc_id, md5({norm('text')}) AS digest FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\\x00-\\x7F]')")
-def f1_text(spark, sf):
-    d = table(spark, sf, "documents").filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", F.md5(label_norm(c("text")).cast("binary")).alias("digest"))
-
-
-@query("f1_normalize_text_whole")
+@query("f1_normalize_text")
 def f1_text_whole(spark, sf):
     """All documents, by the full normaliser; DuckDB can't compose as NFKC does, so there is no SQL."""
     return table(spark, sf, "documents").select("doc_id", F.md5(label_norm(c("text")).cast("binary")).alias("digest"))
@@ -250,11 +264,6 @@ def f16(spark, sf):
     return triplets(spark, sf).select(folded.alias("folded")).filter("folded is not null").groupBy("folded").agg(F.count("*").alias("n"))
 
 
-@query("f17_light_folding", sql("SELECT folded, count(*) AS n FROM (SELECT main || ' (' || CASE WHEN q_relation = 'status' THEN 'state' ELSE q_relation END || ': ' || q_object || ')' AS folded FROM qual WHERE kind = 4) GROUP BY folded", "qual"))
-def f17(spark, sf):
-    return folded_counts(spark, triplets(spark, sf).filter("kind = 4"))
-
-
 def folded_counts(spark, t):
     known = spark.sql("SELECT 'status' AS surface, 'state' AS label")
     # Lines repeat their order and number, so kind and ord don't tell all triplets apart.
@@ -262,7 +271,7 @@ def folded_counts(spark, t):
     return graph.fold_qualifiers_with(t, known, ["row"]).groupBy("folded").agg(F.count("*").alias("n"))
 
 
-@query("f17_light_folding_whole", unfiltered("f17_light_folding", " WHERE kind = 4"))
+@query("f17_light_folding", sql("SELECT folded, count(*) AS n FROM (SELECT main || ' (' || CASE WHEN q_relation = 'status' THEN 'state' ELSE q_relation END || ': ' || q_object || ')' AS folded FROM qual) GROUP BY folded", "qual"))
 def f17_whole(spark, sf):
     return folded_counts(spark, triplets(spark, sf))
 
@@ -359,12 +368,14 @@ def r4(spark, sf):
 
 @query("j1_resolve_relation", sql("SELECT item_id AS relation_id, count(*) AS n FROM typed JOIN rvoc ON relation_id = label GROUP BY 1", "typed", "rvoc"))
 def j1(spark, sf):
-    return resolve.resolve_relation(triplets(spark, sf), relations(spark, sf)[1]).filter("relation_id is not null").groupBy("relation_id").agg(F.count("*").alias("n"))
+    n = cut(triplets(spark, sf).groupBy("relation").agg(F.count("*").alias("n")))
+    return resolve.resolve_relation(n, relations(spark, sf)[1]).filter("relation_id is not null").groupBy("relation_id").agg(F.sum("n").alias("n"))
 
 
 @query("j2_resolve_types", sql("SELECT a.item_id AS subject_type_id, b.item_id AS object_type_id, count(*) AS n FROM typed JOIN tvoc a ON st = a.label JOIN tvoc b ON ot = b.label GROUP BY ALL", "typed", "tvoc"))
 def j2(spark, sf):
-    return resolve.resolve_types(triplets(spark, sf), types(spark, sf)[1]).groupBy("subject_type_id", "object_type_id").agg(F.count("*").alias("n"))
+    n = cut(triplets(spark, sf).groupBy("subject_type", "object_type").agg(F.count("*").alias("n")))
+    return resolve.resolve_types(n, types(spark, sf)[1]).groupBy("subject_type_id", "object_type_id").agg(F.sum("n").alias("n"))
 
 
 EVOC_SQL = ENT_SQL + f", evoc AS (SELECT label, 'ent_' || lpad(CAST(row_number() OVER (ORDER BY label) - 1 AS VARCHAR), 5, '0') AS item_id FROM (SELECT DISTINCT {norm('surface')} AS label FROM esurf))"
@@ -377,12 +388,13 @@ def j3(spark, sf):
 
 def partial(spark, sf):
     """Resolution against vocabularies that lack some entries, so every reject reason occurs."""
-    (_, entity_ids), (type_items, type_ids) = entities(spark, sf)
-    _, relation_ids = relations(spark, sf)
+    t = base(spark, sf)
+    (_, entity_ids), (type_items, type_ids) = entities(spark, sf, t)
+    _, relation_ids = relations(spark, sf, t)
     type_ids = type_ids.filter("lower(surface) not in ('furniture', 'region')")
     relation_ids = relation_ids.filter("surface <> 'based in'")
     entity_ids = entity_ids.filter("lower(surface) not like '%7 [%'")
-    return resolve.resolve_all(triplets(spark, sf), type_ids, relation_ids, type_items, entity_ids)
+    return resolve.resolve_all(t, type_ids, relation_ids, type_items, entity_ids)
 
 
 REASON_SQL = f"rej AS (SELECT *, CASE WHEN st IN ('furniture', 'region') THEN 'subject_type' WHEN ot IN ('furniture', 'region') THEN 'object_type' WHEN relation_id = 'based in' THEN 'relation' WHEN {norm('subject')} LIKE '%7' THEN 'subject_entity' WHEN {norm('object')} LIKE '%7' THEN 'object_entity' END AS reason FROM typed)"
@@ -395,7 +407,14 @@ def j4(spark, sf):
 
 @query("j5_resolve_for_constraints", sql("SELECT relation_id, st, ot, count(*) AS n FROM typed GROUP BY ALL", "typed"))
 def j5(spark, sf):
-    return typed(spark, sf).groupBy("relation_id", c("subject_type_id").alias("st"), c("object_type_id").alias("ot")).agg(F.count("*").alias("n"))
+    """Relation and both types resolved by their vocabularies, named by canonical labels; counted by label before the joins."""
+    t = base(spark, sf)
+    n = cut(resolve.complete(t).groupBy("relation", "subject_type", "object_type").agg(F.count("*").alias("n")))
+    (type_items, type_ids), (relation_items, relation_ids) = types(spark, sf, t), relations(spark, sf, t)
+    found = resolve.resolve_relation(resolve.resolve_types(n, type_ids), relation_ids).filter("relation_id is not null and subject_type_id is not null and object_type_id is not null")
+    for side, items, out in (("relation_id", relation_items, "r"), ("subject_type_id", type_items, "st"), ("object_type_id", type_items, "ot")):
+        found = found.join(items.select(c("item_id").alias(side), c("canonical_label").alias(out)), side)
+    return found.groupBy(c("r").alias("relation_id"), "st", "ot").agg(F.sum("n").alias("n"))
 
 
 @query("j6_outer_resolve", sql("SELECT kind, reason IS NULL AS resolved, count(*) AS n FROM rej GROUP BY ALL", "typed", more=REASON_SQL))
@@ -464,8 +483,7 @@ CONT_SQL = "con AS (SELECT relation_id, dom, rng, row_number() OVER (PARTITION B
 
 @query("j14_containment_join", sql("SELECT relation_id, st, ot, CAST(arg_min(pos, (CASE WHEN ok THEN 0 ELSE 1 END) * 1000000 + coalesce(pos, 0)) AS BIGINT) AS constraint_pos, CASE WHEN count(pos) > 0 THEN bool_or(ok) END AS containment_ok FROM cand GROUP BY ALL", "support", more=CONT_SQL))
 def j14(spark, sf):
-    u = up(spark, sf)
-    t = typed(spark, sf)
+    t, u = counted_up(spark, sf)
     k = constraints.induce(t, u)
     pos = F.row_number().over(Window.partitionBy("relation_id").orderBy(F.desc("pca_confidence"), "domain", "range"))
     k = k.select("relation_id", "domain", "range", pos.cast("long").alias("pos"))
@@ -585,16 +603,21 @@ def m2(spark, sf):
 # ---------------------------------------------------------------- trees
 
 
+def members(t: DataFrame) -> DataFrame:
+    """(entity_id, type_id) of both ends of typed triplets."""
+    ends = F.array(*[F.struct(c(e).alias("entity_id"), c(f"{e}_type_id").alias("type_id")) for e in ("subject", "object")])
+    return t.select(F.explode(ends).alias("e")).select("e.*")
+
+
 @query("h1_support_split", sql("SELECT node, n, n < 1000 AS deferred FROM (SELECT st AS node, count(*) AS n FROM typed GROUP BY st)", "typed"))
 def h1(spark, sf):
-    n = typed(spark, sf).groupBy(c("subject_type_id").alias("node")).agg(F.count("*").alias("n"))
+    n = counted(spark, sf).groupBy(c("subject_type_id").alias("node")).agg(F.sum("n").alias("n"))
     return tree.support_split(n, 1000)
 
 
 @query("h2_type_examples", sql("SELECT type_id, name, CAST(rank AS BIGINT) AS rank FROM (SELECT type_id, name, row_number() OVER (PARTITION BY type_id ORDER BY length(name), name) AS rank FROM (SELECT DISTINCT st AS type_id, trim(subject) AS name FROM typed UNION SELECT DISTINCT ot, trim(object) FROM typed)) WHERE rank <= 5", "typed"))
 def h2(spark, sf):
-    t = typed(spark, sf)
-    m = t.select(c("subject_type_id").alias("type_id"), c("subject").alias("name")).unionAll(t.select("object_type_id", "object"))
+    m = members(typed(spark, sf)).select("type_id", c("entity_id").alias("name"))
     return tree.examples(m, 5).select("type_id", "name", c("rank").cast("long").alias("rank"))
 
 
@@ -610,7 +633,10 @@ def h9(spark, sf):
 
 @query("h10_cycle_guard", sql("SELECT ancestor AS child, node AS parent FROM up WHERE depth > 0", "up"))
 def h10(spark, sf):
-    return up(spark, sf).filter("depth > 0").select(c("ancestor").alias("child"), c("node").alias("parent"))
+    """The moves (child under parent) that the guard refuses, of all pairs of a node and one that lies on a line with it."""
+    u = up(spark, sf).filter("depth > 0")
+    asked = u.select(c("ancestor").alias("child"), c("node").alias("parent")).union(u.select("node", "ancestor"))
+    return tree.refused_moves(asked, u)
 
 
 @query("h11_edge_scores", sql("SELECT f.child, f.parent, round(w.precision, 6) AS score FROM forest f LEFT JOIN weeds w ON w.child = f.child AND w.parent = f.parent", "forest", "weeds"))
@@ -645,8 +671,8 @@ LCA_SQL = "mem AS (SELECT DISTINCT relation_id, st AS node FROM typed), cnt AS (
 
 @query("h16_lca", sql("SELECT relation_id, lca FROM cnt LEFT JOIN best USING (relation_id)", "rootof", more=LCA_SQL))
 def h16(spark, sf):
-    members = typed(spark, sf).select("relation_id", c("subject_type_id").alias("node"))
-    return tree.lca(members, up(spark, sf), ["relation_id"])
+    n, u = counted_up(spark, sf)
+    return tree.lca(n.select("relation_id", c("subject_type_id").alias("node")), u, ["relation_id"])
 
 
 @query("h17_root_of", sql("SELECT node, root FROM rootof", "rootof"))
@@ -666,8 +692,8 @@ def h19(spark, sf):
 
 @query("h20_hierarchy_metrics", sql("SELECT count(*) AS nodes, (SELECT count(*) FROM forest) AS edges, count(*) FILTER (height = 0) AS roots, count(*) FILTER (height = 0 AND node NOT IN (SELECT parent FROM forest)) AS orphans, max(height) AS max_depth, round(avg(height), 4) AS mean_depth, round(avg(CASE WHEN height = 0 AND node NOT IN (SELECT parent FROM forest) THEN 1.0 ELSE 0.0 END), 4) AS orphan_rate FROM rootof", "rootof"))
 def h20(spark, sf):
-    u = up(spark, sf)
-    return tree.metrics(nodes(spark, sf), forest_edges(spark), u)
+    n, u = counted_up(spark, sf)
+    return tree.metrics(nodes(spark, sf, n), forest_edges(spark), u)
 
 
 @query("h21_fold_types", sql("SELECT item_id, label FROM tvoc UNION ALL SELECT 'type_h0000', 'business'", "tvoc"))
@@ -684,8 +710,7 @@ def h21(spark, sf):
 def n1(spark, sf):
     from ..operators.entities import partitions
 
-    t = typed(spark, sf)
-    e = t.select(c("subject_type_id").alias("type_id"), c("subject").alias("name")).union(t.select("object_type_id", "object")).distinct()
+    e = members(typed(spark, sf)).select("type_id", c("entity_id").alias("name")).distinct()
     return partitions(e, all_nodes(spark, sf), forest_edges(spark)).groupBy("tag", "key").agg(F.count("*").alias("n"))
 
 
@@ -695,7 +720,7 @@ def n5(spark, sf):
 
     u = up(spark, sf)
     e = u.select(c("node").alias("name"), c("node").alias("type_id")).distinct()
-    return recursive_partitions(e, u, 5, max_depth=1).groupBy("bucket").agg(F.count("*").alias("size"))
+    return recursive_partitions(e, u, 5).groupBy("bucket").agg(F.count("*").alias("size"))
 
 
 CLS_SQL = "em AS (SELECT DISTINCT subject AS e, st AS node FROM typed UNION SELECT DISTINCT object, ot FROM typed), en AS (SELECT e, count(*) AS n, string_agg(node, '|' ORDER BY node) AS type_ids FROM em GROUP BY e), ea AS (SELECT e, ancestor, count(*) AS m FROM em JOIN up USING (node) GROUP BY ALL), eb AS (SELECT e, arg_max(ancestor, height) AS primary_type_id FROM ea JOIN en USING (e) JOIN rootof r ON r.node = ancestor WHERE m = n GROUP BY e)"
@@ -705,14 +730,14 @@ CLS_SQL = "em AS (SELECT DISTINCT subject AS e, st AS node FROM typed UNION SELE
 def n6(spark, sf):
     from ..operators.entities import assign_classes
 
-    t = typed(spark, sf)
-    m = t.select(c("subject").alias("entity_id"), c("subject_type_id").alias("type_id")).union(t.select("object", "object_type_id"))
-    return assign_classes(m, up(spark, sf)).select("entity_id", F.array_join("type_ids", "|").alias("type_ids"), "primary_type_id")
+    b = base(spark, sf)
+    m = cut(members(typed(spark, sf, b)).distinct())
+    return assign_classes(m, up(spark, sf, counted(spark, sf, b))).select("entity_id", F.array_join("type_ids", "|").alias("type_ids"), "primary_type_id")
 
 
 def one_relation(spark, sf):
     """Both directions of an order under one relation, with their decision table."""
-    t = typed(spark, sf).withColumn("relation_id", F.when(c("relation_id").isin("placed", "placed by"), "place order").otherwise(c("relation_id")))
+    t = counted(spark, sf).withColumn("relation_id", F.when(c("relation_id").isin("placed", "placed by"), "place order").otherwise(c("relation_id")))
     said = spark.sql("SELECT 'place order' AS relation_id, 'placed' AS surface, 'inverted' AS direction")
     return t, constraints.classify_directions(t.select("relation_id", "surface").distinct(), said)
 
@@ -725,29 +750,29 @@ def k1(spark, sf):
 @query("k2_apply_directions", sql("SELECT CASE WHEN relation_id IN ('placed', 'placed by') THEN 'place order' ELSE relation_id END AS relation_id, CASE WHEN relation_id = 'placed' THEN ot ELSE st END AS st, CASE WHEN relation_id = 'placed' THEN st ELSE ot END AS ot, count(*) AS n FROM typed GROUP BY ALL", "typed"))
 def k2(spark, sf):
     t, d = one_relation(spark, sf)
-    return constraints.apply_directions(t, d).groupBy("relation_id", c("subject_type_id").alias("st"), c("object_type_id").alias("ot")).agg(F.count("*").alias("n"))
+    return constraints.apply_directions(t, d).groupBy("relation_id", c("subject_type_id").alias("st"), c("object_type_id").alias("ot")).agg(F.sum("n").alias("n"))
 
 
 @query("k3_signature_map", sql("SELECT relation_id, role, node AS type_id, signature FROM sig", "sig"))
 def k3(spark, sf):
-    return constraints.signature_map(typed(spark, sf), up(spark, sf))
+    return constraints.signature_map(*counted_up(spark, sf))
 
 
 @query("k4_joint_support", sql("SELECT relation_id, dom AS domain, rng AS range, support FROM constr", "support"))
 def k4(spark, sf):
-    t = typed(spark, sf)
-    return constraints.joint_support(t, constraints.signature_map(t, up(spark, sf))).select("relation_id", "domain", "range", "support")
+    t, u = counted_up(spark, sf)
+    return constraints.joint_support(t, constraints.signature_map(t, u)).select("relation_id", "domain", "range", "support")
 
 
 @query("k5_pca_confidence", sql("SELECT relation_id, dom AS domain, rng AS range, total, round(p, 6) AS pca_confidence FROM tiered", "support"))
 def k5(spark, sf):
-    t = typed(spark, sf)
-    return constraints.joint_support(t, constraints.signature_map(t, up(spark, sf))).select("relation_id", "domain", "range", "total", F.round("pca_confidence", 6).alias("pca_confidence"))
+    t, u = counted_up(spark, sf)
+    return constraints.joint_support(t, constraints.signature_map(t, u)).select("relation_id", "domain", "range", "total", F.round("pca_confidence", 6).alias("pca_confidence"))
 
 
 @query("k6_strength_tiers", sql("SELECT strength, count(*) AS n FROM tiered GROUP BY strength", "support"))
 def k6(spark, sf):
-    return constraints.induce(typed(spark, sf), up(spark, sf), include_below=True).groupBy("strength").agg(F.count("*").alias("n"))
+    return constraints.induce(*counted_up(spark, sf), include_below=True).groupBy("strength").agg(F.count("*").alias("n"))
 
 
 K7_SQL = sql("SELECT relation_id, dom AS domain, rng AS range, support, total, round(p, 6) AS pca_confidence, strength FROM tiered WHERE strength <> 'below_hint'", "support")
@@ -756,13 +781,13 @@ K7_SQL = sql("SELECT relation_id, dom AS domain, rng AS range, support, total, r
 @query("k7_constraints", K7_SQL)
 def k7(spark, sf):
     """Flagship: from triplets to graded domain and range constraints."""
-    found = constraints.induce(typed(spark, sf), up(spark, sf))
+    found = constraints.induce(*counted_up(spark, sf))
     return found.select("relation_id", "domain", "range", "support", "total", F.round("pca_confidence", 6).alias("pca_confidence"), "strength")
 
 
 @query("k8_constraint_index", sql("SELECT relation_id, string_agg(dom || '>' || rng || ':' || strength, '|' ORDER BY p DESC, dom, rng) AS entries FROM tiered WHERE strength <> 'below_hint' GROUP BY relation_id", "support"))
 def k8(spark, sf):
-    found = constraints.index(constraints.induce(typed(spark, sf), up(spark, sf)))
+    found = constraints.index(constraints.induce(*counted_up(spark, sf)))
     return found.select("relation_id", F.array_join(F.transform("constraints", lambda x: F.concat(x["domain"], F.lit(">"), x["range"], F.lit(":"), x["strength"])), "|").alias("entries"))
 
 
@@ -794,62 +819,36 @@ def g4(spark, sf):
     return rows.groupBy("kind", "resolved").agg(F.count("*").alias("n"), F.sum("u").alias("unknown_relation"))
 
 
-@query("g5_sample_edges", sql("SELECT sample_id, s, r, o, min(CAST(kind AS BIGINT) * 1000000000 + ord) % 1000000000 AS ord FROM edge WHERE kind IN (1, 2, 8) GROUP BY sample_id, s, r, o", "typed", more=EDGE_SQL))
-def g5(spark, sf):
-    return graph.sample_edges(edges(spark, sf).filter("kind in (1, 2, 8)")).select("sample_id", "s", "r", "o", "ord")
-
-
-@query("g5_sample_edges_whole", unfiltered("g5_sample_edges", " WHERE kind IN (1, 2, 8)"))
+@query("g5_sample_edges", sql("SELECT sample_id, s, r, o, min(CAST(kind AS BIGINT) * 1000000000 + ord) % 1000000000 AS ord FROM edge GROUP BY sample_id, s, r, o", "typed", more=EDGE_SQL))
 def g5_whole(spark, sf):
     return graph.sample_edges(edges(spark, sf)).select("sample_id", "s", "r", "o", "ord")
 
 
-@query("g6_sample_entities", sql("SELECT sample_id, e AS entity, arg_max(name, key) AS name, arg_max(type, key) AS type FROM (SELECT sample_id, s AS e, subject AS name, st AS type, (CAST(kind AS BIGINT) * 1000000000 + ord) * 2 AS key FROM edge WHERE kind IN (1, 2, 3) UNION ALL SELECT sample_id, o, object, ot, (CAST(kind AS BIGINT) * 1000000000 + ord) * 2 + 1 FROM edge WHERE kind IN (1, 2, 3)) GROUP BY sample_id, e", "typed", more=EDGE_SQL))
-def g6(spark, sf):
-    return graph.sample_entities(edges(spark, sf).filter("kind in (1, 2, 3)"))
-
-
-@query("g6_sample_entities_whole", unfiltered("g6_sample_entities", " WHERE kind IN (1, 2, 3)"))
+@query("g6_sample_entities", sql("SELECT sample_id, e AS entity, arg_max(name, key) AS name, arg_max(type, key) AS type FROM (SELECT sample_id, s AS e, subject AS name, st AS type, (CAST(kind AS BIGINT) * 1000000000 + ord) * 2 AS key FROM edge UNION ALL SELECT sample_id, o, object, ot, (CAST(kind AS BIGINT) * 1000000000 + ord) * 2 + 1 FROM edge) GROUP BY sample_id, e", "typed", more=EDGE_SQL))
 def g6_whole(spark, sf):
     return graph.sample_entities(edges(spark, sf))
 
 
-HOP_SQL = EDGE_SQL + ", small AS (SELECT DISTINCT sample_id, s, r, o FROM edge WHERE kind IN (1, 2, 3, 9)), nb AS (SELECT sample_id, s AS node, o AS other FROM small UNION SELECT sample_id, o, s FROM small), walk AS (SELECT sample_id, min(s) AS node, 0 AS hop FROM small GROUP BY sample_id UNION SELECT w.sample_id, nb.other, hop + 1 FROM walk w JOIN nb ON nb.sample_id = w.sample_id AND nb.node = w.node WHERE hop < 1), near AS (SELECT sample_id, node, min(hop) AS hop FROM walk GROUP BY ALL)"
-
-
-@query("g7_supporting_edges", sql("SELECT e.sample_id, s, r, o, CAST(min(n.hop) + 1 AS BIGINT) AS hop FROM small e JOIN near n ON n.sample_id = e.sample_id AND (n.node = e.s OR n.node = e.o) GROUP BY ALL", "typed", more=HOP_SQL))
-def g7(spark, sf):
-    return supporting_edges(edges(spark, sf).filter("kind in (1, 2, 3, 9)"), 2)
-
-
 def supporting_edges(e, depth):
     e = e.select("sample_id", "s", "r", "o").distinct()
     seeds = e.groupBy("sample_id").agg(F.min("s").alias("node"))
     return graph.hops(e, seeds, depth).select("sample_id", "s", "r", "o", c("hop").cast("long").alias("hop"))
 
 
-@query("g7_supporting_edges_whole")
+@query("g7_supporting_edges")
 def g7_whole(spark, sf):
     """All triplets, as deep as the reference walks."""
     return supporting_edges(edges(spark, sf), 5)
 
 
-M1_SQL = EDGE_SQL + ", tri AS (SELECT DISTINCT s, r, o FROM edge WHERE kind IN (1, 2, 3, 9)), dg AS (SELECT node, count(*) AS d FROM (SELECT s AS node FROM tri UNION ALL SELECT o FROM tri) GROUP BY node), lk AS (SELECT s AS a, o AS b FROM tri UNION SELECT o, s FROM tri), rch AS (SELECT node, node AS other FROM dg UNION SELECT r.node, lk.b FROM rch r JOIN lk ON r.other = lk.a), cp AS (SELECT node, min(other) AS comp FROM rch GROUP BY node), cz AS (SELECT comp, count(*) AS n FROM cp GROUP BY comp)"
-
-
-@query("m1_graph_metrics", sql("SELECT (SELECT count(*) FROM tri) AS triples, (SELECT count(*) FROM dg) AS nodes, round((SELECT count(*) FROM dg) / (SELECT count(*) FROM tri), 4) AS nodes_per_triple, (SELECT count(*) FROM cz) AS components, (SELECT max(n) FROM cz) AS giant, round((SELECT max(n) FROM cz) / (SELECT count(*) FROM dg), 4) AS giant_share, round((SELECT count(*) FROM dg WHERE d = 1) / (SELECT count(*) FROM dg), 4) AS leaf_share", "typed", more=M1_SQL))
-def m1(spark, sf):
-    return graph.metrics(edges(spark, sf).filter("kind in (1, 2, 3, 9)").select("s", "r", "o").distinct())
-
-
-@query("m1_graph_metrics_whole")
+@query("m1_graph_metrics")
 def m1_whole(spark, sf):
     return graph.metrics(edges(spark, sf).select("s", "r", "o").distinct())
 
 
 @query("m3_metric_rows", sql("SELECT strength AS metric, count(*) AS value FROM tiered GROUP BY strength UNION ALL SELECT 'hard_low_support', count(*) FROM tiered WHERE strength = 'hard' AND support < 3", "support"))
 def m3(spark, sf):
-    k = constraints.induce(typed(spark, sf), up(spark, sf), include_below=True)
+    k = constraints.induce(*counted_up(spark, sf), include_below=True)
     tiers = k.groupBy(c("strength").alias("metric")).agg(F.count("*").alias("value"))
     return tiers.unionByName(k.agg(F.lit("hard_low_support").alias("metric"), F.count_if((c("strength") == "hard") & (c("support") < 3)).alias("value")))
 
@@ -859,20 +858,21 @@ AGG_SQL = "own AS (SELECT node, (SELECT count(*) FROM typed WHERE st = tnodes.no
 
 @query("v1_tree_aggregates", sql("SELECT up.ancestor AS node, CAST(any_value(o2.n) AS BIGINT) AS own, CAST(sum(own.n) AS BIGINT) AS total, count(*) FILTER (up.node NOT IN (SELECT parent FROM forest)) AS leaves FROM up JOIN own ON own.node = up.node JOIN own o2 ON o2.node = up.ancestor GROUP BY up.ancestor", "up", more=AGG_SQL))
 def v1(spark, sf):
-    n = typed(spark, sf).groupBy(c("subject_type_id").alias("node")).agg(F.count("*").alias("n"))
-    own = all_nodes(spark, sf).join(n, "node", "left").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return tree.aggregates(own, forest_edges(spark), up(spark, sf)).select("node", "own", "total", c("leaves").cast("long").alias("leaves"))
+    t, u = counted_up(spark, sf)
+    n = t.groupBy(c("subject_type_id").alias("node")).agg(F.sum("n").alias("n"))
+    own = all_nodes(spark, sf, t).join(n, "node", "left").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return tree.aggregates(own, forest_edges(spark), u).select("node", "own", "total", c("leaves").cast("long").alias("leaves"))
 
 
 @query("v2_constraint_groups", sql("SELECT relation_id, count(*) AS n, round(max(p), 6) AS max_confidence FROM tiered WHERE strength <> 'below_hint' GROUP BY relation_id", "support"))
 def v2(spark, sf):
-    k = constraints.induce(typed(spark, sf), up(spark, sf))
+    k = constraints.induce(*counted_up(spark, sf))
     return k.groupBy("relation_id").agg(F.count("*").alias("n"), F.round(F.max("pca_confidence"), 6).alias("max_confidence"))
 
 
 @query("v3_constraint_view", sql("SELECT relation_id, dom AS domain, rng AS range, strength FROM tiered WHERE strength IN ('soft', 'hint') AND p >= 0.4 AND lower(relation_id) LIKE '%pl%'", "support"))
 def v3(spark, sf):
-    k = constraints.induce(typed(spark, sf), up(spark, sf))
+    k = constraints.induce(*counted_up(spark, sf))
     return k.filter("strength in ('soft', 'hint') and pca_confidence >= 0.4 and lower(relation_id) like '%pl%'").select("relation_id", "domain", "range", "strength")
 
 
@@ -881,12 +881,7 @@ def v4(spark, sf):
     return tree.nearest_selected(up(spark, sf), spark.sql("SELECT * FROM VALUES ('business'), ('industrial'), ('place') AS t(node)"))
 
 
-SUBG_SQL = EDGE_SQL + ", gn AS (SELECT DISTINCT s AS node, st AS type_id FROM edge WHERE kind IN (2, 3) UNION SELECT DISTINCT o, ot FROM edge WHERE kind IN (2, 3)), core AS (SELECT DISTINCT node FROM gn WHERE type_id = 'supplier'), around AS (SELECT o AS node FROM edge WHERE kind IN (2, 3) AND s IN (SELECT node FROM core) UNION SELECT s FROM edge WHERE kind IN (2, 3) AND o IN (SELECT node FROM core))"
-
-
-@query("v5_type_selection", sql("SELECT node, core FROM (SELECT node, true AS core FROM core UNION ALL SELECT node, false FROM around WHERE node NOT IN (SELECT node FROM core)) ORDER BY core DESC, node LIMIT 30", "typed", more=SUBG_SQL))
-def v5(spark, sf):
-    return supplier_selection(spark, edges(spark, sf).filter("kind in (2, 3)"))
+SUBG_SQL = EDGE_SQL + ", gn AS (SELECT DISTINCT s AS node, st AS type_id FROM edge UNION SELECT DISTINCT o, ot FROM edge), core AS (SELECT DISTINCT node FROM gn WHERE type_id = 'supplier'), around AS (SELECT o AS node FROM edge WHERE s IN (SELECT node FROM core) UNION SELECT s FROM edge WHERE o IN (SELECT node FROM core))"
 
 
 def supplier_selection(spark, e):
@@ -894,7 +889,7 @@ def supplier_selection(spark, e):
     return graph.selection_subgraph(n, e, spark.sql("SELECT 'supplier' AS type_id"), 30)
 
 
-@query("v5_type_selection_whole", unfiltered("v5_type_selection", "kind IN (2, 3) AND ", " WHERE kind IN (2, 3)"))
+@query("v5_type_selection", sql("SELECT node, core FROM (SELECT node, true AS core FROM core UNION ALL SELECT node, false FROM around WHERE node NOT IN (SELECT node FROM core)) ORDER BY core DESC, node LIMIT 30", "typed", more=SUBG_SQL))
 def v5_whole(spark, sf):
     return supplier_selection(spark, edges(spark, sf))
 
@@ -945,12 +940,7 @@ def l4(spark, sf):
     return evaluate.stratified_sample(table(spark, sf, "documents").select("doc_id", "lang"), "lang", order, 20)
 
 
-@query("e1_sentence_buckets", sql("SELECT sample_id, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS dropped FROM rej WHERE kind <= 3 GROUP BY sample_id", "typed", more=REASON_SQL))
-def e1(spark, sf):
-    return evaluate.sentence_buckets(partial(spark, sf).filter("kind <= 3")).select("sample_id", "kept", "dropped")
-
-
-@query("e1_sentence_buckets_whole", unfiltered("e1_sentence_buckets", " WHERE kind <= 3"))
+@query("e1_sentence_buckets", sql("SELECT sample_id, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS dropped FROM rej GROUP BY sample_id", "typed", more=REASON_SQL))
 def e1_whole(spark, sf):
     return evaluate.sentence_buckets(partial(spark, sf)).select("sample_id", "kept", "dropped")
 
@@ -1013,15 +1003,10 @@ def b2(spark, sf):
     return tree.delete_subtree(all_nodes(spark, sf), forest_edges(spark), up(spark, sf), "industrial")[0]
 
 
-IMP_SQL = "et AS (SELECT DISTINCT subject AS entity_id, st AS type_id FROM typed WHERE kind IN (2, 4, 5)), gone AS (SELECT node FROM up WHERE ancestor = 'industrial'), eff AS (SELECT entity_id, bool_and(type_id IN (SELECT node FROM gone)) AS all_gone, bool_or(type_id IN (SELECT node FROM gone)) AS some_gone FROM et GROUP BY 1)"
+IMP_SQL = "et AS (SELECT DISTINCT subject AS entity_id, st AS type_id FROM typed), gone AS (SELECT node FROM up WHERE ancestor = 'industrial'), eff AS (SELECT entity_id, bool_and(type_id IN (SELECT node FROM gone)) AS all_gone, bool_or(type_id IN (SELECT node FROM gone)) AS some_gone FROM et GROUP BY 1)"
 
 
 @query("b3_delete_impact", sql("SELECT entity_id, CASE WHEN all_gone THEN 'reassigned' ELSE 'narrowed' END AS effect, CASE WHEN all_gone THEN 'business' END AS new_type FROM eff WHERE some_gone", "up", more=IMP_SQL))
-def b3(spark, sf):
-    return delete_impact(spark, sf, typed(spark, sf).filter("kind in (2, 4, 5)"))
-
-
-@query("b3_delete_impact_whole", unfiltered("b3_delete_impact", " WHERE kind IN (2, 4, 5)"))
 def b3_whole(spark, sf):
     return delete_impact(spark, sf, typed(spark, sf))
 
@@ -1037,15 +1022,10 @@ def b4(spark, sf):
     return tree.affected_types(up(spark, sf), forest_edges(spark), "industrial", "place")
 
 
-NEWF_SQL = "et AS (SELECT DISTINCT subject AS e, st AS t FROM typed WHERE kind IN (2, 4, 5)), sz AS (SELECT t, count(*) AS n FROM et GROUP BY t), nf AS (SELECT child, CASE WHEN child = 'supplier' THEN 'consumer' ELSE parent END AS parent FROM forest), fresh AS (SELECT x.child AS type_a, y.child AS type_b FROM nf x JOIN nf y ON x.parent = y.parent AND x.child < y.child EXCEPT SELECT x.child, y.child FROM forest x JOIN forest y ON x.parent = y.parent AND x.child < y.child)"
+NEWF_SQL = "et AS (SELECT DISTINCT subject AS e, st AS t FROM typed), sz AS (SELECT t, count(*) AS n FROM et GROUP BY t), nf AS (SELECT child, CASE WHEN child = 'supplier' THEN 'consumer' ELSE parent END AS parent FROM forest), fresh AS (SELECT x.child AS type_a, y.child AS type_b FROM nf x JOIN nf y ON x.parent = y.parent AND x.child < y.child EXCEPT SELECT x.child, y.child FROM forest x JOIN forest y ON x.parent = y.parent AND x.child < y.child)"
 
 
 @query("b5_new_merge_pairs", sql("SELECT type_a, type_b, a.n * b.n AS pairs FROM fresh JOIN sz a ON a.t = type_a JOIN sz b ON b.t = type_b", "typed", "forest", more=NEWF_SQL))
-def b5(spark, sf):
-    return new_merge_pairs(spark, sf, typed(spark, sf).filter("kind in (2, 4, 5)"))
-
-
-@query("b5_new_merge_pairs_whole", unfiltered("b5_new_merge_pairs", " WHERE kind IN (2, 4, 5)"))
 def b5_whole(spark, sf):
     return new_merge_pairs(spark, sf, typed(spark, sf))
 
@@ -1069,14 +1049,14 @@ def _with(forest: str) -> str:
 
 @query("b6_constraint_diff", f"SELECT coalesce(a.relation_id, b.relation_id) AS relation_id, coalesce(a.dom, b.dom) AS domain, coalesce(a.rng, b.rng) AS range, a.strength AS was, b.strength AS now FROM ({_with(PARTS_FOREST)}) a FULL OUTER JOIN ({_with(_MOVED)}) b ON a.relation_id = b.relation_id AND a.dom = b.dom AND a.rng = b.rng WHERE a.strength IS DISTINCT FROM b.strength")
 def b6(spark, sf):
-    old, u = forest_edges(spark), up(spark, sf)
-    t = cut(typed(spark, sf).select("relation_id", "surface", "subject_type_id", "object_type_id"))
+    old = forest_edges(spark)
+    t, u = counted_up(spark, sf)
     new, _ = tree.sandbox_reparent(old, u, "supplier", "consumer")
     before = cut(constraints.induce(t, u))
     touched = cut(tree.affected_types(u, old, "supplier", "consumer"))
     some = constraints.restricted(t, before, touched)
     kept = before.join(before.select("relation_id", F.explode(F.array("domain", "range")).alias("node")).join(touched, "node").select("relation_id"), "relation_id", "left_semi")
-    return constraints.difference(kept, constraints.induce(some, tree.closure(new, nodes(spark, sf))))
+    return constraints.difference(kept, constraints.induce(some, tree.closure(new, nodes(spark, sf, t))))
 
 
 # ---------------------------------------------------------------- sources

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,58 +10,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.checkpoint import delete, root, written
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is hot if it holds more than one row in this many; so fewer than this many keys are.
 HOT = 1_000
 
-_ROOTS: dict[str, str] = {}
 _SCRATCH: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
-
-    Only where ``spark.checkpoint.dir`` is unset and all runs in one process
-    (tests, single machine) is a temporary folder made, once per session.
-    """
-    context = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not at:
-        if not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tripleloom-"))
-        at = context.getCheckpointDir()
-    return at
-
-
-def _file_system(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
-
-
-def _root(spark: SparkSession) -> str:
-    """This application's own folder in the shared one; it goes when the application ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        _ROOTS[app] = f"{shared_dir(spark).rstrip('/')}/tripleloom/{app}-{uuid.uuid4().hex[:8]}"
-        system, path = _file_system(spark, _ROOTS[app])
-        system.deleteOnExit(path)
-    return _ROOTS[app]
-
-
 def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage, survives lost executors and gives the optimizer true
-    sizes. The table stays until the application ends, or until the scratch
-    that is open ends if there is one and ``keep`` does not ask for more.
+    sizes. The table stays while a DataFrame reads it; with ``keep`` until the
+    application ends. What is written inside a scratch goes when that ends.
     """
     spark = df.sparkSession
-    at = _root(spark) if keep or not _SCRATCH else f"{_root(spark)}/{_SCRATCH[-1]}"
-    path = f"{at}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if keep:
+        path = f"{root(spark)}/kept/{tag}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    return written(df, tag, f"{root(spark)}/{_SCRATCH[-1]}" if _SCRATCH else None)
 
 
 @contextlib.contextmanager
@@ -73,8 +42,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        system, path = _file_system(spark, f"{_root(spark)}/{_SCRATCH.pop()}")
-        system.delete(path, True)
+        delete(spark, f"{root(spark)}/{_SCRATCH.pop()}")
 
 
 def quoted(name: str) -> Column:

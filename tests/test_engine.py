@@ -56,7 +56,29 @@ def test_all_documents_are_normalised_as_python_does(spark, tmp_path):
     texts = ["Plain  ASCII\n text", "\u00c9t\u00e9 \uff26\uff35", "cafe\u0301\u00a0\u2028x", "stra\u00dfe \u0130 \u03a3\u0391\u03a3", "", None]
     frame(spark, list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {(i, hashlib.md5(" ".join(unicodedata.normalize("NFKC", t or "").lower().split()).encode()).hexdigest()) for i, t in enumerate(texts)}
-    assert pairs(queries.QUERIES["f1_normalize_text_whole"](spark, str(tmp_path))) == want
+    assert pairs(queries.QUERIES["f1_normalize_text"](spark, str(tmp_path))) == want
+
+
+def test_blanks_of_any_kind_are_trimmed(spark):
+    said = ["\t", "\u00a0 x\n", "\u3000a b\u2003", "\x1c", "", None, " plain "]
+    got = [r[0] for r in frame(spark, [(i, s) for i, s in enumerate(said)], "i int, s string").orderBy("i").select(T.clean(F.col("s"))).collect()]
+    assert got == [(s or "").strip() for s in said]
+
+
+def test_answers_lose_their_accents(spark):
+    said = {"Café Müßig": "cafe mussig", "Łódź, 1,000.5": "lodz 10005", "Œuvre": "oeuvre", "plain.": "plain", None: ""}
+    got = frame(spark, [(s,) for s in said], "s string").select("s", T.qa_normalize(F.col("s")).alias("n")).collect()
+    assert {r["s"]: r["n"] for r in got} == said
+
+
+def test_the_cycle_guard_refuses_moves_below_themselves(spark, up):
+    from tripleloom.operators import tree
+
+    some = up.filter("depth > 0").select("node", "ancestor").collect()
+    moves = [(r["ancestor"], r["node"]) for r in some] + [(r["node"], r["ancestor"]) for r in some] + [(some[0]["node"], some[0]["node"])]
+    refused = pairs(tree.refused_moves(frame(spark, moves, "child string, parent string"), up))
+    assert refused == {(r["ancestor"], r["node"]) for r in some} | {(some[0]["node"], some[0]["node"])}
+    assert all(tree.would_cycle(up, *m) for m in list(refused)[:2])
 
 
 def test_compounds(spark):
@@ -285,7 +307,7 @@ def test_whole_graph_queries_take_all_kinds(spark):
             hop |= {(sample, n): depth for n in front if (sample, n) not in hop}
             front = {m for n in front for m in near[sample][n] if (sample, m) not in hop}
     want = {(*x, min(hop.get((x[0], n), 9) for n in (x[1], x[3])) + 1) for x in e if (x[0], x[1]) in hop or (x[0], x[3]) in hop}
-    assert pairs(queries.QUERIES["g7_supporting_edges_whole"](spark, sf)) == want
+    assert pairs(queries.QUERIES["g7_supporting_edges"](spark, sf)) == want
     at = {}
 
     def root(n):
@@ -299,8 +321,8 @@ def test_whole_graph_queries_take_all_kinds(spark):
     every = queries.edges(spark, sf).count()
     assert queries.QUERIES["l3_essay_graphs"](spark, sf).count() == every > len(e)
     qualified = queries.triplets(spark, sf).filter("size(qualifiers) > 0").count()
-    assert queries.QUERIES["f17_light_folding_whole"](spark, sf).agg(F.sum("n")).first()[0] == qualified
-    found = queries.QUERIES["m1_graph_metrics_whole"](spark, sf).first()
+    assert queries.QUERIES["f17_light_folding"](spark, sf).agg(F.sum("n")).first()[0] == qualified
+    found = queries.QUERIES["m1_graph_metrics"](spark, sf).first()
     assert (found["triples"], found["nodes"]) == (len({x[1:] for x in e}), len(at))
     assert (found["components"], found["giant"]) == (len(sizes), max(sizes.values()))
 

@@ -46,9 +46,13 @@ def normalize_label(label: Column, unicode: bool = True) -> Column:
     return F.coalesce(unicode_label(F.when(label.rlike(_BEYOND_ASCII), label)), collapse(label))
 
 
+#: What Python's strip() takes off: Unicode separators, tabs and line ends, and the separators U+001C to U+001F.
+_BLANK = r"[\p{Z}\x09-\x0D\x1C-\x1F\x85]+"
+
+
 def clean(text: Column) -> Column:
-    """Trim; null becomes empty."""
-    return F.trim(F.coalesce(text, F.lit("")))
+    """Trim white space of any kind; null becomes empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{_BLANK}|{_BLANK}$", "")
 
 
 def compound(name: Column, type_label: Column) -> Column:
@@ -79,16 +83,23 @@ def item_id(prefix: str, width: int, index: Column) -> Column:
 def qa_normalize(text: Column) -> Column:
     """Answer normal form: lower, digit separators out, punctuation to space, collapsed.
 
-    Accents of Latin letters are stripped by compatibility decomposition.
+    Letters of Latin script lose their accents and ligatures first; ASCII texts
+    stay in the JVM.
     """
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?<=\d)[,.](?=\d)", "")
+    text = F.coalesce(text, F.lit(""))
+    plain = F.coalesce(strip_accents(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    bare = F.regexp_replace(F.lower(plain), r"(?<=\d)[,.](?=\d)", "")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
+#: Latin letters that no decomposition takes apart (fixed values).
+_LATIN = str.maketrans({"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "ı": "i"})
+
+
 @F.pandas_udf(StringType())
 def strip_accents(texts: pd.Series) -> pd.Series:
     def strip(s: str | None) -> str | None:
-        return None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+        return None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.translate(_LATIN)) if not unicodedata.combining(c))
 
     return texts.map(strip)
 

@@ -139,7 +139,7 @@ def f1(spark, sf):
 
 
 @query("f1_normalize_text")
-def f1_text_whole(spark, sf):
+def f1_text(spark, sf):
     """All documents, by the full normaliser; DuckDB can't compose as NFKC does, so there is no SQL."""
     return table(spark, sf, "documents").select("doc_id", F.md5(label_norm(c("text")).cast("binary")).alias("digest"))
 
@@ -170,9 +170,9 @@ def f4(spark, sf):
     return compounds(spark, sf).select("label", T.normalize_compound(c("label")).alias("normal"))
 
 
-@query("f5_null_safe_trim", "SELECT doc_id, trim(coalesce(CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '  ' || source || ' ' END, '')) AS value FROM documents")
+@query("f5_null_safe_trim", "SELECT doc_id, trim(coalesce(CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN chr(9) || chr(160) ELSE chr(9) || ' ' || chr(160) || source || chr(10) END, ''), ' ' || chr(9) || chr(10) || chr(160)) AS value FROM documents")
 def f5(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.clean(F.when(c("doc_id") % 7 == 0, None).otherwise(F.concat(F.lit("  "), "source", F.lit(" ")))).alias("value"))
+    return table(spark, sf, "documents").select("doc_id", T.clean(F.when(c("doc_id") % 7 == 0, None).when(c("doc_id") % 7 == 1, "\t\u00a0").otherwise(F.concat(F.lit("\t \u00a0"), "source", F.lit("\n")))).alias("value"))
 
 
 @query("f6_item_ids", sql("SELECT label, item_id FROM tvoc", "tvoc"))
@@ -187,12 +187,13 @@ def f7(spark, sf):
     return e.select("event_id", T.extract_json(F.when(c("event_id") % 2 == 0, said).otherwise(F.concat(F.lit("so: "), "props"))).alias("json"))
 
 
-_QA = "trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '(\\d)[,.](\\d)', '\\1\\2', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_PLAIN = "strip_accents(replace(replace(replace(replace(coalesce({0}, ''), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'ø', 'o'))"
+_QA = "trim(regexp_replace(regexp_replace(regexp_replace(lower(" + _PLAIN + "), '(\\d)[,.](\\d)', '\\1\\2', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query("f8_qa_normalize", f"SELECT c_custkey, {_QA.format('t')} AS normal FROM (SELECT c_custkey, c_name || ' owes ' || CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) || '.50, in (' || c_mktsegment || ')!' AS t FROM customer)")
+@query("f8_qa_normalize", f"SELECT c_custkey, {_QA.format('t')} AS normal FROM (SELECT c_custkey, c_name || ' du Café Müßig owes ' || CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) || '.50, in (' || c_mktsegment || ')!' AS t FROM customer)")
 def f8(spark, sf):
-    t = F.concat("c_name", F.lit(" owes "), F.rint("c_acctbal").cast("long").cast("string"), F.lit(".50, in ("), "c_mktsegment", F.lit(")!"))
+    t = F.concat("c_name", F.lit(" du Café Müßig owes "), F.rint("c_acctbal").cast("long").cast("string"), F.lit(".50, in ("), "c_mktsegment", F.lit(")!"))
     return table(spark, sf, "customer").select("c_custkey", T.qa_normalize(t).alias("normal"))
 
 
@@ -272,7 +273,7 @@ def folded_counts(spark, t):
 
 
 @query("f17_light_folding", sql("SELECT folded, count(*) AS n FROM (SELECT main || ' (' || CASE WHEN q_relation = 'status' THEN 'state' ELSE q_relation END || ': ' || q_object || ')' AS folded FROM qual) GROUP BY folded", "qual"))
-def f17_whole(spark, sf):
+def f17(spark, sf):
     return folded_counts(spark, triplets(spark, sf))
 
 
@@ -820,12 +821,12 @@ def g4(spark, sf):
 
 
 @query("g5_sample_edges", sql("SELECT sample_id, s, r, o, min(CAST(kind AS BIGINT) * 1000000000 + ord) % 1000000000 AS ord FROM edge GROUP BY sample_id, s, r, o", "typed", more=EDGE_SQL))
-def g5_whole(spark, sf):
+def g5(spark, sf):
     return graph.sample_edges(edges(spark, sf)).select("sample_id", "s", "r", "o", "ord")
 
 
 @query("g6_sample_entities", sql("SELECT sample_id, e AS entity, arg_max(name, key) AS name, arg_max(type, key) AS type FROM (SELECT sample_id, s AS e, subject AS name, st AS type, (CAST(kind AS BIGINT) * 1000000000 + ord) * 2 AS key FROM edge UNION ALL SELECT sample_id, o, object, ot, (CAST(kind AS BIGINT) * 1000000000 + ord) * 2 + 1 FROM edge) GROUP BY sample_id, e", "typed", more=EDGE_SQL))
-def g6_whole(spark, sf):
+def g6(spark, sf):
     return graph.sample_entities(edges(spark, sf))
 
 
@@ -836,13 +837,13 @@ def supporting_edges(e, depth):
 
 
 @query("g7_supporting_edges")
-def g7_whole(spark, sf):
+def g7(spark, sf):
     """All triplets, as deep as the reference walks."""
     return supporting_edges(edges(spark, sf), 5)
 
 
 @query("m1_graph_metrics")
-def m1_whole(spark, sf):
+def m1(spark, sf):
     return graph.metrics(edges(spark, sf).select("s", "r", "o").distinct())
 
 
@@ -890,7 +891,7 @@ def supplier_selection(spark, e):
 
 
 @query("v5_type_selection", sql("SELECT node, core FROM (SELECT node, true AS core FROM core UNION ALL SELECT node, false FROM around WHERE node NOT IN (SELECT node FROM core)) ORDER BY core DESC, node LIMIT 30", "typed", more=SUBG_SQL))
-def v5_whole(spark, sf):
+def v5(spark, sf):
     return supplier_selection(spark, edges(spark, sf))
 
 
@@ -941,7 +942,7 @@ def l4(spark, sf):
 
 
 @query("e1_sentence_buckets", sql("SELECT sample_id, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS dropped FROM rej GROUP BY sample_id", "typed", more=REASON_SQL))
-def e1_whole(spark, sf):
+def e1(spark, sf):
     return evaluate.sentence_buckets(partial(spark, sf)).select("sample_id", "kept", "dropped")
 
 
@@ -1007,7 +1008,7 @@ IMP_SQL = "et AS (SELECT DISTINCT subject AS entity_id, st AS type_id FROM typed
 
 
 @query("b3_delete_impact", sql("SELECT entity_id, CASE WHEN all_gone THEN 'reassigned' ELSE 'narrowed' END AS effect, CASE WHEN all_gone THEN 'business' END AS new_type FROM eff WHERE some_gone", "up", more=IMP_SQL))
-def b3_whole(spark, sf):
+def b3(spark, sf):
     return delete_impact(spark, sf, typed(spark, sf))
 
 
@@ -1026,7 +1027,7 @@ NEWF_SQL = "et AS (SELECT DISTINCT subject AS e, st AS t FROM typed), sz AS (SEL
 
 
 @query("b5_new_merge_pairs", sql("SELECT type_a, type_b, a.n * b.n AS pairs FROM fresh JOIN sz a ON a.t = type_a JOIN sz b ON b.t = type_b", "typed", "forest", more=NEWF_SQL))
-def b5_whole(spark, sf):
+def b5(spark, sf):
     return new_merge_pairs(spark, sf, typed(spark, sf))
 
 

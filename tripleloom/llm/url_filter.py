@@ -24,22 +24,22 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 #: Labelled training urls.
 _BLOCKED = """
-http://www.cheap-pills.example.com/en/12 https://buy-cheap-meds.example.org/offer http://casino-win.example.net/play https://www.casino-royal.example.com/bonus
+http://www.bargain-pills.example.com/en/12 https://buy-cheap-meds.example.org/offer http://casino-win.example.net/play https://www.casino-royal.example.com/bonus
 http://spam-farm.example.org/en/3 https://spam-links.example.com/x https://ads-track.example.org/en/77 http://track-ads.example.net/click?id=4
-http://free-bets.example.com/en/1 https://m.free-bets.example.org/de/9 http://best-bets-win.example.com/ https://online-casino-bonus.example.org/slots
+http://quick-bets.example.com/en/1 https://m.free-bets.example.org/de/9 http://best-bets-win.example.com/ https://online-casino-bonus.example.org/slots
 http://pills-online.example.net/order https://cheap-watches.example.com/replica http://win-free-prize.example.org/claim https://adserver.example.com/banner/3
 https://pixel-track.example.net/p.gif http://popup-ads.example.org/pop https://free-spins.example.com/casino http://poker-win.example.net/table
 https://click-farm.example.com/en/8 http://link-farm.example.org/fr/2 https://viagra-pills.example.com/buy http://lottery-winner.example.net/claim
 https://xxx-cams.example.org/live http://adult-dating.example.com/join https://payday-loans.example.net/apply http://crack-keygen.example.org/download
 https://track.example.com/adclick http://ads.example.net/serve https://casino.example.org/ http://bets.example.com/odds https://spam.example.net/mail
-http://cheap-pills.example.org/fr/5 https://www.casino-win.example.org/es/14 http://www.ads-track.example.com/es/90 https://www.spam-farm.example.com/de/41
+http://cheap-pills.example.org/fr/5 https://www.casino-win.example.org/es/14 http://www.ads-track.example.com/es/90 https://www.spam-ring.example.com/de/41
 """
 _ALLOWED = """
 https://www.therin.example.com/en/12 http://blog.ththan.example.org/en/4 https://m.thered.example.net/en/25 http://news.example.org/world/2020
 https://en.wiki.example.org/wiki/Physics http://docs.example.com/guide/start https://blog.example.net/2019/05/travel http://www.university.example.org/research
 https://shop.example.com/books/12 http://library.example.org/catalog/9 https://recipes.example.com/bread http://weather.example.net/today
 https://garden.example.org/roses/3 http://history.example.com/rome https://science.example.net/article/88 http://music.example.org/album/4
-https://blog.tionsh.example.com/fr/10 http://www.onther.example.net/es/7 https://thanre.example.org/de/3 http://erandor.example.com/en/55
+https://blog.vanesh.example.com/fr/10 http://www.onther.example.net/es/7 https://thanre.example.org/de/3 http://erandor.example.com/en/55
 https://m.ingst.example.net/en/2 http://heatre.example.org/en/671 https://www.edshou.example.com/en/148 http://blog.theres.example.org/es/9
 https://thbleon.example.com/fr/825 http://ndoring.example.net/en/369 https://www.wheran.example.org/en/1 http://forum.example.com/thread/45
 https://museum.example.org/visit http://city.example.net/council/minutes https://health.example.org/clinic/hours http://school.example.com/class/3

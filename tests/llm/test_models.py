@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tripleloom.llm import context_tree, html_extraction, language_id, quality, toxicity, url_filter
@@ -226,6 +227,58 @@ def test_extract_table(spark):
     assert html_extraction.extract_pages(frame.limit(0)).count() == 0
 
 
+def plain_open(tags):
+    """(parent tag of each opened element) by walking the stack for each tag, without void and raw elements."""
+    h = html_extraction
+    stack, parents = ["#page"], []
+
+    def walk(wanted, stop):
+        for k in range(len(stack) - 1, 0, -1):
+            if stop(stack[k]):
+                return
+            if stack[k] in wanted:
+                del stack[k:]
+                return
+
+    for close, tag in tags:
+        if close:
+            walk({tag}, lambda t: t != tag and tag in h.INLINE and t not in h.INLINE)
+            continue
+        if tag in h.CLOSES_P:
+            walk({"p"}, lambda t: t in ("table", "td", "th", "button"))
+        if tag in h.CLOSES:
+            walk(h.CLOSES[tag], lambda t: t in h.HOLDS[tag])
+        parents.append(stack[-1])
+        stack.append(tag)
+    return parents
+
+
+def test_open_elements_are_repaired_as_a_walk_does():
+    rng = random.Random(3)
+    names = "div p a b span li ul ol table tr td th tbody section dl dt dd select option button em h1 nav".split()
+    for _ in range(500):
+        tags = [(rng.random() < 0.5, rng.choice(names)) for _ in range(rng.randint(1, 80))]
+        tree = html_extraction.parse("".join(f"</{t}>" if close else f"<{t}>" for close, t in tags))
+        assert [tree.tag[k] for k in tree.parent[1:]] == plain_open(tags)
+
+
+def test_deep_pages_are_read(page_model):
+    n = 20_000
+    page = "<article>" + "<div>" * n + "<p>A sentence in the deep, whole.</p>" + "</div>" * n + "</article>"
+    assert max(html_extraction.parse(page).depth) == n + 2
+    assert html_extraction.extract([page, PAGES[0][0]], page_model)[1] == PAGES[0][1]
+
+
+def test_page_groups_are_bounded(monkeypatch):
+    monkeypatch.setattr(html_extraction, "GROUP", 3)
+    monkeypatch.setattr(html_extraction, "GROUP_CHARS", 10)
+    pages = ["abcd", None, "x" * 50, "", "é" * 6, "y" * 5, "z", "", "w", ""]
+    found = list(html_extraction.page_groups(pa.array(pages, pa.string())))
+    assert [p for _, group in found for p in group] == pages
+    assert [at for at, _ in found] == [0, 2, 3, 5, 8]
+    assert list(html_extraction.page_groups(pa.array([], pa.string()))) == []
+
+
 # ------------------------------------------------------------ toxicity
 
 

@@ -9,7 +9,8 @@ Weights are trained by exact likelihood on labelled pages, which
 ``labelled_pages`` makes from templates.
 
 Nulls: null or empty html gives an empty text. Unclosed, misnested and cut-off
-markup is repaired as browsers do it, in short. Repeated rows are extracted
+markup is repaired as browsers do it, in short, in time linear in the page
+however deep it nests. A very long page is a group of its own. Repeated rows are extracted
 alike. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -19,15 +20,17 @@ import functools
 import html as html_entities
 import random
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages whose trees are passed together.
+#: Pages whose trees are passed together: so many, and so many characters of markup unless one page has more.
 GROUP = 200
+GROUP_CHARS = 1 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s]+)))?")
@@ -80,16 +83,25 @@ def parse(page: str | None) -> Tree:
     tree = Tree()
     text = page or ""
     stack = [0]
+    #: Places in the stack of the open elements by tag, and of those that are not inline, so that no tag walks the stack.
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            places[tree.tag[node]].pop()
+            if tree.tag[node] not in INLINE:
+                blocks.pop()
+        del stack[k:]
 
     def close(tags: set[str], stop: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = tree.tag[stack[k]]
-            if tag in stop:
-                return
-            if tag in tags:
-                tree.pieces.append((stack[k], None))
-                del stack[k:]
-                return
+        k = last(tags)
+        if k > last(stop):
+            tree.pieces.append((stack[k], None))
+            cut(k)
 
     def say(piece: str) -> None:
         if piece:
@@ -107,14 +119,12 @@ def parse(page: str | None) -> Tree:
             continue
         tag = found[2].lower()
         if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[k]] == tag:
-                    if tag not in INLINE:
-                        tree.pieces.append((stack[k], None))
-                    del stack[k:]
-                    break
-                if tag in INLINE and tree.tag[stack[k]] not in INLINE:
-                    break
+            k = last([tag])
+            if tag not in INLINE and k:
+                tree.pieces.append((stack[k], None))
+                cut(k)
+            elif k and k > (blocks[-1] if blocks else 0):
+                cut(k)
             continue
         if tag in CLOSES_P:
             close({"p"}, {"table", "td", "th", "button"})
@@ -139,6 +149,9 @@ def parse(page: str | None) -> Tree:
             tree.pieces.append((node, None))
             at = stop.end() if stop else end
             continue
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
         stack.append(node)
     return tree
 
@@ -380,12 +393,25 @@ def extract(pages: list[str | None], model: tuple[np.ndarray, np.ndarray]) -> li
     return texts
 
 
+def page_groups(pages: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(first place, pages) of neighbours that are passed together."""
+    sizes = pc.fill_null(pc.utf8_length(pages), 0).to_pylist()
+    start = held = 0
+    for at, size in enumerate(sizes):
+        if at > start and (at - start == GROUP or held + size > GROUP_CHARS):
+            yield start, pages.slice(start, at - start).to_pylist()
+            start, held = at, 0
+        held += size
+    if start < len(sizes):
+        yield start, pages.slice(start).to_pylist()
+
+
 def _run(model: tuple[np.ndarray, np.ndarray]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, GROUP):
-                part = batch.slice(k, GROUP)
-                texts = extract(part.column(2).to_pylist(), model)
+            for at, pages in page_groups(batch.column(2)):
+                part = batch.slice(at, len(pages))
+                texts = extract(pages, model)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
                 )

@@ -386,3 +386,32 @@ def test_url_model(spark):
     frame = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
     found = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(frame).collect()}
     assert found == {i: "block" if y else "allow" for i, (_, y) in enumerate(rows)}
+
+
+def test_urls_of_unseen_hosts(spark):
+    """A held-out set: hosts that the labelled table does not hold, half of either kind."""
+    blocked = """http://online-pharmacy-deals.example.org/en/4 https://m.blackjack-casino.example.com/play http://bets-today.example.net/odds/2 https://adclick.example.com/serve
+    http://loans-fast.example.org/apply https://www.adult-chat.example.net/en/1 http://keygen-files.example.com/download http://spam-mailer.example.org/list"""
+    allowed = """https://www.cathedral.example.com/en/history http://blog.cyclist.example.org/2021/tour https://botany.example.net/article/5 http://council-archive.example.com/minutes
+    https://m.painters.example.org/de/gallery http://geology.example.com/fr/rocks https://choir.example.net/season http://cookery.example.org/en/bread"""
+    rows = [(u, 1) for u in blocked.split()] + [(u, 0) for u in allowed.split()]
+    known = {u.split("/")[2] for u, _ in url_filter.LABELLED}
+    assert not known & {u.split("/")[2] for u, _ in rows}
+    found = url_filter.judge_urls(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string"), rules=[]).collect()
+    right = sum((r["verdict"] == "block") == bool(rows[r["page_id"]][1]) for r in found)
+    assert right >= 14
+
+
+def test_url_regression_against_plain_descent(spark):
+    weights, bias = url_filter.fit_urls(spark, rounds=40)
+    frame = spark.createDataFrame([(u, y) for u, y in url_filter.LABELLED], "url string, label int")
+    found = frame.select(url_filter.gram_cells(*url_filter.url_parts(frame.url)).alias("cells"), "label").collect()
+    x = np.zeros((len(found), url_filter.DIMS))
+    for i, r in enumerate(found):
+        x[i, r["cells"]] = 1
+    y = np.array([r["label"] for r in found])
+    step, w, b = len(found) / x.sum(), np.zeros(url_filter.DIMS), 0.0
+    for _ in range(40):
+        off = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - step * (x.T @ off + 0.02 * w * (x.sum(axis=0) > 0)), b - step * off.sum() / 4
+    assert weights == pytest.approx(w, abs=1e-9) and bias == pytest.approx(b, abs=1e-9)

@@ -168,6 +168,40 @@ def test_languages_are_told_apart(spark):
     assert all(r["held_out"] == held(i, 4, 2) for i, r in found.items())
 
 
+def test_grams_are_counted_alike_in_pieces_and_groups(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcé  Z1", k=rng.randint(0, 300))) for _ in range(40)] + [None, ""]
+    form = [b" " + b" ".join((t or "").encode().translate(language_id._LETTERS).split()) + b" " for t in texts]
+    plain = np.zeros((len(texts), language_id.DIMS))
+    for i, f in enumerate(form):
+        for k in (1, 2):
+            for at in range(len(f) - k):
+                code = int.from_bytes(f[at : at + k + 1], "big")
+                plain[i, (((code * 2654435761) & 0xFFFFFFFF) ^ ((k * 0x1E3779B9) & 0xFFFFFFFF)) >> 19] += 1
+    for step in (1, 2, 7, 64, 1 << 20):
+        monkeypatch.setattr(language_id, "STEP", step)
+        assert (language_id.gram_counts([None if t is None else t.encode() for t in texts])[0] == plain).all()
+    monkeypatch.setattr(language_id, "GROUP_BYTES", 500)
+    groups = list(language_id._groups(pa.array(texts, pa.string())))
+    assert [t for g in groups for t in g] == [None if t is None else t.encode() for t in texts]
+    assert all(len(g) == 1 or sum(len(t or b"") for t in g) <= 500 for g in groups)
+
+
+def test_language_predictions_against_plain_cosines(spark):
+    rng = random.Random(8)
+    stock = {"en": "the of and to in is that it".split(), "de": "der die und das nicht ist ein".split()}
+    rows = [(7 if i % 3 else 6, " ".join(rng.choices(stock[lang], k=9)), lang) for i, lang in enumerate(list(stock) * 30)]
+    rows += [(7, rows[0][1], "en")] * 40 + [(None, "und die", "de"), (8, "the end " * 20_000, "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_languages(frame.filter("doc_id is null or doc_id <> 7"))
+    assert held(7, 4, 2) and not held(6, 4, 2) and not held(8, 4, 2)
+    found = Counter((r["doc_id"], r["lang_pred"]) for r in language_id.identify_languages(frame).collect())
+    weighed = language_id.weigh(language_id.gram_counts([t.encode() for _, t, _ in rows])[0], model["idf"])
+    near = [[sum(a * b for a, b in zip(v, centre)) for centre in model["centroids"].tolist()] for v in weighed.tolist()]
+    plain = Counter((d, model["langs"][model["owner"][max(range(len(n)), key=n.__getitem__)]]) for (d, _, _), n in zip(rows, near))
+    assert found == plain
+
+
 def test_languages_without_training(spark, no_docs):
     assert language_id.identify_languages(no_docs).count() == 0
     frame = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")

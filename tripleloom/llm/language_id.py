@@ -3,7 +3,9 @@
 A text becomes a TF-IDF vector of hashed byte n-grams (lengths 2 and 3 over
 lower-cased letters, words set off by spaces), normalised to length 1. Each
 language has several centroids, found by spherical k-means on a bounded sample
-of its training texts (``SAMPLE`` texts a language, chosen by hash). The
+of its training texts (about ``SAMPLE`` distinct texts a language of up to
+``SAMPLE_CHARS`` characters, chosen by the text's hash). Frequencies of n-grams
+count all training texts, and every text is judged whole. The
 language of the centroid with the largest cosine is predicted; a text farther
 from it than nearly all of the language's training sample is marked rejected.
 
@@ -25,13 +27,17 @@ from pyspark.sql import functions as F
 from .common import unit_hash
 
 DIMS = 1 << 13
-#: Training texts of a language that centroids are fitted on, about.
+#: Distinct training texts of a language that centroids are fitted on, about, and the length of the longest ones drawn.
 SAMPLE = 400
+SAMPLE_CHARS = 1 << 16
 CENTROIDS = 3
 #: Share of the sample that lies within the rejection distance.
 ACCEPT = 0.995
-#: Documents whose counts are held at a time.
+#: Documents whose counts are held at a time: so many, and so many bytes unless one has more.
 GROUP = 64
+GROUP_BYTES = 1 << 22
+#: Places of a text whose n-grams are counted at a time.
+STEP = 1 << 20
 UNKNOWN = "und"
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -47,15 +53,18 @@ def gram_counts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     has = np.array([any(c.isalpha() for c in _first_letters(f)) for f in forms], dtype=bool)
     data = np.frombuffer(b"".join(b" " + f + b" " for f in forms), dtype=np.uint8).astype(np.uint32)
     sizes = np.array([len(f) + 2 for f in forms], dtype=np.int64)
-    doc = np.repeat(np.arange(len(forms), dtype=np.int64), sizes)
+    docs = np.repeat(np.arange(len(forms), dtype=np.int32), sizes)
     counts = np.zeros(len(forms) * DIMS, dtype=np.float32)
-    code = data
-    for k in (1, 2):
-        code = (code[:-1] << np.uint32(8)) | data[k:]
-        inside = doc[: len(code)] == doc[k:]
-        spread = (code * np.uint32(2654435761)) ^ np.uint32(k * 0x1E3779B9)
-        cell = (spread >> np.uint32(19)).astype(np.int64) + doc[: len(code)] * DIMS
-        counts += np.bincount(cell[inside], minlength=len(counts)).astype(np.float32)
+    for at in range(0, len(data), STEP):
+        # Two places more than are counted, so that n-grams across the cut are whole.
+        piece, doc = data[at : at + STEP + 2], docs[at : at + STEP + 2]
+        code = piece
+        for k in (1, 2):
+            code = (code[:-1] << np.uint32(8)) | piece[k:]
+            inside = (doc[: len(code)] == doc[k:])[:STEP]
+            spread = (code[:STEP] * np.uint32(2654435761)) ^ np.uint32(k * 0x1E3779B9)
+            cell = (spread >> np.uint32(19)).astype(np.int64) + doc[: len(spread)].astype(np.int64) * DIMS
+            counts += np.bincount(cell[inside], minlength=len(counts)).astype(np.float32)
     return counts.reshape(len(forms), DIMS), has
 
 
@@ -67,8 +76,17 @@ def _first_letters(form: bytes) -> str:
 
 def _groups(texts: pa.Array) -> Iterator[list[bytes | None]]:
     values = texts.cast(pa.large_binary())
-    for k in range(0, len(values), GROUP):
-        yield values.slice(k, GROUP).to_pylist()
+    held: list[bytes | None] = []
+    size = 0
+    for value in values:
+        text = value.as_py()
+        if held and (len(held) == GROUP or size + len(text or b"") > GROUP_BYTES):
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text or b"")
+    if held:
+        yield held
 
 
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,15 +134,17 @@ def fit_languages(train: DataFrame, sample: int = SAMPLE, seed: int = 11) -> dic
         else:
             seen[r["dim"]] = r["n"]
     idf = np.log((docs + 1) / (seen + 1)) + 1.0
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    short = F.length("text") <= SAMPLE_CHARS
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.approx_count_distinct(F.when(short, F.col("text"))).alias("n")).collect()}
     langs, centroids, limits, owner = sorted(sizes), [], [], []
     if langs:
-        share = F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(sample / v))]), F.col("lang"))
-        picked = train.filter(unit_hash(F.col("doc_id"), F.lit(seed)) < share).select("lang", F.col("text").cast("string").alias("text")).collect()
+        share = F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(sample / max(v, 1)))]), F.col("lang"))
+        drawn = train.filter(short & (unit_hash(F.col("text"), F.lit(seed)) < share)).select("lang", F.col("text").cast("string").alias("text"))
+        picked = sorted(drawn.distinct().collect())
         for j, lang in enumerate(langs):
             texts = [r["text"].encode() for r in picked if r["lang"] == lang]
             if not texts:
-                texts = [train.filter(F.col("lang") == lang).select(F.col("text").cast("string")).first()[0].encode()]
+                texts = [train.filter(F.col("lang") == lang).agg(F.min_by(F.col("text").cast("string"), F.struct(F.length("text"), "text"))).first()[0].encode()]
             rows = np.concatenate([weigh(gram_counts(texts[k : k + GROUP])[0], idf) for k in range(0, len(texts), GROUP)])
             found = spherical_centroids(rows, CENTROIDS)
             limits.append(float(np.quantile((rows @ found.T).max(axis=1), 1 - ACCEPT)))

@@ -482,3 +482,104 @@ def test_repair_answers_separates_what_cannot_be_trusted(spark):
     rows = [(1, ["a", "a1", "b"], said), (2, ["a", "a1"], "no idea"), (3, ["a", "a1"], None)]
     got = {(r["cluster"], r["canonical_label"], r["member"]) for r in repair_answers(spark.createDataFrame(rows, "cluster int, members array<string>, answer string")).collect()}
     assert got == {(1, "a", "a"), (1, "a", "a1"), (1, "b", "b"), (2, "a", "a"), (2, "a1", "a1"), (3, "a", "a"), (3, "a1", "a1")}
+
+
+def test_calls_are_repeated_until_an_answer_or_a_final_status():
+    from tripleloom.operators.calls import ask_until
+
+    class Refused(Exception):
+        def __init__(self, status_code):
+            super().__init__(f"status {status_code}")
+            self.status_code = status_code
+
+    def after(n, error):
+        said = iter([error] * n)
+
+        def ask(given):
+            found = next(said, None)
+            if found:
+                raise found
+            return given
+
+        return ask
+
+    waits = []
+    assert ask_until(after(2, Refused(500)), "x", sleep=waits.append) == ("x", None, 3) and waits == [2.0, 4.0]
+    assert ask_until(after(9, Refused(500)), "x", sleep=waits.append)[2] == 5
+    for status in (401, 402, 403, 404):
+        answer, error, attempts = ask_until(after(1, Refused(status)), "x", sleep=waits.append)
+        assert answer is None and str(status) in error and attempts == 1
+    assert ask_until(lambda _: None, "x", tries=2, sleep=waits.append) == (None, "no answer", 2)
+
+
+def test_completions_carry_their_usage(spark):
+    from tripleloom.operators.calls import binary_verdict, complete, usage
+
+    def client(prompt):
+        if prompt == "bad":
+            raise RuntimeError("down")
+        return prompt.upper(), len(prompt), 2
+
+    prompts = spark.createDataFrame([(1, "yes 1, not 0"), (2, "bad"), (3, "none")], "id int, prompt string")
+    answers = complete(prompts, client, tries=2, pause=lambda n: 0.0)
+    assert {(r["id"], r["v"]) for r in answers.select("id", binary_verdict(answers.answer).alias("v")).collect()} == {(1, 1), (2, None), (3, 0)}
+    assert usage(answers, 1e6, 2e6).first().asDict() == {"calls": 3, "failures": 1, "prompt_tokens": 16, "completion_tokens": 4, "cost": 24.0}
+    assert usage(answers.limit(0)).first().asDict() == {"calls": 0, "failures": 0, "prompt_tokens": 0, "completion_tokens": 0, "cost": 0.0}
+
+
+def test_failed_items_are_tried_in_passes(spark):
+    from pyspark.sql import functions as F
+
+    from tripleloom.operators.calls import retry_passes
+
+    seen = []
+
+    def process(todo, n):
+        seen.append(todo.count())
+        return todo.withColumn("ok", F.when(F.col("k") < 100, F.col("k") <= n))
+
+    items = spark.createDataFrame([(0,), (1,), (2,), (3,), (100,)], "k int")
+    found = {r["k"]: (r["ok"], r["attempts"]) for r in retry_passes(items, process, "k").collect()}
+    assert found == {0: (True, 1), 1: (True, 2), 2: (True, 3), 3: (False, 3), 100: (None, 3)} and seen == [5, 4, 3]
+    assert retry_passes(items.limit(0), process, "k").count() == 0
+
+
+def test_summary_of_nothing_and_unknown_labels(spark):
+    from tripleloom.operators.evaluate import full_summary, label_distribution, plausibility_sides, tier_counts
+
+    gold = spark.createDataFrame(
+        [("a", True, False, "same", "hard", False, "exact", False), ("a", True, False, "inverse", None, None, "odd", False), ("b", True, False, "same", "soft", None, None, True), ("b", False, True, None, None, None, None, False)],
+        "domain string, matched boolean, failed boolean, direction string, strength string, containment_ok boolean, label string, lost boolean",
+    )
+    sentences = spark.createDataFrame([("a", 4, 2, 0), ("c", 0, 0, 1)], "domain string, generated int, extras int, call_failures int")
+    rows = {r["domain"]: r for r in full_summary(gold, sentences, "domain").collect()}
+    assert (rows[None]["gold"], rows[None]["recall"], rows[None]["extra_rate"], rows[None]["containment_violations"]) == (4, 1.0, 0.5, 1)
+    assert rows["c"]["gold"] == 0 and rows["c"]["recall"] is None and rows["c"]["extra_rate"] is None and rows["c"]["call_failures"] == 1
+    assert rows["a"]["without_constraint"] == 1 and rows["b"]["failed"] == 1
+    assert full_summary(gold.limit(0), sentences.limit(0)).first()["recall"] is None
+    found = {r["label"]: r["n"] for r in label_distribution(gold, "label", "lost").collect()}
+    assert found == {"exact": 1, "more_general": 0, "more_narrow": 0, "not_related": 0, "no_gold_type": 1, "judge_call_failed": 1}
+    assert {(r["strength"], r["n"]) for r in tier_counts(gold).collect()} == {("hard", 1), ("soft", 1)}
+    sides = spark.createDataFrame([(1, "inverted", "inverse", "s", "o", "d", "r"), (2, "forward", "same", "s", "o", "d", "r")], "k int, surface_direction string, direction string, subject_type_id string, object_type_id string, gold_domain string, gold_range string")
+    turned = {r["k"]: (r["subject_type_id"], r["object_type_id"], r["gold_domain"], r["gold_range"]) for r in plausibility_sides(sides).collect()}
+    assert turned == {1: ("o", "s", "r", "d"), 2: ("s", "o", "d", "r")}
+
+
+def test_graph_sink_is_sorted_with_stats_beside(spark, tmp_path):
+    import json
+
+    from tripleloom.operators import graph
+    from tripleloom.sources.formats import write_graph
+
+    resolved = spark.createDataFrame([("b", "r1", "a"), ("c", "r0", "a"), ("b", "r1", "a")], "s string, r string, o string")
+    stats = spark.createDataFrame([(3, 2)], "num_input_triplets int, num_relation_triples int")
+    write_graph(graph.build(resolved), f"file://{tmp_path}/kg", stats)
+
+    def lines(name):
+        return [json.loads(x) for f in sorted((tmp_path / name).glob("part-*")) for x in f.read_text().splitlines()]
+
+    assert [x["entity"] for x in lines("kg/entities")] == ["a", "b", "c"]
+    assert [tuple(x.values()) for x in lines("kg/relations")] == [("b", "r1", "a"), ("c", "r0", "a")]
+    assert lines("kg_stats") == [{"num_input_triplets": 3, "num_relation_triples": 2}]
+    reasons = spark.createDataFrame([(None,), ("relation",), ("relation",)], "reason string")
+    assert [(r["reason"], r["n"]) for r in graph.skip_counts(reasons).collect()] == [("relation", 2)]

@@ -87,3 +87,59 @@ def select_judged_types(judged: DataFrame) -> DataFrame:
     """Swap our sides where the match was inverse (domain, range, direction)."""
     turned = F.col("direction") == "inverse"
     return judged.withColumns({"domain": F.when(turned, F.col("range")).otherwise(F.col("domain")), "range": F.when(turned, F.col("domain")).otherwise(F.col("range"))})
+
+
+#: What a judge may say of two types, and what else is counted.
+TYPE_LABELS = ("exact", "more_general", "more_narrow", "not_related")
+OTHER_LABELS = ("no_gold_type", "judge_call_failed")
+
+
+def full_summary(gold: DataFrame, sentences: DataFrame, by: str | None = None) -> DataFrame:
+    """All counts over gold rows and sentences; with ``by`` also for each of its values (null: all).
+
+    ``gold`` has matched, failed, direction, strength (null: no constraint) and
+    containment_ok; ``sentences`` has generated, extras and call_failures.
+    """
+    keys = [by] if by else []
+    side = gold.select(*keys, F.lit(True).alias("is_gold"), "matched", "failed", "direction", "strength", "containment_ok")
+    both = side.unionByName(sentences.select(*keys, "generated", "extras", "call_failures"), allowMissingColumns=True)
+    matched, held = F.col("matched"), F.col("matched") & F.col("strength").isNotNull()
+    total, failed = F.count("is_gold"), F.count_if(~matched & F.col("failed"))
+    generated, extras = (F.coalesce(F.sum(n), F.lit(0)) for n in ("generated", "extras"))
+    counts = [
+        total.alias("gold"), generated.alias("generated"), F.coalesce(F.sum("call_failures"), F.lit(0)).alias("call_failures"),
+        F.round(F.when(total > failed, F.count_if(matched) / (total - failed)), 6).alias("recall"),
+        F.count_if(matched & (F.col("direction") == "same")).alias("same"), F.count_if(matched & (F.col("direction") == "inverse")).alias("inverse"),
+        F.count_if(~matched & ~F.col("failed")).alias("missed"), failed.alias("failed"),
+        extras.alias("extras"), F.round(F.when(generated > 0, extras / generated), 6).alias("extra_rate"),
+        F.count_if(held).alias("with_constraint"), F.count_if(matched & F.col("strength").isNull()).alias("without_constraint"),
+        F.count_if(held & (F.col("containment_ok") == F.lit(False))).alias("containment_violations"),
+    ]
+    return both.groupingSets([[], [by]], by).agg(*counts) if by else both.agg(*counts)
+
+
+def label_distribution(gold: DataFrame, label: str, failed: str) -> DataFrame:
+    """(label, n) over matched gold rows, every label present; an unknown or missing one counts as no_gold_type."""
+    known = F.col(label).isin(*TYPE_LABELS)
+    named = F.when(F.coalesce(F.col(failed), F.lit(False)), "judge_call_failed").when(known, F.col(label)).otherwise("no_gold_type")
+    counted = gold.filter("matched").groupBy(named.alias("label")).agg(F.count("*").alias("n"))
+    every = gold.sparkSession.sql("SELECT explode(array({})) AS label".format(", ".join(f"'{x}'" for x in TYPE_LABELS + OTHER_LABELS)))
+    return every.join(counted, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def tier_counts(gold: DataFrame) -> DataFrame:
+    """(strength, n) of the constraints that matched gold rows were held against."""
+    return gold.filter("matched and strength is not null").groupBy("strength").agg(F.count("*").alias("n"))
+
+
+def plausibility_sides(matched: DataFrame) -> DataFrame:
+    """Sides as a constraint sees them: ours turned where the surface is inverted, gold's where the match was inverse."""
+    ours, gold = F.col("surface_direction") == "inverted", F.col("direction") == "inverse"
+
+    def turn(swap: Column, a: str, b: str) -> Column:
+        return F.when(swap, F.col(b)).otherwise(F.col(a))
+
+    return matched.withColumns({
+        "subject_type_id": turn(ours, "subject_type_id", "object_type_id"), "object_type_id": turn(ours, "object_type_id", "subject_type_id"),
+        "gold_domain": turn(gold, "gold_domain", "gold_range"), "gold_range": turn(gold, "gold_range", "gold_domain"),
+    })

@@ -111,3 +111,8 @@ def selection_subgraph(nodes: DataFrame, edges: DataFrame, selected: DataFrame,
     ends = edges.select(F.col("s").alias("node"), F.col("o").alias("other")).union(edges.select("o", "s"))
     around = ends.join(core.select("node"), "node", "left_semi").select(F.col("other").alias("node")).distinct().join(core, "node", "left_anti")
     return core.unionAll(around.withColumn("core", F.lit(False))).orderBy(F.desc("core"), "node").limit(cap)
+
+
+def skip_counts(resolved: DataFrame) -> DataFrame:
+    """(reason, n) of the rows that a graph leaves out."""
+    return resolved.filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("n"))

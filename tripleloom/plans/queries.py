@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import constraints, evaluate, graph, profiles, resolve, similarity, survey, tree, vocab
+from ..operators import calls, constraints, evaluate, graph, profiles, resolve, similarity, survey, tree, vocab
 from ..sources import formats
 from ..sources.testdata import forest_edges, table, triplets
 from .checkpoint import cut
@@ -951,7 +951,11 @@ _JUDGE = "count(*) AS gold, count(*) FILTER (matched) AS matched, count(*) FILTE
 
 
 def judged(spark, sf):
-    return table(spark, sf, "lineitem").select(c("l_returnflag").alias("domain"), (c("l_quantity") > 10).alias("matched"), (c("l_quantity") <= 2).alias("failed"), F.when(c("l_linenumber") % 3 == 0, "inverse").otherwise("same").alias("direction"))
+    return judged_columns(table(spark, sf, "lineitem")).select("domain", "matched", "failed", "direction")
+
+
+def judged_columns(lines):
+    return lines.withColumns({"domain": c("l_returnflag"), "matched": c("l_quantity") > 10, "failed": c("l_quantity") <= 2, "direction": F.when(c("l_linenumber") % 3 == 0, "inverse").otherwise("same")})
 
 
 @query("e5_summary", f"WITH {JUDGE_SQL} SELECT {_JUDGE} FROM judged")
@@ -991,6 +995,70 @@ def e11(spark, sf):
     return evaluate.compare_reports(a, b, "k", "m")
 
 
+GOLD_SQL = "gold AS (SELECT l_returnflag AS domain, l_quantity > 10 AS matched, l_quantity <= 2 AS failed, CASE WHEN l_linenumber % 3 = 0 THEN 'inverse' ELSE 'same' END AS direction, CASE l_partkey % 5 WHEN 0 THEN 'hard' WHEN 1 THEN 'soft' WHEN 2 THEN 'hint' END AS strength, l_suppkey % 4 <> 0 AS containment_ok, CASE l_orderkey % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'more_general' WHEN 2 THEN 'more_narrow' WHEN 3 THEN 'odd' END AS label, l_partkey % 11 = 0 AS no_call FROM lineitem), sent AS (SELECT o_orderstatus AS domain, o_custkey % 5 + 1 AS generated, CAST(o_custkey % 5 > 1 AS BIGINT) AS extras, CAST(o_orderkey % 9 = 0 AS BIGINT) AS call_failures FROM orders)"
+_BOTH = "sides AS (SELECT domain, true AS is_gold, matched, failed, direction, strength, containment_ok, NULL AS generated, NULL AS extras, NULL AS call_failures FROM gold UNION ALL SELECT domain, NULL, NULL, NULL, NULL, NULL, NULL, generated, extras, call_failures FROM sent)"
+_FULL = "count(is_gold) AS gold, CAST(coalesce(sum(generated), 0) AS BIGINT) AS generated, CAST(coalesce(sum(call_failures), 0) AS BIGINT) AS call_failures, round(count(*) FILTER (matched) / nullif(count(is_gold) - count(*) FILTER (NOT matched AND failed), 0), 6) AS recall, count(*) FILTER (matched AND direction = 'same') AS same, count(*) FILTER (matched AND direction = 'inverse') AS inverse, count(*) FILTER (NOT matched AND NOT failed) AS missed, count(*) FILTER (NOT matched AND failed) AS failed, CAST(coalesce(sum(extras), 0) AS BIGINT) AS extras, round(sum(extras) / nullif(sum(generated), 0), 6) AS extra_rate, count(*) FILTER (matched AND strength IS NOT NULL) AS with_constraint, count(*) FILTER (matched AND strength IS NULL) AS without_constraint, count(*) FILTER (matched AND strength IS NOT NULL AND NOT containment_ok) AS containment_violations"
+
+
+def gold_rows(spark, sf):
+    k, o = c("l_partkey") % 5, c("l_orderkey") % 6
+    return judged_columns(table(spark, sf, "lineitem")).withColumns({
+        "strength": F.when(k == 0, "hard").when(k == 1, "soft").when(k == 2, "hint"), "containment_ok": c("l_suppkey") % 4 != 0,
+        "label": F.when(o == 0, "exact").when(o == 1, "more_general").when(o == 2, "more_narrow").when(o == 3, "odd"), "no_call": c("l_partkey") % 11 == 0,
+    }).select("domain", "matched", "failed", "direction", "strength", "containment_ok", "label", "no_call")
+
+
+def sentence_rows(spark, sf):
+    n = c("o_custkey") % 5
+    return table(spark, sf, "orders").select(c("o_orderstatus").alias("domain"), (n + 1).cast("long").alias("generated"), (n > 1).cast("long").alias("extras"), (c("o_orderkey") % 9 == 0).cast("long").alias("call_failures"))
+
+
+@query("e5_full_summary", f"WITH {GOLD_SQL}, {_BOTH} SELECT {_FULL} FROM sides")
+def e5_full(spark, sf):
+    return evaluate.full_summary(gold_rows(spark, sf), sentence_rows(spark, sf))
+
+
+@query("e6_full_summary_by_domain", f"WITH {GOLD_SQL}, {_BOTH} SELECT domain, {_FULL} FROM sides GROUP BY GROUPING SETS ((), (domain))")
+def e6_full(spark, sf):
+    return evaluate.full_summary(gold_rows(spark, sf), sentence_rows(spark, sf), "domain")
+
+
+@query("e5_label_distribution", f"WITH {GOLD_SQL}, named AS (SELECT CASE WHEN no_call THEN 'judge_call_failed' WHEN label IN ('exact', 'more_general', 'more_narrow', 'not_related') THEN label ELSE 'no_gold_type' END AS label FROM gold WHERE matched) SELECT l.label, count(n.label) AS n FROM (SELECT unnest(['exact', 'more_general', 'more_narrow', 'not_related', 'no_gold_type', 'judge_call_failed']) AS label) l LEFT JOIN named n USING (label) GROUP BY l.label")
+def e5_labels(spark, sf):
+    return evaluate.label_distribution(gold_rows(spark, sf), "label", "no_call")
+
+
+@query("e5_tier_counts", f"WITH {GOLD_SQL} SELECT strength, count(*) AS n FROM gold WHERE matched AND strength IS NOT NULL GROUP BY strength")
+def e5_tiers(spark, sf):
+    return evaluate.tier_counts(gold_rows(spark, sf))
+
+
+@query("e4_plausibility_sides", "SELECT l_orderkey AS k, l_linenumber AS line, CASE WHEN l_returnflag = 'R' THEN l_suppkey ELSE l_partkey END AS subject_type_id, CASE WHEN l_returnflag = 'R' THEN l_partkey ELSE l_suppkey END AS object_type_id, CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag ELSE l_linestatus END AS gold_domain, CASE WHEN l_linenumber % 3 = 0 THEN l_linestatus ELSE l_returnflag END AS gold_range FROM lineitem")
+def e4(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        c("l_orderkey").alias("k"), c("l_linenumber").alias("line"), F.when(c("l_returnflag") == "R", "inverted").otherwise("forward").alias("surface_direction"),
+        F.when(c("l_linenumber") % 3 == 0, "inverse").otherwise("same").alias("direction"), c("l_partkey").alias("subject_type_id"), c("l_suppkey").alias("object_type_id"),
+        c("l_linestatus").alias("gold_domain"), c("l_returnflag").alias("gold_range"),
+    )
+    return evaluate.plausibility_sides(rows).drop("surface_direction", "direction")
+
+
+@query("x16_binary_judge", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN regexp_extract(text, '[01]') = '1' THEN 1 ELSE 0 END AS evaluation FROM documents")
+def x16(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", calls.binary_verdict(c("text")).alias("evaluation"))
+
+
+@query("l5_retry_passes", "SELECT o_orderkey AS k, o_orderkey % 4 < 3 AS ok, CAST(least(o_orderkey % 4 + 1, 3) AS INT) AS attempts FROM orders")
+def l5(spark, sf):
+    items = table(spark, sf, "orders").select(c("o_orderkey").alias("k"))
+    return calls.retry_passes(items, lambda todo, n: todo.withColumn("ok", c("k") % 4 <= min(n, 2)), "k")
+
+
+@query("g3_skip_counts", sql("SELECT reason, count(*) AS n FROM rej WHERE reason IS NOT NULL GROUP BY reason", "typed", more=REASON_SQL))
+def g3_skips(spark, sf):
+    return graph.skip_counts(partial(spark, sf))
+
+
 # ---------------------------------------------------------------- what-if edits
 
 

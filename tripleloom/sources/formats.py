@@ -189,3 +189,13 @@ def config_from(data: dict, kind=PipelineConfig) -> tuple[object, list[str]]:
                 unknown += [f"{name}.{m}" for m in more]
             values[name] = value
     return kind(**values), unknown
+
+
+def write_graph(parts: tuple[DataFrame, DataFrame, DataFrame], path: str, stats: DataFrame, mode: str = "errorifexists") -> None:
+    """Entities, edge labels and relations of a graph as sorted JSON lines below ``path``, its one row of stats beside it.
+
+    Files are dealt by range, so that they are sorted as a whole and no task holds more than its range.
+    """
+    for name, part in zip(("entities", "edges", "relations"), parts):
+        part.orderBy(*part.columns).write.mode(mode).json(f"{path}/{name}")
+    stats.coalesce(1).write.mode(mode).json(f"{path}_stats")

@@ -106,6 +106,17 @@ def test_repair_gives_partitions():
     for bad in (None, [], "nonsense", [{"members": ["a"]}], [1], [{"canonical_label": "x", "members": "a"}], [{"canonical_label": m, "members": [m]} for m in "abcd"]):
         assert repair_groups(bad, members) == apart
     assert repair_groups([{"canonical_label": "x", "members": ["unknown"]}], members) == apart
+    odd = [{"canonical_label": "X ", "members": ["a", "New", "new", "b"]}]
+    assert repair_groups(odd, members) == [("x", ["a", "New", "b"]), ("c", ["c"])]
+    assert repair_groups([*odd, {"canonical_label": "", "members": ["c"]}], members) == apart
+    assert repair_groups([*odd, {"canonical_label": "y", "members": []}], members) == apart
+    assert repair_groups([*odd, {"canonical_label": "y", "members": ["A"]}], members) == [("x", ["a", "New", "b"]), ("c", ["c"])]
+
+    class Says:
+        def verify_cluster(self, *a):
+            return odd
+
+    assert adjudicate.adjudicate(Says(), "entity", members) == [("x", ["a", "b"]), ("c", ["c"])]
 
 
 def test_failures_keep_labels_apart():

@@ -594,3 +594,11 @@ def test_graph_sink_is_sorted_with_stats_beside(spark, tmp_path):
     assert lines("kg_stats") == [{"num_input_triplets": 3, "num_relation_triples": 2}]
     reasons = spark.createDataFrame([(None,), ("relation",), ("relation",)], "reason string")
     assert [(r["reason"], r["n"]) for r in graph.skip_counts(reasons).collect()] == [("relation", 2)]
+
+
+def test_groups_are_numbered_by_canonical_label(spark):
+    rows = [("b", "b1"), ("a", "a1"), ("b", "b2"), ("c", "c1")]
+    merged = spark.createDataFrame(rows, "canonical_label string, member string")
+    found = {(r["group"], r["member"], r["canonical_label"]) for r in rounds.as_groups(merged).collect()}
+    assert found == {(0, "a1", "a"), (1, "b1", "b"), (1, "b2", "b"), (2, "c1", "c")}
+    assert rounds.as_groups(merged.limit(0)).count() == 0

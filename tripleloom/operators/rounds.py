@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..plans.checkpoint import cut
 from .adjudicate import verify_clusters
 from .similarity import components, embed, hashed_embedding, similar_pairs
+from .vocab import numbered
 
 
 def candidate_clusters(labels: DataFrame, threshold: float, embedder: Callable = hashed_embedding, vectors: DataFrame | None = None) -> DataFrame:
@@ -58,6 +59,5 @@ def round_loop(labels: DataFrame, adjudicator, kind: str, threshold: float = 0.7
 
 def as_groups(merged: DataFrame) -> DataFrame:
     """(group, member, canonical_label) numbered by canonical label, as ``vocab.assemble`` takes them."""
-    labels = merged.select("canonical_label").distinct()
-    index = F.row_number().over(Window.orderBy("canonical_label")) - 1
-    return merged.join(labels.withColumn("group", index), "canonical_label").select("group", "member", "canonical_label")
+    labels = numbered(merged.select("canonical_label").distinct(), "canonical_label")
+    return merged.join(labels, "canonical_label").select("group", "member", "canonical_label")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checkpoint import cut
@@ -82,6 +82,38 @@ def index(constraints: DataFrame) -> DataFrame:
     return constraints.groupBy("relation_id").agg(F.array_sort(F.collect_list(entry)).alias("constraints"))
 
 
+def _tier_order() -> Column:
+    """Hard before soft before hint before any other."""
+    at = F.array_position(F.array(*[F.lit(t) for t in ("hard", "soft", "hint")]), F.col("strength"))
+    return F.when(at > 0, at).otherwise(4)
+
+
+def groups(constraints: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(relation_id, relation, n, max_confidence, top_strength, rows): a relation's rows by falling confidence.
+
+    Relations with most rows come first, ties by label. ``labels`` has
+    relation_id and relation; an id stands for itself without one.
+    """
+    entry = F.struct((-F.col("pca_confidence")).alias("order"), "domain", "range", "support", "total", F.round("pca_confidence", 3).alias("confidence"), "strength")
+    best = F.min(F.struct(_tier_order().alias("tier"), "strength"))["strength"]
+    found = constraints.groupBy("relation_id").agg(
+        F.count("*").alias("n"), F.round(F.max("pca_confidence"), 3).alias("max_confidence"), best.alias("top_strength"), F.array_sort(F.collect_list(entry)).alias("rows")
+    )
+    if labels is not None:
+        found = found.join(labels.select("relation_id", "relation"), "relation_id", "left")
+    named = found.withColumn("relation", F.coalesce("relation", "relation_id") if labels is not None else F.col("relation_id"))
+    slim = F.transform("rows", lambda x: x.dropFields("order"))
+    return named.select("relation_id", "relation", "n", "max_confidence", "top_strength", slim.alias("rows")).orderBy(F.desc("n"), "relation", "relation_id")
+
+
+def view(constraints: DataFrame, strengths: list[str], floor: float = 0.0, contains: str = "") -> DataFrame:
+    """The constraints of some strengths and confidence whose relation holds a text (case aside), strongest and surest first."""
+    wanted = F.col("strength").isin(strengths) & (F.col("pca_confidence") >= floor)
+    if contains.strip():
+        wanted &= F.contains(F.lower("relation_id"), F.lit(contains.strip().lower()))
+    return constraints.filter(wanted).orderBy(_tier_order(), F.desc("pca_confidence"), "relation_id", "domain", "range")
+
+
 def restricted(typed: DataFrame, constraints: DataFrame, affected: DataFrame) -> DataFrame:
     """Triplets of the relations that have a constraint on an affected type (node)."""
     sides = constraints.select("relation_id", F.explode(F.array("domain", "range")).alias("node"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .vocab import reduction
+
 
 def token_f1(pairs: DataFrame, keys: list[str], pred: str, gold: str) -> DataFrame:
     """(keys, f1) of normalised texts: multiset overlap of tokens; two empty texts agree."""
@@ -78,6 +80,36 @@ def compare_reports(left: DataFrame, right: DataFrame, key: str, metric: str) ->
     return left.select(key, F.col(metric).alias("left")).join(right.select(key, F.col(metric).alias("right")), key, "full_outer")
 
 
+def report_table(summaries: DataFrame, metrics: list[str], by: str) -> DataFrame:
+    """One row for each report of (report, metric, value), with the named metrics, best ``by`` first; a missing one counts as 0 there."""
+    found = summaries.groupBy("report").pivot("metric", metrics).agg(F.first("value"))
+    return found.orderBy(F.desc(F.coalesce(F.col(by), F.lit(0.0))), "report")
+
+
+def metric_rows(sections: dict[str, DataFrame | None]) -> DataFrame | None:
+    """(section, metric, value) of sections that are each one row of numbers; absent sections are left out."""
+    out = None
+    for name, row in sections.items():
+        if row is None:
+            continue
+        cells = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in row.columns])
+        part = row.select(F.lit(name).alias("section"), F.explode(cells).alias("x")).select("section", "x.metric", "x.value")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def vocabulary_section(items: DataFrame, n_raw: DataFrame) -> DataFrame:
+    """One row about a vocabulary: num_raw, num_canonical, reduction_pct, never_merged_share.
+
+    ``items`` has surface_forms; ``n_raw`` is one row with num_raw.
+    """
+    n = items.agg(F.count("*").alias("num_canonical"), F.count_if(F.size("surface_forms") <= 1).alias("alone"))
+    one = n.join(F.broadcast(n_raw.select("num_raw")))
+    share = F.when(F.col("num_canonical") > 0, F.col("alone") / F.col("num_canonical"))
+    percent = F.round(reduction(F.col("num_raw"), F.col("num_canonical")), 2)
+    return one.select("num_raw", "num_canonical", percent.alias("reduction_pct"), F.round(share, 4).alias("never_merged_share"))
+
+
 def stratified_sample(items: DataFrame, stratum: str, order: Column, n: int) -> DataFrame:
     """n rows of each stratum, those that come first by ``order`` (a hash of the seed and the id)."""
     return items.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy(order))).filter(F.col("_rn") <= n).drop("_rn")

@@ -106,11 +106,15 @@ def metrics(relations: DataFrame) -> DataFrame:
 
 
 def selection_subgraph(nodes: DataFrame, edges: DataFrame, selected: DataFrame, cap: int) -> DataFrame:
-    """(node, core) of the selected types' nodes and their direct neighbours, at most ``cap``, core nodes first."""
+    """(node, core, truncated) of the selected types' nodes and their direct neighbours, at most ``cap``, core nodes first.
+
+    ``truncated`` says whether the cap has left any out.
+    """
     core = nodes.join(selected, "type_id", "left_semi").select("node", F.lit(True).alias("core"))
     ends = edges.select(F.col("s").alias("node"), F.col("o").alias("other")).union(edges.select("o", "s"))
     around = ends.join(core.select("node"), "node", "left_semi").select(F.col("other").alias("node")).distinct().join(core, "node", "left_anti")
-    return core.unionAll(around.withColumn("core", F.lit(False))).orderBy(F.desc("core"), "node").limit(cap)
+    every = cut(core.distinct().unionAll(around.withColumn("core", F.lit(False))))
+    return every.orderBy(F.desc("core"), "node").limit(cap).withColumn("truncated", F.lit(every.count() > cap))
 
 
 def skip_counts(resolved: DataFrame) -> DataFrame:

@@ -30,17 +30,40 @@ def children_top_k(edges: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def seed_tree(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(node, parent, depth) breadth first from seeds (node); the first and then smallest parent wins."""
-    seen = cut(seeds.select("node").distinct().select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")))
+def seed_tree(edges: DataFrame, seeds: DataFrame, max_depth: int, top_k: int | None = None, target_n: int | None = None) -> DataFrame:
+    """(node, parent, depth) breadth first from seeds (node); the first and then smallest parent wins.
+
+    With ``top_k`` a node is expanded to its children with most subclasses.
+    With ``target_n`` the walk ends once there are so many nodes: seeds and
+    nodes of a level are taken in the order of their parents, then of their
+    places among the children, and a node belongs to the parent that comes first.
+    """
+    start = seeds.select("node").distinct().select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
+    ranked = edges.select("child", "parent", F.lit(0).alias("rank")) if top_k is None else children_top_k(edges, top_k).select("child", "parent", "rank")
+    if target_n is None:
+        seen = cut(start.withColumn("pos", F.lit(0)))
+    else:
+        # At most target_n rows are ever ordered as a whole.
+        first = start.orderBy("node").limit(target_n)
+        seen = cut(first.withColumn("pos", F.row_number().over(Window.orderBy("node"))))
     for depth in range(1, max_depth + 1):
-        edge = seen.filter(F.col("depth") == depth - 1).select(F.col("node").alias("parent"))
-        new = edges.join(edge, "parent").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("parent")).join(seen, "node", "left_anti")
-        after = cut(seen.unionByName(new.withColumn("depth", F.lit(depth))))
+        room = None if target_n is None else target_n - seen.count()
+        if room is not None and room <= 0:
+            break
+        edge = seen.filter(F.col("depth") == depth - 1).select(F.col("node").alias("parent"), F.col("pos").alias("above"))
+        by = F.struct("above", "rank", "parent") if target_n is not None else F.struct("parent", F.lit(0).alias("above"), "rank")
+        new = ranked.join(edge, "parent").groupBy(F.col("child").alias("node")).agg(F.min(by).alias("by")).join(seen, "node", "left_anti")
+        new = new.select("node", "by.parent", F.lit(depth).alias("depth"), "by.above", "by.rank")
+        if room is None:
+            new = new.withColumn("pos", F.lit(0))
+        else:
+            order = ("above", "rank", "node")
+            new = new.orderBy(*order).limit(room).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+        after = cut(seen.unionByName(new.drop("above", "rank")))
         if after.filter(F.col("depth") == depth).isEmpty():
             break
         seen = after
-    return seen
+    return seen.drop("pos")
 
 
 def class_like_instances(instances: DataFrame, edges: DataFrame, k: int) -> DataFrame:

@@ -76,6 +76,14 @@ def subtree(up: DataFrame, node: str | Column) -> DataFrame:
     return up.filter(F.col("ancestor") == at).select("node")
 
 
+def subclass_labels(edges: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(node, subclasses): labels of the first k children placed under each node; ``edges`` has pos, the order of placing."""
+    first = edges.withColumn("n", F.row_number().over(Window.partitionBy("parent").orderBy("pos", "child"))).filter(F.col("n") <= k)
+    named = first.join(labels.select(F.col("node").alias("child"), "label"), "child", "left")
+    listed = F.array_sort(F.collect_list(F.struct("n", F.coalesce("label", "child").alias("label"))))
+    return named.groupBy(F.col("parent").alias("node")).agg(F.transform(listed, lambda x: x["label"]).alias("subclasses"))
+
+
 def examples(mentions: DataFrame, k: int) -> DataFrame:
     """The k shortest distinct names of each type (type_id, name), ties by text."""
     rank = F.row_number().over(Window.partitionBy("type_id").orderBy(F.length("name"), "name"))
@@ -87,8 +95,11 @@ def support_split(types: DataFrame, min_support: int) -> DataFrame:
     return types.withColumn("deferred", (F.col("n") < min_support) & F.lit(min_support > 1))
 
 
-def metrics(nodes: DataFrame, edges: DataFrame, up: DataFrame) -> DataFrame:
-    """One row: nodes, edges, roots, orphans (roots without children), orphan_rate, max_depth, mean_depth."""
+def metrics(nodes: DataFrame, edges: DataFrame, up: DataFrame, synthesized: DataFrame | None = None, unresolved: DataFrame | None = None) -> DataFrame:
+    """One row: nodes, edges, roots, orphans (roots without children), orphan_rate, max_depth, mean_depth.
+
+    ``synthesized`` (node) and ``unresolved`` (anchor, node) add their counts.
+    """
     deep = up.groupBy("node").agg(F.max("depth").alias("depth"))
     facts = deep.join(edges.select(F.col("parent").alias("node")).distinct().withColumn("has", F.lit(True)), "node", "left")
     root = F.col("depth") == 0
@@ -98,7 +109,11 @@ def metrics(nodes: DataFrame, edges: DataFrame, up: DataFrame) -> DataFrame:
         F.max("depth").alias("max_depth"), F.round(F.avg("depth"), 4).alias("mean_depth"),
         F.round(F.avg(F.when(orphan, 1.0).otherwise(0.0)), 4).alias("orphan_rate"),
     )
-    return out.join(F.broadcast(edges.agg(F.count("*").alias("edges"))))
+    out = out.join(F.broadcast(edges.agg(F.count("*").alias("edges"))))
+    for name, rows in (("synthesized", synthesized), ("unresolved", unresolved)):
+        if rows is not None:
+            out = out.join(F.broadcast(rows.agg(F.count_distinct(*rows.columns).alias(name))))
+    return out
 
 
 def collapse_duplicate(edges: DataFrame, survivor: str, loser: str) -> DataFrame:
@@ -145,6 +160,23 @@ def aggregates(nodes: DataFrame, edges: DataFrame, up: DataFrame) -> DataFrame:
     return nodes.join(sums, nodes.node == sums["at"]).select("node", F.col("n").alias("own"), "total", "leaves")
 
 
+def view_rows(sums: DataFrame, nodes: DataFrame, edges: DataFrame, names: DataFrame, most: int = 8) -> DataFrame:
+    """Rows of a drawn tree: (node, parent, label, total, leaves, score, is_seed, is_synth, surfaces, place).
+
+    ``sums`` come from ``aggregates``; ``edges`` may have a score; ``names`` has
+    node, label, surfaces, is_seed, is_synth. Siblings, and roots among
+    themselves, are placed by most leaves, then by node. At most ``most``
+    surface forms other than the label are shown.
+    """
+    score = F.round(F.col("score"), 2) if "score" in edges.columns else F.lit(None).cast("double")
+    up_one = edges.select(F.col("child").alias("node"), "parent", score.alias("score"))
+    full = nodes.select("node").join(sums.select("node", "total", "leaves"), "node", "left").join(up_one, "node", "left").join(names, "node", "left")
+    others = F.slice(F.filter(F.coalesce("surfaces", F.array().cast("array<string>")), lambda x: ~x.eqNullSafe(F.col("label"))), 1, most)
+    place = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("leaves"), "node"))
+    full = full.withColumn("label", F.coalesce("label", "node"))
+    return full.select("node", "parent", "label", "total", "leaves", "score", F.coalesce("is_seed", F.lit(False)).alias("is_seed"), F.coalesce("is_synth", F.lit(False)).alias("is_synth"), others.alias("surfaces"), place.alias("place"))
+
+
 def nearest_selected(up: DataFrame, selected: DataFrame) -> DataFrame:
     """(node, group): the nearest ancestor, or the node itself, that is selected; null without one."""
     near = up.join(selected.select(F.col("node").alias("ancestor")), "ancestor").groupBy("node").agg(F.min_by("ancestor", "depth").alias("group"))
@@ -199,12 +231,8 @@ def affected_types(up: DataFrame, edges: DataFrame, moved: str, destination: str
     return out.distinct()
 
 
-def new_merge_pairs(entities: DataFrame, old_keys: DataFrame, new_keys: DataFrame, affected: DataFrame) -> DataFrame:
-    """Pairs of types with entities that share a parent key now and did not before: (type_a, type_b, pairs).
-
-    Counted from the types' sizes; entity pairs are never enumerated.
-    """
-    sizes = entities.groupBy(F.col("type_id").alias("node")).agg(F.count_distinct("entity_id").alias("n"))
+def newly_together(old_keys: DataFrame, new_keys: DataFrame, affected: DataFrame) -> DataFrame:
+    """(type_a, type_b): types that share a partition now and did not before, at least one of them affected."""
 
     def together(keys: DataFrame) -> DataFrame:
         at = keys.select("node", F.struct("tag", "key").alias("k"))
@@ -212,5 +240,15 @@ def new_merge_pairs(entities: DataFrame, old_keys: DataFrame, new_keys: DataFram
 
     fresh = together(new_keys).join(together(old_keys), ["type_a", "type_b"], "left_anti")
     touched = affected.select("node")
-    fresh = fresh.join(touched.select(F.col("node").alias("type_a"), F.lit(1).alias("ta")), "type_a", "left").join(touched.select(F.col("node").alias("type_b"), F.lit(1).alias("tb")), "type_b", "left").filter("ta = 1 or tb = 1")
+    marked = fresh.join(touched.select(F.col("node").alias("type_a"), F.lit(1).alias("ta")), "type_a", "left").join(touched.select(F.col("node").alias("type_b"), F.lit(1).alias("tb")), "type_b", "left")
+    return marked.filter("ta = 1 or tb = 1").select("type_a", "type_b")
+
+
+def new_merge_pairs(entities: DataFrame, old_keys: DataFrame, new_keys: DataFrame, affected: DataFrame) -> DataFrame:
+    """Pairs of types with entities that share a parent key now and did not before: (type_a, type_b, pairs).
+
+    Counted from the types' sizes; entity pairs are never enumerated.
+    """
+    sizes = entities.groupBy(F.col("type_id").alias("node")).agg(F.count_distinct("entity_id").alias("n"))
+    fresh = newly_together(old_keys, new_keys, affected)
     return fresh.join(sizes.withColumnsRenamed({"node": "type_a", "n": "na"}), "type_a").join(sizes.withColumnsRenamed({"node": "type_b", "n": "nb"}), "type_b").select("type_a", "type_b", (F.col("na") * F.col("nb")).alias("pairs"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import calls, constraints, evaluate, graph, profiles, resolve, similarity, survey, tree, vocab
+from ..operators import calls, constraints, evaluate, graph, profiles, resolve, sandbox, similarity, survey, tree, vocab
 from ..sources import formats
 from ..sources.testdata import forest_edges, table, triplets
 from .checkpoint import cut
@@ -854,6 +854,19 @@ def m3(spark, sf):
     return tiers.unionByName(k.agg(F.lit("hard_low_support").alias("metric"), F.count_if((c("strength") == "hard") & (c("support") < 3)).alias("value")))
 
 
+@query("m3_metric_sections", sql("""SELECT section, metric, value FROM (
+SELECT 'types' AS section, unnest(['num_raw', 'num_canonical', 'never_merged_share']) AS metric, unnest([CAST(raw AS DOUBLE), CAST(own AS DOUBLE), round(alone / own, 4)]) AS value
+  FROM (SELECT (SELECT count(DISTINCT surface) FROM tsurf WHERE surface <> '') AS raw, count(*) AS own, count(*) FILTER (forms = 1) AS alone FROM (SELECT t.label, count(DISTINCT x.surface) + CAST(bool_and(x.surface <> t.label) AS INT) AS forms FROM tvoc t JOIN tsurf x ON """ + norm("x.surface") + """ = t.label WHERE x.surface <> '' GROUP BY t.label))
+UNION ALL SELECT 'constraints', unnest(['num_constraints', 'hard_with_support_under_3']), unnest([CAST(count(*) AS DOUBLE), CAST(count(*) FILTER (strength = 'hard' AND support < 3) AS DOUBLE)]) FROM tiered WHERE strength <> 'below_hint')""", "tvoc", "support"))
+def m3_sections(spark, sf):
+    items, _ = types(spark, sf)
+    surfaces = vocab.type_surfaces(triplets(spark, sf))
+    n_raw = surfaces.filter("surface <> ''").agg(F.count_distinct("surface").alias("num_raw"))
+    k = constraints.induce(*counted_up(spark, sf))
+    tiers = k.agg(F.count("*").alias("num_constraints"), F.count_if((c("strength") == "hard") & (c("support") < 3)).alias("hard_with_support_under_3"))
+    return evaluate.metric_rows({"types": evaluate.vocabulary_section(items, n_raw).drop("reduction_pct"), "hierarchy": None, "constraints": tiers})
+
+
 AGG_SQL = "own AS (SELECT node, (SELECT count(*) FROM typed WHERE st = tnodes.node) AS n FROM tnodes)"
 
 
@@ -865,16 +878,37 @@ def v1(spark, sf):
     return tree.aggregates(own, forest_edges(spark), u).select("node", "own", "total", c("leaves").cast("long").alias("leaves"))
 
 
-@query("v2_constraint_groups", sql("SELECT relation_id, count(*) AS n, round(max(p), 6) AS max_confidence FROM tiered WHERE strength <> 'below_hint' GROUP BY relation_id", "support"))
+@query("v2_constraint_groups", sql("SELECT relation_id, n, max_confidence, CASE top WHEN 1 THEN 'hard' WHEN 2 THEN 'soft' ELSE 'hint' END AS top_strength, sure FROM (SELECT relation_id, count(*) AS n, round(max(p), 3) AS max_confidence, min(CASE strength WHEN 'hard' THEN 1 WHEN 'soft' THEN 2 ELSE 3 END) AS top, arg_min(dom || '>' || rng, (-p, dom, rng)) AS sure FROM tiered WHERE strength <> 'below_hint' GROUP BY relation_id)", "support"))
 def v2(spark, sf):
-    k = constraints.induce(*counted_up(spark, sf))
-    return k.groupBy("relation_id").agg(F.count("*").alias("n"), F.round(F.max("pca_confidence"), 6).alias("max_confidence"))
+    """``sure`` is the first of a relation's ordered rows."""
+    first = F.element_at("rows", 1)
+    k = constraints.groups(constraints.induce(*counted_up(spark, sf)))
+    return k.select("relation_id", "n", "max_confidence", "top_strength", F.concat(first["domain"], F.lit(">"), first["range"]).alias("sure"))
 
 
 @query("v3_constraint_view", sql("SELECT relation_id, dom AS domain, rng AS range, strength FROM tiered WHERE strength IN ('soft', 'hint') AND p >= 0.4 AND lower(relation_id) LIKE '%pl%'", "support"))
 def v3(spark, sf):
     k = constraints.induce(*counted_up(spark, sf))
-    return k.filter("strength in ('soft', 'hint') and pca_confidence >= 0.4 and lower(relation_id) like '%pl%'").select("relation_id", "domain", "range", "strength")
+    return constraints.view(k, ["soft", "hint"], 0.4, "PL").select("relation_id", "domain", "range", "strength")
+
+
+@query("v1_tree_view", sql("""SELECT s.node, f.parent, s.leaves, CAST(round(0.123 * length(s.node), 2) * 100 AS BIGINT) * CAST(f.parent IS NOT NULL AS INT) AS score100, s.node IN ('business', 'place') AS is_seed, row_number() OVER (PARTITION BY f.parent ORDER BY s.leaves DESC, s.node) AS place
+FROM (SELECT ancestor AS node, count(*) FILTER (node NOT IN (SELECT parent FROM forest)) AS leaves FROM up GROUP BY ancestor) s LEFT JOIN forest f ON f.child = s.node""", "up"))
+def v1_view(spark, sf):
+    n, u = counted_up(spark, sf)
+    every, e = all_nodes(spark, sf, n), forest_edges(spark)
+    sums = tree.aggregates(every.withColumn("n", F.lit(1)), e, u)
+    names = every.select("node", c("node").alias("label"), F.array("node", F.upper("node")).alias("surfaces"), c("node").isin("business", "place").alias("is_seed"), F.lit(False).alias("is_synth"))
+    rows = tree.view_rows(sums, every, e.withColumn("score", 0.123 * F.length("child")), names)
+    score = F.coalesce(F.round(c("score") * 100), F.lit(0)).cast("long")
+    return rows.select("node", "parent", c("leaves").cast("long").alias("leaves"), score.alias("score100"), "is_seed", c("place").cast("long").alias("place"))
+
+
+@query("h3_subclass_labels", sql("SELECT node, string_agg(child, '|' ORDER BY rank) AS subclasses FROM (SELECT parent AS node, child, row_number() OVER (PARTITION BY parent ORDER BY child) AS rank FROM forest) WHERE rank <= 3 GROUP BY node", "forest"))
+def h3(spark, sf):
+    e = forest_edges(spark).withColumn("pos", c("child"))
+    found = tree.subclass_labels(e, e.select(c("child").alias("node"), c("child").alias("label")), 3)
+    return found.select("node", F.array_join("subclasses", "|").alias("subclasses"))
 
 
 @query("v4_color_group", sql("SELECT t.node, g.grp AS \"group\" FROM tnodes t LEFT JOIN (SELECT node, arg_min(ancestor, depth) AS grp FROM up WHERE ancestor IN ('business', 'industrial', 'place') GROUP BY node) g USING (node)", "up"))
@@ -890,7 +924,7 @@ def supplier_selection(spark, e):
     return graph.selection_subgraph(n, e, spark.sql("SELECT 'supplier' AS type_id"), 30)
 
 
-@query("v5_type_selection", sql("SELECT node, core FROM (SELECT node, true AS core FROM core UNION ALL SELECT node, false FROM around WHERE node NOT IN (SELECT node FROM core)) ORDER BY core DESC, node LIMIT 30", "typed", more=SUBG_SQL))
+@query("v5_type_selection", sql("SELECT node, core, (SELECT count(*) FROM (SELECT node FROM core UNION SELECT node FROM around)) > 30 AS truncated FROM (SELECT node, true AS core FROM core UNION ALL SELECT node, false FROM around WHERE node NOT IN (SELECT node FROM core)) ORDER BY core DESC, node LIMIT 30", "typed", more=SUBG_SQL))
 def v5(spark, sf):
     return supplier_selection(spark, edges(spark, sf))
 
@@ -995,6 +1029,13 @@ def e11(spark, sf):
     return evaluate.compare_reports(a, b, "k", "m")
 
 
+@query("e11_report_table", "SELECT c_mktsegment AS report, round(avg(c_acctbal), 2) AS exact_match, CAST(count(*) AS DOUBLE) AS n FROM customer GROUP BY 1")
+def e11_table(spark, sf):
+    n = table(spark, sf, "customer").groupBy(c("c_mktsegment").alias("report")).agg(F.round(F.avg("c_acctbal"), 2).cast("double").alias("exact_match"), F.count("*").cast("double").alias("n"))
+    long = n.select("report", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), c(m).alias("value")) for m in ("exact_match", "n")])).alias("x")).select("report", "x.*")
+    return evaluate.report_table(long, ["exact_match", "n"], "exact_match")
+
+
 GOLD_SQL = "gold AS (SELECT l_returnflag AS domain, l_quantity > 10 AS matched, l_quantity <= 2 AS failed, CASE WHEN l_linenumber % 3 = 0 THEN 'inverse' ELSE 'same' END AS direction, CASE l_partkey % 5 WHEN 0 THEN 'hard' WHEN 1 THEN 'soft' WHEN 2 THEN 'hint' END AS strength, l_suppkey % 4 <> 0 AS containment_ok, CASE l_orderkey % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'more_general' WHEN 2 THEN 'more_narrow' WHEN 3 THEN 'odd' END AS label, l_partkey % 11 = 0 AS no_call FROM lineitem), sent AS (SELECT o_orderstatus AS domain, o_custkey % 5 + 1 AS generated, CAST(o_custkey % 5 > 1 AS BIGINT) AS extras, CAST(o_orderkey % 9 = 0 AS BIGINT) AS call_failures FROM orders)"
 _BOTH = "sides AS (SELECT domain, true AS is_gold, matched, failed, direction, strength, containment_ok, NULL AS generated, NULL AS extras, NULL AS call_failures FROM gold UNION ALL SELECT domain, NULL, NULL, NULL, NULL, NULL, NULL, generated, extras, call_failures FROM sent)"
 _FULL = "count(is_gold) AS gold, CAST(coalesce(sum(generated), 0) AS BIGINT) AS generated, CAST(coalesce(sum(call_failures), 0) AS BIGINT) AS call_failures, round(count(*) FILTER (matched) / nullif(count(is_gold) - count(*) FILTER (NOT matched AND failed), 0), 6) AS recall, count(*) FILTER (matched AND direction = 'same') AS same, count(*) FILTER (matched AND direction = 'inverse') AS inverse, count(*) FILTER (NOT matched AND NOT failed) AS missed, count(*) FILTER (NOT matched AND failed) AS failed, CAST(coalesce(sum(extras), 0) AS BIGINT) AS extras, round(sum(extras) / nullif(sum(generated), 0), 6) AS extra_rate, count(*) FILTER (matched AND strength IS NOT NULL) AS with_constraint, count(*) FILTER (matched AND strength IS NULL) AS without_constraint, count(*) FILTER (matched AND strength IS NOT NULL AND NOT containment_ok) AS containment_violations"
@@ -1107,6 +1148,26 @@ def new_merge_pairs(spark, sf, t):
     return tree.new_merge_pairs(e, tree.parent_key(every, old), tree.parent_key(every, new), touched)
 
 
+@query("b3_stale_constraints", sql("SELECT relation_id, dom AS domain, rng AS range FROM tiered WHERE strength <> 'below_hint' AND (dom IN (SELECT node FROM up WHERE ancestor = 'industrial') OR rng IN (SELECT node FROM up WHERE ancestor = 'industrial'))", "support"))
+def b3_stale(spark, sf):
+    n, u = counted_up(spark, sf)
+    return sandbox.stale_constraints(constraints.induce(n, u), tree.subtree(u, "industrial")).select("relation_id", "domain", "range")
+
+
+@query("b8_carry_deletions", sql("SELECT entity_id, type_id FROM et WHERE type_id NOT IN (SELECT node FROM gone) UNION ALL SELECT entity_id, 'business' FROM eff WHERE all_gone", "up", more=IMP_SQL))
+def b8(spark, sf):
+    u = up(spark, sf)
+    e = typed(spark, sf).select(c("subject").alias("entity_id"), c("subject_type_id").alias("type_id")).distinct()
+    return sandbox.carry_deletions(e, tree.subtree(u, "industrial"), u)
+
+
+@query("b9_replay", sql("SELECT child, CASE WHEN child = 'supplier' THEN 'consumer' ELSE parent END AS parent FROM forest WHERE child NOT IN (SELECT node FROM up WHERE ancestor = 'place')", "up"))
+def b9(spark, sf):
+    """Three edits of which the last is undone."""
+    log = [sandbox.Edit("move", "supplier", "consumer"), sandbox.Edit("delete", "place"), sandbox.Edit("delete", "business")]
+    return sandbox.replay(all_nodes(spark, sf), forest_edges(spark), log, 2)[1]
+
+
 PARTS_FOREST = PARTS["forest"]
 _MOVED = PARTS_FOREST.replace("('supplier', 'industrial')", "('supplier', 'consumer')")
 
@@ -1290,6 +1351,60 @@ def g8(spark, sf):
     return answer_context(e, asked)
 
 
+class _PartOf:
+    """Asks about the name that ends a question, and answers with the first fact about what it is part of."""
+
+    def mentions(self, question):
+        return [question.rsplit(" ", 1)[-1]]
+
+    def rank_entities(self, question, entities):
+        return entities[:1]
+
+    def answer(self, question, facts):
+        return next((o for s, r, o in facts if r == "part of"), "")
+
+
+_QA_EDGES = EDGE_SQL + ", e AS (SELECT DISTINCT sample_id, s, r, o FROM edge), asked AS (SELECT CAST(n_nationkey AS BIGINT) AS sample_id, lower(n_name) AS m, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name NOT LIKE '% %')"
+
+
+def questions(spark, sf):
+    """Nations of one word, asked about in their own sample."""
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), c("n_regionkey") == c("r_regionkey")).filter("n_name not like '% %'")
+    return n.select(c("n_nationkey").cast("long").alias("sample_id"), F.concat(F.lit("Which region holds "), "n_name").alias("question"), F.array("r_name", F.lit("no region")).alias("answers"))
+
+
+def sample_graph(spark, sf):
+    e = cut(edges(spark, sf).select("sample_id", "s", "r", "o").distinct())
+    names = e.select("sample_id", F.explode(F.array("s", "o")).alias("entity")).distinct()
+    return e, names.select("sample_id", "entity", c("entity").alias("name"), F.lit("thing").alias("type"))
+
+
+@query("g8_link_mentions", sql("SELECT sample_id, CAST(1 AS BIGINT) AS place, m AS entity FROM asked WHERE (sample_id, m) IN (SELECT (sample_id, s) FROM e UNION ALL SELECT (sample_id, o) FROM e)", "typed", more=_QA_EDGES))
+def g8_link(spark, sf):
+    from ..operators.linking import link_mentions
+
+    asked = questions(spark, sf)
+    mentions = asked.select("sample_id", F.lit(0).cast("long").alias("ord"), F.substring_index("question", " ", -1).alias("mention"))
+    return link_mentions(asked, sample_graph(spark, sf)[1], mentions, _PartOf()).select("sample_id", c("place").cast("long").alias("place"), "entity")
+
+
+@query("g9_answer_samples", sql("SELECT a.sample_id, any_value(lower(a.r_name)) AS predicted, count(*) AS num_edges, CAST(1 AS BIGINT) AS num_linked, count(*) FILTER (s = m OR o = m) AS num_supporting, true AS em, 1.0::DOUBLE AS f1, CAST(NULL AS VARCHAR) AS error FROM asked a JOIN e USING (sample_id) GROUP BY a.sample_id", "typed", more=_QA_EDGES))
+def g9(spark, sf):
+    from ..operators.linking import answer_samples
+
+    e, index = sample_graph(spark, sf)
+    return answer_samples(questions(spark, sf), e, index, _PartOf(), depth=1)
+
+
+@query("g10_retrieve")
+def g10(spark, sf):
+    """No SQL: neighbours by embedding; held against a plain version in the tests."""
+    from ..operators.linking import retrieve
+
+    e, _ = sample_graph(spark, sf)
+    return retrieve(e, table(spark, sf, "nation").select(c("n_nationkey").cast("long").alias("sample_id"), c("n_name").alias("mention")))
+
+
 @query("c1_embed", "SELECT DISTINCT p_name AS text, CAST(1.0 AS DOUBLE) AS norm FROM part")
 def c1(spark, sf):
     v = similarity.embed(table(spark, sf, "part").select(c("p_name").alias("text")).distinct(), similarity.hashed_embedding)

@@ -60,3 +60,12 @@ class Runs:
         for step in steps:
             self.save(new, step, changed.get(step) if step in changed else self.load(run, step))
         return new
+
+    def overview(self, steps: list[str]) -> DataFrame:
+        """(run, step, n): rows of each finished step of each run, null where a run has no such step."""
+        out = self.spark.createDataFrame([], "run int, step string, n long")
+        for run in self.existing():
+            for step in steps:
+                n = self.load(run, step).agg(F.count("*").alias("n")) if self.has(run, step) else self.spark.range(1).select(F.lit(None).cast("long").alias("n"))
+                out = out.unionAll(n.select(F.lit(run).alias("run"), F.lit(step).alias("step"), "n"))
+        return out

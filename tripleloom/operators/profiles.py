@@ -35,11 +35,25 @@ def weigh(counts: DataFrame, scheme: str = "ppmi") -> DataFrame:
     return found.select("type", "relation", value.alias("weight")).filter("weight > 0")
 
 
-def _pairs(profiles: DataFrame) -> DataFrame:
-    """Type pairs that share a relation, with both weights (a < b)."""
-    left = profiles.select(F.col("type").alias("a"), "relation", F.col("weight").alias("wa"))
-    right = profiles.select(F.col("type").alias("b"), "relation", F.col("weight").alias("wb"))
-    return left.join(right, "relation").filter("a < b")
+#: Types of one relation in a block; pairs of blocks are joined by their own tasks.
+BLOCK = 2048
+
+
+def _pairs(profiles: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Type pairs that share a relation, with both weights (a < b).
+
+    A relation of more than ``block`` types is dealt out as pairs of blocks, so
+    no task pairs more than two blocks, however many types it has.
+    """
+    size = profiles.groupBy("relation").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sized = profiles.select("type", "relation", "weight").join(size, "relation").withColumn("own", F.pmod(F.xxhash64("type"), F.col("blocks")).cast("int"))
+    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    keys = ["relation", "lo", "hi"]
+    left = dealt.select(*keys, F.col("own").alias("oa"), F.col("type").alias("a"), F.col("weight").alias("wa"))
+    right = dealt.select(*keys, F.col("own").alias("ob"), F.col("type").alias("b"), F.col("weight").alias("wb"))
+    # Two types of one block meet in that block's pair with itself, and nowhere else.
+    return left.join(right, keys).filter("a < b and (lo = hi or oa <> ob)").select("a", "b", "relation", "wa", "wb")
 
 
 def candidate_pairs(profiles: DataFrame) -> DataFrame:

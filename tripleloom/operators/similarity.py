@@ -9,11 +9,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.checkpoint import cut
 
 #: Vectors of one block; pairs of blocks are compared by their own task.
 BLOCK = 1024
+#: Queries and pool vectors of one block in ``nearest``.
+QUERIES, POOL = 2048, 8192
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -62,33 +65,37 @@ def threshold_counts(vectors: DataFrame, thresholds: list[float], block: int = B
     return found.groupBy("threshold").agg(F.sum("pairs").alias("pairs"))
 
 
-def nearest(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, pool: DataFrame, k: int, query_block: int = QUERIES, pool_block: int = POOL) -> DataFrame:
     """(query_id, id, cosine, rank): the k nearest of ``pool`` for each query, ties by id.
 
-    The queries are a stated set held by the driver; every task ranks its own
-    part of the pool and only k rows a query are shuffled from each.
+    The queries are a stated set. Both sides are dealt out in blocks; a task
+    holds one block of each and gives k rows for each of its queries.
     """
-    rows = queries.select("id", "vec").toPandas()
-    ids, matrix = rows["id"].to_numpy(), _matrix(rows["vec"]) if len(rows) else np.zeros((0, 1))
-    kind = dict(pool.dtypes)["id"]
-
-    def rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if not len(frame) or not len(ids):
-                continue
-            sims = _matrix(frame["vec"]) @ matrix.T
-            own = frame["id"].to_numpy()
-            top = min(k, len(own))
-            out = []
-            for q in range(len(ids)):
-                order = np.lexsort((own, -np.round(sims[:, q], 12)))[:top]
-                out.append(pd.DataFrame({"query_id": ids[q], "id": own[order], "cosine": sims[order, q]}))
-            yield pd.concat(out)
-
-    local = pool.select("id", "vec").mapInPandas(rank, f"query_id {dict(queries.dtypes)['id']}, id {kind}, cosine double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("cosine", 12)).alias("o"), "id", "cosine"))), 1, k)
-    found = local.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "b"))
-    return found.select("query_id", "b.id", "b.cosine", (F.col("rank") + 1).alias("rank"))
+    kinds = dict(queries.dtypes)["id"], dict(pool.dtypes)["id"]
+    qs, ps = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (pool, pool_block)))
+
+    def dealt(df: DataFrame, side: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        # Names of their own: the queries often come from the pool, and a cogroup mixes up columns that both sides share.
+        placed = df.select(F.col("id").alias(f"{side}_id"), F.col("vec").alias(f"{side}_vec"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).select(F.col("qb").alias(f"{side}_qb"), F.col("pb").alias(f"{side}_pb"), f"{side}_id", f"{side}_vec")
+
+    def rank(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(found):
+            found = found.sort_values("p_id")
+            unit, ids, top = _matrix(found["p_vec"]), found["p_id"].to_numpy(), min(k, len(found))
+            for start in range(0, len(asked), 256):
+                part = asked.iloc[start : start + 256]
+                sims = _matrix(part["q_vec"]) @ unit.T
+                for q, row in zip(part["q_id"].to_numpy(), sims):
+                    order = np.argsort(-np.round(row, 12), kind="stable")[:top]
+                    out.append(pd.DataFrame({"query_id": q, "id": ids[order], "cosine": row[order]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "cosine": []})
+
+    left, right = dealt(queries, "q", "qb", qs, "pb", ps), dealt(pool, "p", "pb", ps, "qb", qs)
+    local = left.groupBy("q_qb", "q_pb").cogroup(right.groupBy("p_qb", "p_pb")).applyInPandas(rank, f"query_id {kinds[0]}, id {kinds[1]}, cosine double")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 12)), "id"))
+    return local.withColumn("rank", best).filter(F.col("rank") <= k)
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

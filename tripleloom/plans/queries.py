@@ -585,6 +585,14 @@ def c2(spark, sf):
     return member.groupBy("component").agg(F.count("*").alias("n"))
 
 
+@query("c2_density_clusters")
+def c2_density(spark, sf):
+    """No SQL: the vectors of each label as a pool of its own."""
+    from ..operators.density import density_groups
+
+    return density_groups(vectors(spark, sf), ["label"], 0.4)
+
+
 @query("c3_components", f"WITH RECURSIVE {VEC_SQL}, {COMP_SQL} SELECT node, component FROM compo")
 def c3(spark, sf):
     v = vectors(spark, sf)

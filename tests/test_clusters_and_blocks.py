@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tripleloom.operators import profiles, similarity
+from tripleloom.operators import entities, profiles, similarity
+from tripleloom.operators.adjudicate import DecisionTable
 from tripleloom.operators.density import density_clusters, density_groups, spanning_tree
 
 
@@ -72,3 +73,13 @@ def test_neighbours_in_blocks(spark):
         found = similarity.nearest(asked, pool, 7, *sizes).select("query_id", "id", "rank")
         assert {tuple(r) for r in found.collect()} == want
     assert similarity.nearest(asked.filter("id < 0"), pool, 7).count() == 0 == similarity.nearest(asked, pool.filter(F.lit(False)), 7).count()
+
+
+def test_large_partitions_merge_as_small_ones_do(spark):
+    words = ["copper pan", "copper pans", "copper  pan lid", "iron pot", "iron pots", "iron pot stand", "tea cup", "tea cups", "Tea cup", "spoon"]
+    rows = [(k, w) for k in ("kitchen", "shop", None) for w in words if k != "shop" or "pot" in w] + [("shop", None)]
+    e = spark.createDataFrame(rows, "key string, name string")
+    for said, cap in ((DecisionTable(merge_all=True), 2), (DecisionTable(), 40)):
+        whole = {tuple(r) for r in entities.merge_within(e, ["key"], said, 0.7, cap).collect()}
+        dealt = {tuple(r) for r in entities.merge_within(e, ["key"], said, 0.7, cap, pool=3).collect()}
+        assert dealt == whole and len(whole) == 23

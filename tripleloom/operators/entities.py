@@ -8,12 +8,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import normalize_label, plain_label
 from ..plans.checkpoint import cut
 from . import tree
 from .adjudicate import adjudicate
-from .similarity import hashed_embedding, linkage_clusters
+from .similarity import components, embed, hashed_embedding, linkage_clusters, similar_pairs
+
+#: Names of a partition that one task merges by itself.
+POOL = 4096
 
 
 def partitions(entities: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -62,10 +66,12 @@ def merge_names(names: list[str], adjudicator, threshold: float, cap: int, round
     return at
 
 
-def merge_within(entities: DataFrame, keys: list[str], adjudicator, threshold: float = 0.85, cap: int = 40, rounds: int = 5) -> DataFrame:
+def merge_within(entities: DataFrame, keys: list[str], adjudicator, threshold: float = 0.85, cap: int = 40, rounds: int = 5, pool: int = POOL) -> DataFrame:
     """(keys, name, canonical): names merged in rounds inside each partition.
 
     ``keys`` are the hard gate: names of different partitions never meet.
+    Partitions of up to ``pool`` names are merged by a task each, larger ones
+    across tasks in the same way.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,8 +83,40 @@ def merge_within(entities: DataFrame, keys: list[str], adjudicator, threshold: f
             yield pd.DataFrame(out, columns=[*keys, "name", "canonical"])
 
     kinds = dict(entities.dtypes)
-    lists = entities.groupBy(*keys).agg(F.array_sort(F.collect_set("name")).alias("names"))
-    return lists.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", name string, canonical string")
+    part = F.to_json(F.struct(*keys))
+    names = cut(entities.filter("name is not null").select(part.alias("part"), *keys, "name").distinct())
+    large = cut(names.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > pool).select("part"))
+    none = large.isEmpty()
+    small = names if none else names.join(large, "part", "left_anti")
+    lists = small.groupBy(*keys).agg(F.array_sort(F.collect_list("name")).alias("names"))
+    done = lists.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", name string, canonical string")
+    return done if none else done.unionByName(_merge_large(names.join(large, "part", "left_semi"), keys, adjudicator, threshold, cap, rounds))
+
+
+def _merge_large(names: DataFrame, keys: list[str], adjudicator, threshold: float, cap: int, rounds: int) -> DataFrame:
+    """``merge_names`` for partitions (part, keys, name) of any size: a partition's pairs and calls are spread over tasks."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(part, m, label) for part, ms in frame[["part", "members"]].itertuples(index=False) for label, group in adjudicate(adjudicator, "entity", list(ms)) for m in group]
+            yield pd.DataFrame(out, columns=["part", "canonical", "next"])
+
+    state = cut(names.withColumn("canonical", F.col("name")).withColumn("open", F.lit(True)))
+    for _ in range(rounds):
+        node = F.concat("part", F.lit("\u001f"), "canonical")
+        pool = cut(state.filter("open").select("part", "canonical", node.alias("node")).distinct())
+        if pool.isEmpty():
+            break
+        vectors = embed(pool.select(F.col("canonical").alias("text")), hashed_embedding)
+        placed = cut(pool.join(vectors, pool.canonical == vectors.text).select("part", F.col("node").alias("id"), "vec"))
+        member = components(similar_pairs(placed, threshold, part="part").select("a", "b"), pool.select("node")).join(pool, "node")
+        chunk = F.floor((F.row_number().over(Window.partitionBy("component").orderBy("canonical")) - 1) / cap)
+        lists = member.withColumn("chunk", chunk).groupBy("part", "component", "chunk").agg(F.array_sort(F.collect_list("canonical")).alias("members"))
+        moved = cut(lists.mapInPandas(ask, "part string, canonical string, next string"))
+        left = moved.groupBy("part").agg((F.count_distinct("next") < F.count_distinct("canonical")).alias("shrunk"))
+        after = state.join(moved, ["part", "canonical"], "left").join(left, "part", "left")
+        state = cut(after.select("part", *keys, "name", F.coalesce("next", "canonical").alias("canonical"), (F.col("open") & F.coalesce("shrunk", F.lit(False))).alias("open")))
+    return state.select(*keys, "name", "canonical")
 
 
 def cross_type_names(entities: DataFrame, up: DataFrame) -> DataFrame:

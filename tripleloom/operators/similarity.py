@@ -24,17 +24,22 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
-def _blocked(vectors: DataFrame, block: int) -> DataFrame:
-    """Each vector once for every pair of blocks that its block is in (lo, hi, side)."""
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = vectors.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return dealt.select("id", "vec", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+def _blocked(vectors: DataFrame, block: int, part: str | None = None) -> DataFrame:
+    """Each vector once for every pair of blocks that its block is in (lo, hi, side); with ``part`` blocks are a partition's own."""
+    if part is None:
+        sized = vectors.withColumn("blocks", F.lit(max(1, -(-vectors.count() // block))))
+    else:
+        sized = vectors.join(vectors.groupBy(part).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), part)
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*([part] if part else []), "id", "vec", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, cosine) with a < b and cosine >= threshold; exact, by blocked matrix products."""
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, part: str | None = None) -> DataFrame:
+    """(a, b, cosine) with a < b and cosine >= threshold; exact, by blocked matrix products.
+
+    With ``part``, a column that is never null, only vectors of one partition meet.
+    """
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["own"] == rows["lo"]], rows[rows["own"] == rows["hi"]]
@@ -48,7 +53,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> D
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": sims[i, j][keep]})
 
     kind = dict(vectors.dtypes)["id"]
-    return _blocked(vectors, block).groupBy("lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
+    return _blocked(vectors, block, part).groupBy(*([part] if part else []), "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
 
 
 def threshold_counts(vectors: DataFrame, thresholds: list[float], block: int = BLOCK) -> DataFrame:

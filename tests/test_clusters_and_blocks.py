@@ -75,6 +75,15 @@ def test_neighbours_in_blocks(spark):
     assert similarity.nearest(asked.filter("id < 0"), pool, 7).count() == 0 == similarity.nearest(asked, pool.filter(F.lit(False)), 7).count()
 
 
+def test_neighbours_of_strings_without_a_side(spark):
+    rows = spark.createDataFrame([("oak", [1.0, 0.0]), ("elm", [0.9, 0.1])], "id string, vec array<double>")
+    none = rows.filter("id = 'ash'")
+    for asked, pool in ((none, rows), (rows, none), (none, none)):
+        assert similarity.nearest(asked, pool, 3).collect() == []
+    few = similarity.nearest(rows, rows, 1, 1, 1)  # some pairs of blocks may lack a side
+    assert {(r["query_id"], r["id"]) for r in few.collect()} == {("oak", "oak"), ("elm", "elm")}
+
+
 def test_large_partitions_merge_as_small_ones_do(spark):
     words = ["copper pan", "copper pans", "copper  pan lid", "iron pot", "iron pots", "iron pot stand", "tea cup", "tea cups", "Tea cup", "spoon"]
     rows = [(k, w) for k in ("kitchen", "shop", None) for w in words if k != "shop" or "pot" in w] + [("shop", None)]

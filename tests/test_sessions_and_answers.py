@@ -130,6 +130,32 @@ def test_retrieval_walks_two_hops_from_the_nearest(spark, graphs):
     assert rows(linking.retrieve(edges, mentions)) == {(1, "oak", "planted by", "Ada", 1), (1, "Ada", "lives in", "Wye", 2), (3, "elm tree", "shades", "bench", 1)}
 
 
+def test_essay_graphs_where_labels_are_known(spark):
+    """Known labels ask nobody; an unknown one drops its triplet; both give rows of their own."""
+    said = [(1, 1, "Oak", "Tree", "shades", "bench", "seat"), (1, 2, "OAK", "tree", "Shades", "Bench", "seat"), (1, 3, "oak", "seat", "shades", "elm", "tree"), (2, 1, "OAK", "tree", "shades", "oak", "tree"), (2, 2, "OAK", "tree", "shades", "oak", "tree")]
+    fields = "essay long, ord long, subject string, subject_type string, relation string, object string, object_type string"
+    known = frame(spark, [("tree",), ("seat",)], "canonical string"), frame(spark, [("shades",)], "canonical string")
+    want = [(1, 1, "Oak", "shades", "bench"), (1, 2, "Oak", "shades", "bench"), (1, 3, "oak", "shades", "elm"), (2, 1, "OAK", "shades", "OAK"), (2, 2, "OAK", "shades", "OAK")]
+    graph_rows, dropped = linking.link_and_deduplicate(frame(spark, said, fields), *known, DecisionTable())
+    assert sorted(tuple(r) for r in graph_rows.collect()) == want and rows(dropped) == {(0, 0)}
+    more = [(3, 1, "Oak", "cloud", "shades", "bench", "seat"), (3, 2, "Oak", "tree", "eats", "bench", "seat")]
+    graph_rows, dropped = linking.link_and_deduplicate(frame(spark, said + more, fields), *known, DecisionTable())
+    assert sorted(tuple(r) for r in graph_rows.collect()) == want and rows(dropped) == {(1, 1)}
+    nothing = frame(spark, [], "canonical string")
+    graph_rows, dropped = linking.link_and_deduplicate(frame(spark, said, fields), known[0], nothing, DecisionTable())
+    assert graph_rows.count() == 0 and rows(dropped) == {(0, 5)}
+
+
+def test_closest_names_are_those_of_a_plain_scan():
+    names = [f"Customer#{i * 37 % 500:06}" for i in range(300)] + ["oak tree", "Oak tree", "oak trees", ""]
+    vectors = None
+    for n, vec in enumerate(hashed_embedding(names)):
+        scored = sorted((-float(v @ vec), m) for m, v in zip(names[:n], vectors[:n] if n else []))
+        for floor, most in ((0.7, 5), (0.2, 1), (0.95, 400)):
+            assert n == 0 or linking._closest(vec, names[:n], vectors, floor, most) == [m for s, m in scored if -s >= floor][:most]
+        vectors = linking._with(vectors, n, vec)
+
+
 def test_seed_tree_stops_at_its_target(spark):
     children = {"root": ["a", "b", "c"], "a": ["d", "e", "f"], "b": ["e", "g"], "d": ["h", "i"], "g": ["k"]}
     edges = frame(spark, [(c, p) for p, cs in children.items() for c in cs], "child string, parent string")

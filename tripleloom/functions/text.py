@@ -27,7 +27,8 @@ def plain_label(label: str) -> str:
 @F.pandas_udf(StringType())
 def unicode_label(labels: pd.Series) -> pd.Series:
     """NFKC, lower case, white space collapsed; Spark has no compatibility composition of its own."""
-    return labels.map(lambda s: None if s is None else plain_label(s))
+    # Nearly all batches hold nulls only: their labels are ASCII.
+    return labels if labels.isna().all() else labels.map(lambda s: None if s is None else plain_label(s))
 
 
 def collapse(label: Column) -> Column:
@@ -47,12 +48,18 @@ def normalize_label(label: Column, unicode: bool = True) -> Column:
 
 
 #: What Python's strip() takes off: Unicode separators, tabs and line ends, and the separators U+001C to U+001F.
-_BLANK = r"[\p{Z}\x09-\x0D\x1C-\x1F\x85]+"
+_BLANK = "".join(map(chr, [0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def clean(text: Column) -> Column:
-    """Trim white space of any kind; null becomes empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{_BLANK}|{_BLANK}$", "")
+    """Trim white space of any kind; null becomes empty.
+
+    Only texts with a character of ``_BLANK`` at an end are trimmed: nearly
+    all others are told by two looks at their ends.
+    """
+    text = F.coalesce(text, F.lit(""))
+    plain = (text >= "!") & (text < "\x7f") & F.right(text, F.lit(1)).between("!", "~")
+    return F.when(plain, text).otherwise(F.btrim(text, F.lit(_BLANK)))
 
 
 def compound(name: Column, type_label: Column) -> Column:
@@ -70,8 +77,32 @@ def compound_type(label: Column) -> Column:
     return F.when(label.rlike(_COMPOUND), F.trim(F.regexp_extract(label, _COMPOUND, 2))).otherwise(F.lit(""))
 
 
+#: ``_COMPOUND`` as the JVM reads it: white space is ASCII, and a last line end may follow.
+_COMPOUND_ASCII = re.compile("^(.+?)\\s*\\[(.+?)\\](?=(?:\r\n|[\n\r\x85\u2028\u2029])?\\Z)", re.S | re.A)
+
+
+def plain_compound(label: str) -> str:
+    """``normalize_compound`` of one string."""
+    found = _COMPOUND_ASCII.match(label)
+    if not found:
+        return plain_label(label)
+    name, kind = plain_label(found[1].strip(" ")), plain_label(found[2].strip(" "))
+    return f"{name} [{kind}]" if kind else name
+
+
+@F.pandas_udf(StringType())
+def unicode_compound(labels: pd.Series) -> pd.Series:
+    return labels.map(lambda s: "" if s is None else plain_compound(s))
+
+
 def normalize_compound(label: Column, unicode: bool = True) -> Column:
-    """Both halves normalised on their own; bare without a type."""
+    """Both halves normalised on their own; bare without a type.
+
+    In the JVM a name and a type would be taken apart several times for each
+    label, by code too long for it to compile; one call does it all.
+    """
+    if unicode:
+        return unicode_compound(label)
     name, kind = normalize_label(compound_name(label), unicode), normalize_label(compound_type(label), unicode)
     return F.when(kind == "", name).otherwise(compound(name, kind))
 

@@ -127,10 +127,14 @@ def cross_type_names(entities: DataFrame, up: DataFrame) -> DataFrame:
 
 
 def assign_classes(members: DataFrame, up: DataFrame) -> DataFrame:
-    """(entity_id, type_ids, primary_type_id): types of all surface forms and their common ancestor."""
-    named = members.select("entity_id", F.col("type_id").alias("node")).distinct()
-    types = named.groupBy("entity_id").agg(F.array_sort(F.collect_set("node")).alias("type_ids"))
-    return types.join(tree.lca(named, up, ["entity_id"]), "entity_id").withColumnRenamed("lca", "primary_type_id")
+    """(entity_id, type_ids, primary_type_id): types of all surface forms and their common ancestor.
+
+    Entities of the same types share it, so it is looked for once for each set of types.
+    """
+    types = cut(members.groupBy("entity_id").agg(F.array_sort(F.collect_set("type_id")).alias("type_ids")))
+    sets = types.select("type_ids").distinct().select("type_ids", F.explode("type_ids").alias("node"))
+    shared = cut(tree.lca(sets, up, ["type_ids"]).withColumnRenamed("lca", "primary_type_id"))
+    return types.join(shared, "type_ids").select("entity_id", "type_ids", "primary_type_id")
 
 
 def told_apart(classes: list[tuple[str, str, str]]) -> dict[str, tuple[str, str, str]]:

@@ -36,14 +36,19 @@ def resolve_types(df: DataFrame, to_id: DataFrame) -> DataFrame:
     return out.select(*df.columns, "subject_type_id", "object_type_id")
 
 
-def resolve_entities(df: DataFrame, types: DataFrame, to_id: DataFrame) -> DataFrame:
-    """Adds subject_id and object_id; needs the sides' type ids. ``types`` has item_id, canonical_label."""
-    ends = F.array(*[F.struct(F.col(side).alias("name"), F.col(f"{side}_type_id").alias("type_id")) for side in ("subject", "object")])
-    pairs = df.select(F.explode(ends).alias("e")).select("e.name", "e.type_id").filter("type_id is not null").distinct()
+def resolve_entities(df: DataFrame, types: DataFrame, to_id: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Adds subject_id and object_id; needs the sides' type ids. ``types`` has item_id, canonical_label.
+
+    ``pairs`` (name, type_id), if they are known, hold all of ``df``'s and each once.
+    """
+    if pairs is None:
+        ends = F.array(*[F.struct(F.col(side).alias("name"), F.col(f"{side}_type_id").alias("type_id")) for side in ("subject", "object")])
+        pairs = df.select(F.explode(ends).alias("e")).select("e.name", "e.type_id").filter("type_id is not null").distinct()
     labels = types.select(F.col("item_id").alias("type_id"), F.col("canonical_label").alias("_label"))
-    pairs = pairs.join(labels, "type_id").select("name", "type_id", compound(F.col("name"), F.col("_label")).alias("label"))
+    # The pairs, and what they resolve to, are far fewer than the triplets and read twice each.
+    pairs = cut(pairs.join(labels, "type_id").select("name", "type_id", compound(F.col("name"), F.col("_label")).alias("label")))
     found = named(pairs, to_id, "_id", raw_first=True, normalizer=normalize_compound)
-    found = pairs.join(found, "label").select("name", "type_id", "_id")
+    found = cut(pairs.join(found, "label").select("name", "type_id", "_id"))
     out = df
     for side in ("subject", "object"):
         out = out.join(found.withColumnsRenamed({"name": side, "type_id": f"{side}_type_id", "_id": f"{side}_id"}), [side, f"{side}_type_id"], "left")
@@ -73,14 +78,26 @@ def reject_reason() -> Column:
     return reason
 
 
-def resolve_all(triplets: DataFrame, types_to_id: DataFrame, relations_to_id: DataFrame, types: DataFrame, entities_to_id: DataFrame) -> DataFrame:
+def resolve_all(
+    triplets: DataFrame, types_to_id: DataFrame, relations_to_id: DataFrame, types: DataFrame, entities_to_id: DataFrame, labels: DataFrame | None = None, mentions: DataFrame | None = None
+) -> DataFrame:
     """All ids of complete triplets and the reason of a reject (null if resolved).
 
-    Types and relations are few and are joined first; what carries them is
-    written once, as the entities of both sides are read from it.
+    Combinations of relation and types are few, and so are names beside their
+    mentions; they are resolved once each and joined to the triplets.
+    ``labels`` (relation, subject_type, object_type) and ``mentions`` (name,
+    type_label), cleaned and distinct, save a reading of the triplets each.
     """
-    df = cut(resolve_relation(resolve_types(complete(triplets), types_to_id), relations_to_id))
-    return resolve_entities(df, types, entities_to_id).withColumn("reason", reject_reason())
+    raw = ["relation", "subject_type", "object_type"]
+    filled = complete(triplets)
+    asked = cut((filled if labels is None else labels).select(*raw).distinct())
+    known = cut(resolve_relation(resolve_types(asked, types_to_id), relations_to_id))
+    df = filled.join(known, raw).select(*filled.columns, "subject_type_id", "object_type_id", "relation_id")
+    pairs = None
+    if mentions is not None:
+        kinds = known.select(F.explode(F.array(*[F.struct(F.col(t).alias("type_label"), F.col(f"{t}_id").alias("type_id")) for t in ("subject_type", "object_type")])).alias("k")).select("k.*")
+        pairs = mentions.join(cut(kinds.filter("type_id is not null").distinct()), "type_label").select("name", "type_id").distinct()
+    return resolve_entities(df, types, entities_to_id, pairs).withColumn("reason", reject_reason())
 
 
 def positional_zip(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -> DataFrame:

@@ -213,13 +213,12 @@ def delete_impact(entity_types: DataFrame, deleted: DataFrame, up: DataFrame) ->
     one); losing some, it is narrowed.
     """
     gone = deleted.select(F.col("node").alias("type_id"), F.lit(True).alias("gone"))
-    marked = entity_types.join(gone, "type_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    state = marked.groupBy("entity_id").agg(F.bool_and("gone").alias("all_gone"), F.bool_or("gone").alias("some_gone")).filter("some_gone")
     stay = up.join(deleted.select(F.col("node").alias("ancestor")), "ancestor", "left_anti")
-    near = marked.join(stay.withColumnRenamed("node", "type_id"), "type_id").groupBy("entity_id").agg(F.min_by("ancestor", F.struct("depth", "ancestor")).alias("near"))
-    return state.join(near, "entity_id", "left").select(
-        "entity_id", F.when(F.col("all_gone"), "reassigned").otherwise("narrowed").alias("effect"), F.when(F.col("all_gone"), F.col("near")).alias("new_type")
-    )
+    # What stays nearest is settled for each type, so entities are gathered once.
+    near = stay.groupBy(F.col("node").alias("type_id")).agg(F.min(F.struct("depth", "ancestor")).alias("near"))
+    marked = entity_types.join(gone, "type_id", "left").join(near, "type_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    state = marked.groupBy("entity_id").agg(F.bool_and("gone").alias("all_gone"), F.bool_or("gone").alias("some_gone"), F.min("near").alias("near")).filter("some_gone")
+    return state.select("entity_id", F.when(F.col("all_gone"), "reassigned").otherwise("narrowed").alias("effect"), F.when(F.col("all_gone"), F.col("near.ancestor")).alias("new_type"))
 
 
 def affected_types(up: DataFrame, edges: DataFrame, moved: str, destination: str | None) -> DataFrame:

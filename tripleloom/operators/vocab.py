@@ -15,37 +15,70 @@ def _qualifiers(triplets: DataFrame) -> DataFrame:
     return triplets.withColumn("q", F.explode("qualifiers")).filter("q is not null")
 
 
+def patterns(triplets: DataFrame) -> DataFrame:
+    """Triplets without names, each combination of labels once: relation, both types, qualifiers (relation and
+    object type), ``whole`` (subject and object are there) and n, how many triplets have it.
+
+    What follows from labels alone (types, relations, roles) needs no other reading of the triplets.
+    """
+    labels = F.transform("qualifiers", lambda q: F.when(q.isNotNull(), F.struct(q["relation"].alias("relation"), q["object_type"].alias("object_type"))))
+    whole = (clean(F.col("subject")) != "") & (clean(F.col("object")) != "")
+    return triplets.groupBy("relation", "subject_type", "object_type", labels.alias("qualifiers"), whole.alias("whole")).agg(F.count("*").alias("n"))
+
+
+def _times(rows: DataFrame) -> list[str]:
+    """The column n, if the rows stand for several each."""
+    return ["n"] if "n" in rows.columns else []
+
+
 def type_surfaces(triplets: DataFrame) -> DataFrame:
-    """Every type mention (column surface), duplicates kept, empties dropped."""
-    main = triplets.select(F.explode(F.array("subject_type", "object_type")).alias("surface"))
-    return main.unionAll(_qualifiers(triplets).select("q.object_type")).select(clean(F.col("surface")).alias("surface")).filter("surface <> ''")
+    """Every type mention (column surface), duplicates kept, empties dropped; of ``patterns`` with their n."""
+    n = _times(triplets)
+    main = triplets.select(F.explode(F.array("subject_type", "object_type")).alias("surface"), *n)
+    return main.unionAll(_qualifiers(triplets).select("q.object_type", *n)).select(clean(F.col("surface")).alias("surface"), *n).filter("surface <> ''")
 
 
 def relation_surfaces(triplets: DataFrame) -> DataFrame:
-    """Every relation mention, qualifiers' included."""
-    return triplets.select("relation").unionAll(_qualifiers(triplets).select("q.relation")).select(clean(F.col("relation")).alias("surface")).filter("surface <> ''")
+    """Every relation mention, qualifiers' included; of ``patterns`` with their n."""
+    n = _times(triplets)
+    return triplets.select("relation", *n).unionAll(_qualifiers(triplets).select("q.relation", *n)).select(clean(F.col("relation")).alias("surface"), *n).filter("surface <> ''")
+
+
+def _named(triplets: DataFrame) -> DataFrame:
+    """(name, type_label) of every end and qualifier as they stand, from one reading of the triplets."""
+    slots = F.array(*[F.struct(F.col(end).alias("name"), F.col(f"{end}_type").alias("type_label")) for end in ("subject", "object")])
+    extra = F.arrays_zip(F.coalesce("qualifiers.object", F.array().cast("array<string>")), F.coalesce("qualifiers.object_type", F.array().cast("array<string>")))
+    pair = "array<struct<name:string,type_label:string>>"
+    return triplets.select(F.explode(F.concat(slots.cast(pair), extra.cast(pair))).alias("m")).select("m.*")
 
 
 def entity_mentions(triplets: DataFrame) -> DataFrame:
     """(name, type_label) of every entity mention with both fields."""
-    slots = F.array(F.struct(F.col("subject").alias("n"), F.col("subject_type").alias("t")), F.struct(F.col("object").alias("n"), F.col("object_type").alias("t")))
-    main = triplets.select(F.explode(slots).alias("m")).select("m.n", "m.t")
-    every = main.unionAll(_qualifiers(triplets).select("q.object", "q.object_type"))
-    return every.select(clean(F.col("n")).alias("name"), clean(F.col("t")).alias("type_label")).filter("name <> '' and type_label <> ''")
+    every = _named(triplets)
+    return every.select(clean(F.col("name")).alias("name"), clean(F.col("type_label")).alias("type_label")).filter("name <> '' and type_label <> ''")
+
 
+def distinct_mentions(triplets: DataFrame) -> DataFrame:
+    """``entity_mentions``, each once with its number n, written. They are counted as they stand and then cleaned."""
+    raw = _named(triplets).groupBy("name", "type_label").agg(F.count("*").alias("n"))
+    found = raw.select(clean(F.col("name")).alias("name"), clean(F.col("type_label")).alias("type_label"), "n").filter("length(name) * n > 0 and length(type_label) * n > 0")
+    return cut(found.groupBy("name", "type_label").agg(F.sum("n").alias("n")))
 
-def entity_surfaces(triplets: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def entity_surfaces(triplets: DataFrame, types: DataFrame, mentions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(surface, normalized, type_id) of mentions whose type is in ``types`` (surface, item_id, canonical_label),
-    and a one-row table with the number of those skipped."""
-    mentions = entity_mentions(triplets)
+    and a one-row table with the number of those skipped. With ``distinct_mentions`` surfaces have their n."""
+    mentions = entity_mentions(triplets) if mentions is None else mentions
+    n = _times(mentions)
     # The type labels are few; each is normalised and looked up once.
     known = mentions.select("type_label").distinct().withColumn("t", normalize_label(F.col("type_label"))).join(
         types.select(F.col("surface").alias("t"), "item_id", "canonical_label"), "t"
     )
     found = mentions.join(cut(known.drop("t")), "type_label", "left")
-    skipped = found.agg(F.count_if(F.col("item_id").isNull()).alias("skipped"))
+    unknown = F.col("item_id").isNull()
+    skipped = found.agg((F.coalesce(F.sum(F.when(unknown, F.col("n"))), F.lit(0)) if n else F.count_if(unknown)).alias("skipped"))
     label = compound(F.col("name"), F.col("canonical_label"))
-    kept = found.filter("item_id is not null").select(label.alias("surface"), F.col("item_id").alias("type_id"))
+    kept = found.filter("item_id is not null").select(label.alias("surface"), F.col("item_id").alias("type_id"), *n)
     return kept.withColumn("normalized", normalize_compound(F.col("surface"))), skipped
 
 
@@ -57,11 +90,15 @@ def relation_role_types(triplets: DataFrame) -> DataFrame:
     return every.filter("relation <> '' and type <> ''").distinct()
 
 
+def _normalized(surfaces: DataFrame, normalizer) -> DataFrame:
+    counted = surfaces.groupBy("surface").agg((F.sum("n") if _times(surfaces) else F.count("*")).alias("n"))
+    return counted.select(normalizer(F.col("surface")).alias("normalized"), "surface", "n")
+
+
 def normalize_and_count(surfaces: DataFrame, normalizer=normalize_label) -> DataFrame:
-    """normalized, surface, n: raw forms under their normal form, counted with map-side combining."""
-    counted = surfaces.groupBy("surface").agg(F.count("*").alias("n")).select(normalizer(F.col("surface")).alias("normalized"), "surface", "n")
+    """normalized, surface, n: raw forms under their normal form, counted with map-side combining (surfaces may have an n)."""
     # Empty normal forms are dropped by a test that needs n, so that Spark can't move the normaliser below the count.
-    return counted.filter("length(normalized) * n > 0")
+    return _normalized(surfaces, normalizer).filter("length(normalized) * n > 0")
 
 
 def normalized_counts(counted: DataFrame) -> DataFrame:
@@ -97,8 +134,9 @@ def assemble(counted: DataFrame, groups: DataFrame, kind: str, prefix: str, widt
     mentions. A surface claimed by several groups goes to the last one.
     """
     members = groups.join(counted, groups.member == counted.normalized, "left")
-    raw = members.filter("surface is not null").select("group", "canonical_label", "surface", "n")
-    form = raw.unionAll(members.select("group", "canonical_label", F.col("member").alias("surface"), F.lit(0).cast("long").alias("n")))
+    # A member is a form of its own; the join is read once for both.
+    both = F.array(F.struct("surface", "n"), F.struct(F.col("member").alias("surface"), F.lit(0).cast("long").alias("n")))
+    form = members.select("group", "canonical_label", F.explode(both).alias("x")).select("group", "canonical_label", "x.*").filter("surface is not null")
     form = form.groupBy("group", "canonical_label", "surface").agg(F.sum("n").alias("n"))
     items = form.groupBy("group", "canonical_label").agg(
         F.sum("n").alias("count_per_normalized"), F.array_sort(F.collect_list("surface")).alias("surface_forms"),
@@ -113,7 +151,8 @@ def assemble(counted: DataFrame, groups: DataFrame, kind: str, prefix: str, widt
 
 def vocabulary(surfaces: DataFrame, kind: str, prefix: str, width: int, normalizer=normalize_label) -> tuple[DataFrame, DataFrame]:
     """Items and surface_to_id where nothing but equal normal forms is merged."""
-    counted = normalize_and_count(surfaces, normalizer)
+    # Written before the empty ones are dropped, as the test would normalise each form once more.
+    counted = cut(_normalized(surfaces, normalizer)).filter("normalized <> ''")
     return assemble(counted, own_groups(counted), kind, prefix, width)
 
 

@@ -56,10 +56,21 @@ def typed(spark, sf, t=None) -> DataFrame:
     return found.select("kind", "ord", "sample_id", "subject", "object", "qualifiers", "relation_id", c("relation").alias("surface"), "subject_type_id", "object_type_id")
 
 
-def counted(spark, sf, t=None) -> DataFrame:
+def patterns(spark, sf, t=None) -> DataFrame:
+    """The combinations of labels with their number of triplets, from one reading of them, written."""
+    return cut(vocab.patterns(triplets(spark, sf) if t is None else t))
+
+
+def complete_patterns(p) -> DataFrame:
+    """relation, subject_type, object_type and n of the patterns whose triplets have all five fields, cleaned."""
+    fields = ["relation", "subject_type", "object_type"]
+    full = p.filter("whole").select(*[T.clean(c(f)).alias(f) for f in fields], "n").filter(" and ".join(f"{f} <> ''" for f in fields))
+    return full.groupBy(*fields).agg(F.sum("n").alias("n"))
+
+
+def counted(spark, sf, p=None) -> DataFrame:
     """How many triplets (n) there are of each relation, surface and types, written once."""
-    t = resolve.complete(triplets(spark, sf) if t is None else t)
-    raw = t.groupBy("relation", "subject_type", "object_type").agg(F.count("*").alias("n"))
+    raw = complete_patterns(patterns(spark, sf) if p is None else p)
     ids = raw.select(label_norm(c("relation")).alias("relation_id"), c("relation").alias("surface"), label_norm(c("subject_type")).alias("subject_type_id"), label_norm(c("object_type")).alias("object_type_id"), "n")
     return cut(ids.groupBy("relation_id", "surface", "subject_type_id", "object_type_id").agg(F.sum("n").alias("n")))
 
@@ -73,9 +84,9 @@ def up(spark, sf, n=None) -> DataFrame:
     return tree.closure(forest_edges(spark), cut(nodes(spark, sf, n)))
 
 
-def counted_up(spark, sf) -> tuple[DataFrame, DataFrame]:
+def counted_up(spark, sf, p=None) -> tuple[DataFrame, DataFrame]:
     """Counts by relation and types, and the closure over their types, from one reading of the triplets."""
-    n = counted(spark, sf)
+    n = counted(spark, sf, p)
     return n, up(spark, sf, n)
 
 
@@ -84,13 +95,13 @@ def all_nodes(spark, sf, n=None) -> DataFrame:
     return cut(nodes(spark, sf, n).union(e.select("child")).union(e.select("parent")).distinct())
 
 
-def roles(spark, sf) -> DataFrame:
-    r = vocab.relation_role_types(triplets(spark, sf))
+def roles(spark, sf, p=None) -> DataFrame:
+    r = vocab.relation_role_types(patterns(spark, sf) if p is None else p)
     return cut(r.select(label_norm(c("relation")).alias("relation"), "role", label_norm(c("type")).alias("type")).distinct())
 
 
-def ppmi(spark, sf) -> DataFrame:
-    return cut(profiles.weigh(cut(profiles.relation_counts(roles(spark, sf)))))
+def ppmi(spark, sf, p=None) -> DataFrame:
+    return cut(profiles.weigh(cut(profiles.relation_counts(roles(spark, sf, p)))))
 
 
 def kept(vocabulary: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -98,27 +109,29 @@ def kept(vocabulary: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]
     return tuple(cut(part) for part in vocabulary)
 
 
-def types(spark, sf, t=None):
-    return kept(vocab.vocabulary(vocab.type_surfaces(triplets(spark, sf) if t is None else t), "type", "type", 4))
+def types(spark, sf, p=None):
+    return kept(vocab.vocabulary(vocab.type_surfaces(patterns(spark, sf) if p is None else p), "type", "type", 4))
 
 
-def relations(spark, sf, t=None):
-    return kept(vocab.vocabulary(vocab.relation_surfaces(triplets(spark, sf) if t is None else t), "relation", "rel", 5))
+def relations(spark, sf, p=None):
+    return kept(vocab.vocabulary(vocab.relation_surfaces(patterns(spark, sf) if p is None else p), "relation", "rel", 5))
 
 
-def entities(spark, sf, t=None):
-    t = base(spark, sf) if t is None else t
-    items, to_id = types(spark, sf, t)
+def vocabularies(spark, sf, t):
+    """Types, their ids, ids of relations and of entities, and the labels and mentions they come from: one reading of the triplets for each."""
+    p, mentions = patterns(spark, sf, t), vocab.distinct_mentions(t)
+    items, to_id = types(spark, sf, p)
     labelled = to_id.join(items.select("item_id", "canonical_label"), "item_id")
-    surfaces, _ = vocab.entity_surfaces(t, labelled)
-    return kept(vocab.vocabulary(surfaces.select("surface"), "entity", "ent", 5, T.normalize_compound)), (items, to_id)
+    surfaces, _ = vocab.entity_surfaces(t, labelled, mentions)
+    # Entities are only looked up here, so their items are not assembled.
+    _, entity_ids = vocab.vocabulary(surfaces.select("surface", "n"), "entity", "ent", 5, T.normalize_compound)
+    return items, to_id, relations(spark, sf, p)[1], cut(entity_ids), complete_patterns(p), mentions
 
 
 def resolved(spark, sf) -> DataFrame:
     t = base(spark, sf)
-    (_, entity_ids), (type_items, type_ids) = entities(spark, sf, t)
-    _, relation_ids = relations(spark, sf, t)
-    return resolve.resolve_all(t, type_ids, relation_ids, type_items, entity_ids)
+    type_items, type_ids, relation_ids, entity_ids, labels, mentions = vocabularies(spark, sf, t)
+    return resolve.resolve_all(t, type_ids, relation_ids, type_items, entity_ids, labels, mentions)
 
 
 def edges(spark, sf) -> DataFrame:
@@ -306,11 +319,12 @@ ENT_SQL = f"ment AS (SELECT subject AS name, subject_type AS t FROM trip UNION A
 
 @query("a4_entity_surfaces", sql(f"SELECT type, count(*) AS n, count(DISTINCT surface) AS surfaces FROM esurf GROUP BY type", "qual", more=ENT_SQL))
 def a4(spark, sf):
-    items, to_id = types(spark, sf)
+    t = triplets(spark, sf)
+    items, to_id = types(spark, sf, patterns(spark, sf, t))
     labelled = to_id.join(items.select("item_id", "canonical_label"), "item_id")
-    s, _ = vocab.entity_surfaces(triplets(spark, sf), labelled)
-    named = s.join(items.select(c("item_id").alias("type_id"), c("canonical_label").alias("type")), "type_id")
-    return named.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("surface").alias("surfaces"))
+    s, _ = vocab.entity_surfaces(t, labelled, vocab.distinct_mentions(t))
+    named = s.groupBy("type_id", "surface").agg(F.sum("n").alias("n")).groupBy("type_id").agg(F.sum("n").alias("n"), F.count("*").alias("surfaces"))
+    return named.join(items.select(c("item_id").alias("type_id"), c("canonical_label").alias("type")), "type_id").select("type", "n", "surfaces")
 
 
 @query("a5_relation_role_types", sql("SELECT relation, role, string_agg(type, '|' ORDER BY type) AS types FROM roles GROUP BY relation, role", "roles"))
@@ -359,8 +373,8 @@ def a10(spark, sf):
 
 @query("r4_bridge_relation_types", sql("SELECT v.item_id AS relation_id, role, string_agg(t.item_id, '|' ORDER BY t.item_id) AS type_ids FROM roles JOIN rvoc v ON v.label = relation JOIN tvoc t ON t.label = type GROUP BY ALL", "roles", "rvoc", "tvoc"))
 def r4(spark, sf):
-    raw = vocab.relation_role_types(triplets(spark, sf))
-    found = vocab.bridge_relation_types(raw, relations(spark, sf)[1], types(spark, sf)[1])
+    p = patterns(spark, sf)
+    found = vocab.bridge_relation_types(vocab.relation_role_types(p), relations(spark, sf, p)[1], types(spark, sf, p)[1])
     return found.select("relation_id", "role", F.array_join("type_ids", "|").alias("type_ids"))
 
 
@@ -369,14 +383,16 @@ def r4(spark, sf):
 
 @query("j1_resolve_relation", sql("SELECT item_id AS relation_id, count(*) AS n FROM typed JOIN rvoc ON relation_id = label GROUP BY 1", "typed", "rvoc"))
 def j1(spark, sf):
-    n = cut(triplets(spark, sf).groupBy("relation").agg(F.count("*").alias("n")))
-    return resolve.resolve_relation(n, relations(spark, sf)[1]).filter("relation_id is not null").groupBy("relation_id").agg(F.sum("n").alias("n"))
+    p = patterns(spark, sf)
+    n = cut(p.groupBy("relation").agg(F.sum("n").alias("n")))
+    return resolve.resolve_relation(n, relations(spark, sf, p)[1]).filter("relation_id is not null").groupBy("relation_id").agg(F.sum("n").alias("n"))
 
 
 @query("j2_resolve_types", sql("SELECT a.item_id AS subject_type_id, b.item_id AS object_type_id, count(*) AS n FROM typed JOIN tvoc a ON st = a.label JOIN tvoc b ON ot = b.label GROUP BY ALL", "typed", "tvoc"))
 def j2(spark, sf):
-    n = cut(triplets(spark, sf).groupBy("subject_type", "object_type").agg(F.count("*").alias("n")))
-    return resolve.resolve_types(n, types(spark, sf)[1]).groupBy("subject_type_id", "object_type_id").agg(F.sum("n").alias("n"))
+    p = patterns(spark, sf)
+    n = cut(p.groupBy("subject_type", "object_type").agg(F.sum("n").alias("n")))
+    return resolve.resolve_types(n, types(spark, sf, p)[1]).groupBy("subject_type_id", "object_type_id").agg(F.sum("n").alias("n"))
 
 
 EVOC_SQL = ENT_SQL + f", evoc AS (SELECT label, 'ent_' || lpad(CAST(row_number() OVER (ORDER BY label) - 1 AS VARCHAR), 5, '0') AS item_id FROM (SELECT DISTINCT {norm('surface')} AS label FROM esurf))"
@@ -390,12 +406,11 @@ def j3(spark, sf):
 def partial(spark, sf):
     """Resolution against vocabularies that lack some entries, so every reject reason occurs."""
     t = base(spark, sf)
-    (_, entity_ids), (type_items, type_ids) = entities(spark, sf, t)
-    _, relation_ids = relations(spark, sf, t)
+    type_items, type_ids, relation_ids, entity_ids, labels, mentions = vocabularies(spark, sf, t)
     type_ids = type_ids.filter("lower(surface) not in ('furniture', 'region')")
     relation_ids = relation_ids.filter("surface <> 'based in'")
     entity_ids = entity_ids.filter("lower(surface) not like '%7 [%'")
-    return resolve.resolve_all(t, type_ids, relation_ids, type_items, entity_ids)
+    return resolve.resolve_all(t, type_ids, relation_ids, type_items, entity_ids, labels, mentions)
 
 
 REASON_SQL = f"rej AS (SELECT *, CASE WHEN st IN ('furniture', 'region') THEN 'subject_type' WHEN ot IN ('furniture', 'region') THEN 'object_type' WHEN relation_id = 'based in' THEN 'relation' WHEN {norm('subject')} LIKE '%7' THEN 'subject_entity' WHEN {norm('object')} LIKE '%7' THEN 'object_entity' END AS reason FROM typed)"
@@ -409,9 +424,9 @@ def j4(spark, sf):
 @query("j5_resolve_for_constraints", sql("SELECT relation_id, st, ot, count(*) AS n FROM typed GROUP BY ALL", "typed"))
 def j5(spark, sf):
     """Relation and both types resolved by their vocabularies, named by canonical labels; counted by label before the joins."""
-    t = base(spark, sf)
-    n = cut(resolve.complete(t).groupBy("relation", "subject_type", "object_type").agg(F.count("*").alias("n")))
-    (type_items, type_ids), (relation_items, relation_ids) = types(spark, sf, t), relations(spark, sf, t)
+    p = patterns(spark, sf)
+    n = cut(complete_patterns(p))
+    (type_items, type_ids), (relation_items, relation_ids) = types(spark, sf, p), relations(spark, sf, p)
     found = resolve.resolve_relation(resolve.resolve_types(n, type_ids), relation_ids).filter("relation_id is not null and subject_type_id is not null and object_type_id is not null")
     for side, items, out in (("relation_id", relation_items, "r"), ("subject_type_id", type_items, "st"), ("object_type_id", type_items, "ot")):
         found = found.join(items.select(c("item_id").alias(side), c("canonical_label").alias(out)), side)
@@ -542,8 +557,9 @@ def p6(spark, sf):
 
 @query("p7_profile_roll_up", sql("SELECT coalesce(f.parent, t.node) AS type_id, relation, round(sum(weight), 6) AS weight FROM tnodes t LEFT JOIN forest f ON f.child = t.node JOIN ppmi ON type = t.node GROUP BY ALL UNION ALL SELECT m.type_id, NULL, NULL FROM (SELECT DISTINCT coalesce(f.parent, t.node) AS type_id FROM tnodes t LEFT JOIN forest f ON f.child = t.node) m WHERE NOT EXISTS (SELECT 1 FROM tnodes t LEFT JOIN forest f ON f.child = t.node JOIN ppmi ON type = t.node WHERE coalesce(f.parent, t.node) = m.type_id)", "tnodes", "ppmi"))
 def p7(spark, sf):
-    members = tree.parent_key(all_nodes(spark, sf), forest_edges(spark)).select(c("key").alias("type_id"), c("node").alias("label"))
-    return profiles.roll_up(ppmi(spark, sf), members).select("type_id", "relation", F.round("weight", 6).alias("weight"))
+    p = patterns(spark, sf)
+    members = tree.parent_key(all_nodes(spark, sf, counted(spark, sf, p)), forest_edges(spark)).select(c("key").alias("type_id"), c("node").alias("label"))
+    return profiles.roll_up(ppmi(spark, sf, p), members).select("type_id", "relation", F.round("weight", 6).alias("weight"))
 
 
 @query("p8_profile_merge", sql("SELECT type, relation, round(sum(weight), 6) AS weight FROM (SELECT * FROM ppmi UNION ALL SELECT * FROM counts) GROUP BY type, relation", "ppmi"))
@@ -612,10 +628,15 @@ def m2(spark, sf):
 # ---------------------------------------------------------------- trees
 
 
-def members(t: DataFrame) -> DataFrame:
-    """(entity_id, type_id) of both ends of typed triplets."""
-    ends = F.array(*[F.struct(c(e).alias("entity_id"), c(f"{e}_type_id").alias("type_id")) for e in ("subject", "object")])
-    return t.select(F.explode(ends).alias("e")).select("e.*")
+def members_of(spark, sf, sides=("subject", "object")) -> DataFrame:
+    """(entity_id, type_id) of the sides of complete triplets, each once, written.
+
+    Names are made distinct under their raw types before anything is joined; a type's label is normalised once.
+    """
+    ends = F.array(*[F.struct(c(e).alias("entity_id"), c(f"{e}_type").alias("type")) for e in sides])
+    raw = cut(resolve.complete(triplets(spark, sf)).select(F.explode(ends).alias("e")).select("e.*").distinct())
+    ids = cut(raw.select("type").distinct().select("type", label_norm(c("type")).alias("type_id")))
+    return cut(raw.join(ids, "type").select("entity_id", "type_id").distinct())
 
 
 @query("h1_support_split", sql("SELECT node, n, n < 1000 AS deferred FROM (SELECT st AS node, count(*) AS n FROM typed GROUP BY st)", "typed"))
@@ -626,7 +647,7 @@ def h1(spark, sf):
 
 @query("h2_type_examples", sql("SELECT type_id, name, CAST(rank AS BIGINT) AS rank FROM (SELECT type_id, name, row_number() OVER (PARTITION BY type_id ORDER BY length(name), name) AS rank FROM (SELECT DISTINCT st AS type_id, trim(subject) AS name FROM typed UNION SELECT DISTINCT ot, trim(object) FROM typed)) WHERE rank <= 5", "typed"))
 def h2(spark, sf):
-    m = members(typed(spark, sf)).select("type_id", c("entity_id").alias("name"))
+    m = members_of(spark, sf).select("type_id", c("entity_id").alias("name"))
     return tree.examples(m, 5).select("type_id", "name", c("rank").cast("long").alias("rank"))
 
 
@@ -719,7 +740,7 @@ def h21(spark, sf):
 def n1(spark, sf):
     from ..operators.entities import partitions
 
-    e = members(typed(spark, sf)).select("type_id", c("entity_id").alias("name")).distinct()
+    e = members_of(spark, sf).select("type_id", c("entity_id").alias("name"))
     return partitions(e, all_nodes(spark, sf), forest_edges(spark)).groupBy("tag", "key").agg(F.count("*").alias("n"))
 
 
@@ -739,9 +760,7 @@ CLS_SQL = "em AS (SELECT DISTINCT subject AS e, st AS node FROM typed UNION SELE
 def n6(spark, sf):
     from ..operators.entities import assign_classes
 
-    b = base(spark, sf)
-    m = cut(members(typed(spark, sf, b)).distinct())
-    return assign_classes(m, up(spark, sf, counted(spark, sf, b))).select("entity_id", F.array_join("type_ids", "|").alias("type_ids"), "primary_type_id")
+    return assign_classes(members_of(spark, sf), up(spark, sf)).select("entity_id", F.array_join("type_ids", "|").alias("type_ids"), "primary_type_id")
 
 
 def one_relation(spark, sf):
@@ -867,10 +886,11 @@ SELECT 'types' AS section, unnest(['num_raw', 'num_canonical', 'never_merged_sha
   FROM (SELECT (SELECT count(DISTINCT surface) FROM tsurf WHERE surface <> '') AS raw, count(*) AS own, count(*) FILTER (forms = 1) AS alone FROM (SELECT t.label, count(DISTINCT x.surface) + CAST(bool_and(x.surface <> t.label) AS INT) AS forms FROM tvoc t JOIN tsurf x ON """ + norm("x.surface") + """ = t.label WHERE x.surface <> '' GROUP BY t.label))
 UNION ALL SELECT 'constraints', unnest(['num_constraints', 'hard_with_support_under_3']), unnest([CAST(count(*) AS DOUBLE), CAST(count(*) FILTER (strength = 'hard' AND support < 3) AS DOUBLE)]) FROM tiered WHERE strength <> 'below_hint')""", "tvoc", "support"))
 def m3_sections(spark, sf):
-    items, _ = types(spark, sf)
-    surfaces = vocab.type_surfaces(triplets(spark, sf))
+    p = patterns(spark, sf)
+    items, _ = types(spark, sf, p)
+    surfaces = vocab.type_surfaces(p)
     n_raw = surfaces.filter("surface <> ''").agg(F.count_distinct("surface").alias("num_raw"))
-    k = constraints.induce(*counted_up(spark, sf))
+    k = constraints.induce(*counted_up(spark, sf, p))
     tiers = k.agg(F.count("*").alias("num_constraints"), F.count_if((c("strength") == "hard") & (c("support") < 3)).alias("hard_with_support_under_3"))
     return evaluate.metric_rows({"types": evaluate.vocabulary_section(items, n_raw).drop("reduction_pct"), "hierarchy": None, "constraints": tiers})
 
@@ -944,7 +964,7 @@ SURV_SQL = "inst AS (SELECT DISTINCT subject AS item, st AS class FROM typed)"
 
 @query("w1_root_candidates", sql("SELECT f.child AS node, least(count(DISTINCT g.child), 3) AS subclasses, least((SELECT count(*) FROM inst WHERE class = f.child), 3) AS instances FROM forest f JOIN forest g ON g.parent = f.child WHERE f.parent = 'business' GROUP BY f.child", "typed", "forest", more=SURV_SQL))
 def w1(spark, sf):
-    inst = typed(spark, sf).select(c("subject").alias("item"), c("subject_type_id").alias("class")).distinct()
+    inst = members_of(spark, sf, ["subject"]).select(c("entity_id").alias("item"), c("type_id").alias("class"))
     return survey.root_candidates(forest_edges(spark), inst, "business", 3).select("node", c("subclasses").cast("long").alias("subclasses"), c("instances").cast("long").alias("instances"))
 
 
@@ -1126,12 +1146,8 @@ IMP_SQL = "et AS (SELECT DISTINCT subject AS entity_id, st AS type_id FROM typed
 
 @query("b3_delete_impact", sql("SELECT entity_id, CASE WHEN all_gone THEN 'reassigned' ELSE 'narrowed' END AS effect, CASE WHEN all_gone THEN 'business' END AS new_type FROM eff WHERE some_gone", "up", more=IMP_SQL))
 def b3(spark, sf):
-    return delete_impact(spark, sf, typed(spark, sf))
-
-
-def delete_impact(spark, sf, t):
     u = up(spark, sf)
-    e = t.select(c("subject").alias("entity_id"), c("subject_type_id").alias("type_id")).distinct()
+    e = members_of(spark, sf, ["subject"])
     return tree.delete_impact(e, tree.subtree(u, "industrial"), u)
 
 
@@ -1145,13 +1161,10 @@ NEWF_SQL = "et AS (SELECT DISTINCT subject AS e, st AS t FROM typed), sz AS (SEL
 
 @query("b5_new_merge_pairs", sql("SELECT type_a, type_b, a.n * b.n AS pairs FROM fresh JOIN sz a ON a.t = type_a JOIN sz b ON b.t = type_b", "typed", "forest", more=NEWF_SQL))
 def b5(spark, sf):
-    return new_merge_pairs(spark, sf, typed(spark, sf))
-
-
-def new_merge_pairs(spark, sf, t):
-    old, u, every = forest_edges(spark), up(spark, sf), all_nodes(spark, sf)
+    n = counted(spark, sf)
+    old, u, every = forest_edges(spark), up(spark, sf, n), all_nodes(spark, sf, n)
     new, _ = tree.sandbox_reparent(old, u, "supplier", "consumer")
-    e = t.select(c("subject").alias("entity_id"), c("subject_type_id").alias("type_id")).distinct()
+    e = members_of(spark, sf, ["subject"])
     touched = tree.affected_types(u, old, "supplier", "consumer")
     return tree.new_merge_pairs(e, tree.parent_key(every, old), tree.parent_key(every, new), touched)
 
@@ -1165,7 +1178,7 @@ def b3_stale(spark, sf):
 @query("b8_carry_deletions", sql("SELECT entity_id, type_id FROM et WHERE type_id NOT IN (SELECT node FROM gone) UNION ALL SELECT entity_id, 'business' FROM eff WHERE all_gone", "up", more=IMP_SQL))
 def b8(spark, sf):
     u = up(spark, sf)
-    e = typed(spark, sf).select(c("subject").alias("entity_id"), c("subject_type_id").alias("type_id")).distinct()
+    e = members_of(spark, sf, ["subject"])
     return sandbox.carry_deletions(e, tree.subtree(u, "industrial"), u)
 
 

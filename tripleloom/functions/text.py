@@ -33,7 +33,13 @@ def unicode_label(labels: pd.Series) -> pd.Series:
 
 def collapse(label: Column) -> Column:
     """Lower case, white space runs to one space, trimmed; null becomes empty."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), r"\s+", " "))
+    # Single spaces, by far the most of all, are left alone.
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), r"[\t-\r]\s*| \s+", " "))
+
+
+def beyond_ascii(label: Column) -> Column:
+    """Whether ``normalize_label`` is more than ``collapse`` for a label."""
+    return label.rlike(_BEYOND_ASCII)
 
 
 def normalize_label(label: Column, unicode: bool = True) -> Column:

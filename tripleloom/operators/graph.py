@@ -15,7 +15,7 @@ def fold_qualifiers(label: Column, qualifiers: Column) -> Column:
     """"label (q: v; q: v)" over qualifiers with both fields; null where there is none."""
     usable = F.filter(F.coalesce(qualifiers, F.array()), lambda q: (clean(q["relation"]) != "") & (clean(q["object"]) != ""))
     parts = F.transform(usable, lambda q: F.concat(clean(q["relation"]), F.lit(": "), clean(q["object"])))
-    return F.when(F.size(usable) > 0, F.concat(label, F.lit(" ("), F.array_join(parts, "; "), F.lit(")")))
+    return F.concat(label, F.lit(" ("), F.nullif(F.array_join(parts, "; "), F.lit("")), F.lit(")"))
 
 
 def fold_qualifiers_with(triplets: DataFrame, relations: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,8 +34,8 @@ def build(resolved: DataFrame, use_qualifiers: bool = False) -> tuple[DataFrame,
     """
     plain = resolved.select("s", "r", "o")
     if use_qualifiers:
-        rich = resolved.select("s", fold_qualifiers(F.col("r"), F.col("qualifiers")).alias("r"), "o").filter("r is not null")
-        plain = plain.unionAll(rich)
+        both = F.array("r", fold_qualifiers(F.col("r"), F.col("qualifiers")))
+        plain = resolved.select("s", F.explode(F.filter(both, lambda r: r.isNotNull())).alias("r"), "o")
     relations = plain.distinct()
     entities = relations.select(F.explode(F.array("s", "o")).alias("entity")).distinct()
     return entities, relations.select("r").distinct(), relations
@@ -71,9 +71,15 @@ def sample_entities(resolved: DataFrame) -> DataFrame:
     return rows.groupBy("sample_id", F.col("e.entity").alias("entity")).agg(last.alias("b")).select("sample_id", "entity", "b.name", "b.type")
 
 
+def _both_ways(edges: DataFrame, *keys: str) -> DataFrame:
+    """(keys, node, other) of every edge in both directions, from one reading."""
+    ways = F.array(*[F.struct(F.col(a).alias("node"), F.col(b).alias("other")) for a, b in (("s", "o"), ("o", "s"))])
+    return edges.select(*keys, F.explode(ways).alias("w")).select(*keys, "w.*")
+
+
 def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Edges (sample_id, s, r, o) within ``depth`` undirected steps of seeds (sample_id, node), with the first hop."""
-    both = cut(edges.select("sample_id", F.col("s").alias("node"), F.col("o").alias("other")).union(edges.select("sample_id", "o", "s")).distinct())
+    both = cut(_both_ways(edges, "sample_id").distinct())
     seen = cut(seeds.select("sample_id", "node").distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, depth):
         edge = seen.filter(F.col("hop") == hop - 1)
@@ -90,7 +96,7 @@ def hops(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def metrics(relations: DataFrame) -> DataFrame:
     """One row about a graph (s, r, o): triples, nodes, their ratio, components, the giant's size and share, leaves."""
-    degree = relations.select(F.explode(F.array("s", "o")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    degree = cut(relations.select(F.explode(F.array("s", "o")).alias("node")).groupBy("node").agg(F.count("*").alias("degree")))
     member = components(relations.select(F.col("s").alias("a"), F.col("o").alias("b")), degree)
     sizes = member.groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("giant"))
     nodes = degree.agg(F.count("*").alias("nodes"), F.count_if(F.col("degree") == 1).alias("leaves"))
@@ -110,10 +116,10 @@ def selection_subgraph(nodes: DataFrame, edges: DataFrame, selected: DataFrame,
 
     ``truncated`` says whether the cap has left any out.
     """
-    core = nodes.join(selected, "type_id", "left_semi").select("node", F.lit(True).alias("core"))
-    ends = edges.select(F.col("s").alias("node"), F.col("o").alias("other")).union(edges.select("o", "s"))
+    core = cut(nodes.join(selected, "type_id", "left_semi").select("node", F.lit(True).alias("core")).distinct())
+    ends = _both_ways(edges)
     around = ends.join(core.select("node"), "node", "left_semi").select(F.col("other").alias("node")).distinct().join(core, "node", "left_anti")
-    every = cut(core.distinct().unionAll(around.withColumn("core", F.lit(False))))
+    every = cut(core.unionAll(around.withColumn("core", F.lit(False))))
     return every.orderBy(F.desc("core"), "node").limit(cap).withColumn("truncated", F.lit(every.count() > cap))
 
 

@@ -60,3 +60,67 @@ def test_what_follows_from_labels_reads_the_triplets_once(spark, monkeypatch, na
     monkeypatch.setattr(queries, "cut", once)
     queries.QUERIES[name](spark, SF)
     assert len(read) == 1 and max(written) < 1000
+
+
+class _LinksSome:
+    """Takes the first candidate for names that end in 3; remembers what it was asked."""
+
+    def __init__(self):
+        self.asked = []
+
+    def link(self, name, candidates):
+        self.asked.append((name, tuple(candidates)))
+        return candidates[0] if name.endswith("3") else None
+
+
+def test_a_registry_compares_many_names_at_once_as_one_by_one(monkeypatch):
+    from tripleloom.operators import linking
+    from tripleloom.operators.similarity import hashed_embedding
+
+    names = [f"{'Ab' if i % 3 else 'ab'} {i * 7 % 113}" for i in range(400)]
+    plain, want, known = _LinksSome(), [], {}
+    for name in names:
+        if name.lower() not in known:
+            vec = hashed_embedding([name])[0]
+            scored = sorted((-float(v @ vec), n) for n, v in known.values())
+            close = [n for s, n in scored if -s >= 0.7][:5]
+            same = plain.link(name, close) if close else None
+            if same is not None:
+                want.append(same)
+                continue
+            known[name.lower()] = (name, vec)
+        want.append(known[name.lower()][0])
+    for ahead in (1, 7, 256):
+        monkeypatch.setattr(linking, "AHEAD", ahead)
+        blocks = _LinksSome()
+        registry = linking._Registry(blocks, 0.7, 5, hashed_embedding)
+        assert [e for at in range(0, 400, 90) for e in registry.entities(names[at : at + 90])] == want
+        assert blocks.asked == plain.asked
+
+
+def test_partitions_of_an_essay_are_streams_of_their_own(spark):
+    from tripleloom.operators.adjudicate import DecisionTable
+    from tripleloom.operators.linking import essay_registry
+
+    rows = spark.range(4000).selectExpr("1 as essay", "id as ord", "concat('n', id % 50) as name", "concat('k', id % 8) as key")
+    found = essay_registry(rows, DecisionTable()).withColumn("task", F.spark_partition_id())
+    assert found.count() == 4000 and found.select("task").distinct().count() > 1
+
+
+def test_names_stream_past_their_mentions_without_a_table_of_vectors(spark, monkeypatch):
+    from tripleloom.operators import linking
+    from tripleloom.operators.similarity import hashed_embedding
+
+    index = spark.createDataFrame([(s, f"name {i % 40}", f"name {i % 40}", "t") for s in (1, 2) for i in range(40)], "sample_id long, entity string, name string, type string")
+    asked = spark.createDataFrame([(1, "a", " NAME 7 "), (1, "b", "nam 12"), (2, "a", "other"), (3, "a", "name")], "sample_id long, ord string, mention string")
+    written, real = [], linking.cut
+    monkeypatch.setattr(linking, "cut", lambda df: written.append(df.columns) or real(df))
+    got = {(r.sample_id, r.ord, r["rank"]): (r.entity, r.exact) for r in linking._ranked(index, asked, 3, hashed_embedding).collect()}
+    assert not any("vec" in columns for columns in written)
+    names = [f"name {i}" for i in range(40)]
+    vectors = hashed_embedding(names).astype("float32").astype("float64")
+    for sample, ord_, mention in ((1, "a", "NAME 7"), (1, "b", "nam 12"), (2, "a", "other")):
+        vec = hashed_embedding([mention]).astype("float32").astype("float64")[0]
+        want = sorted((n != mention.lower(), -round(float(v @ vec), 6), n) for n, v in zip(names, vectors))[:3]
+        assert [got[sample, ord_, k] for k in (1, 2, 3)] == [(n, not other) for other, _, n in want]
+    assert len(got) == 9

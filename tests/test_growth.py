@@ -124,3 +124,21 @@ def test_names_stream_past_their_mentions_without_a_table_of_vectors(spark, monk
         want = sorted((n != mention.lower(), -round(float(v @ vec), 6), n) for n, v in zip(names, vectors))[:3]
         assert [got[sample, ord_, k] for k in (1, 2, 3)] == [(n, not other) for other, _, n in want]
     assert len(got) == 9
+
+
+def test_a_vector_goes_to_few_blocks_and_tiles_lose_no_pair(spark, monkeypatch):
+    import numpy as np
+
+    from tripleloom.operators import similarity
+
+    assert [similarity._blocks(n, similarity.BLOCK) for n in (1, 255, 2000, 100_000, 16_384 * 40)] == [1, 1, 7, 24, 40]
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(90, 8))
+    rows[60:] = rows[:30]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, vec array<double>")
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90) if unit[a] @ unit[b] >= 0.5}
+    monkeypatch.setattr(similarity, "STEP", 7)
+    for block in (1000, 40):
+        assert [tuple(r) for r in similarity.similar_pairs(vectors, 0.5, block).select("a", "b").orderBy("a", "b").collect()] == sorted(want)
+        assert similarity.threshold_counts(vectors, [0.5], block).first()["pairs"] == len(want)

@@ -13,8 +13,12 @@ from pyspark.sql.window import Window
 
 from ..plans.checkpoint import cut
 
-#: Vectors of one block; pairs of blocks are compared by their own task.
-BLOCK = 1024
+#: Vectors of one block; pairs of blocks are compared by their own task, and each vector goes to as many tasks as there are blocks.
+BLOCK = 16384
+#: Vectors of a side that a task multiplies at once.
+STEP = 2048
+#: Blocks that few vectors are dealt into, so that tasks share the work, and the fewest vectors of those.
+SPREAD, LEAST = 24, 256
 #: Queries and pool vectors of one block in ``nearest``.
 QUERIES, POOL = 2048, 8192
 
@@ -24,12 +28,27 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
+def _blocks(n: int, block: int) -> int:
+    """How many blocks ``n`` vectors make: no larger than ``block``, and up to ``SPREAD`` of them though they would fit in fewer."""
+    return max(1, -(-n // block), min(SPREAD, n // LEAST))
+
+
+def _tiles(left: pd.Series, right: pd.Series, same: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, column, cosines) of all pairs of two sides, a tile at a time; of one block with itself those on and above the diagonal."""
+    a, b = _matrix(left), _matrix(right)
+    for i in range(0, len(a), STEP):
+        for j in range(i if same else 0, len(b), STEP):
+            yield i, j, a[i : i + STEP] @ b[j : j + STEP].T
+
+
 def _blocked(vectors: DataFrame, block: int, part: str | None = None) -> DataFrame:
     """Each vector once for every pair of blocks that its block is in (lo, hi, side); with ``part`` blocks are a partition's own."""
     if part is None:
-        sized = vectors.withColumn("blocks", F.lit(max(1, -(-vectors.count() // block))))
+        sized = vectors.withColumn("blocks", F.lit(_blocks(vectors.count(), block)))
     else:
-        sized = vectors.join(vectors.groupBy(part).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), part)
+        n = F.count("*")
+        blocks = F.greatest(F.lit(1), F.ceil(n / block), F.least(F.lit(SPREAD), F.floor(n / LEAST))).cast("int")
+        sized = vectors.join(vectors.groupBy(part).agg(blocks.alias("blocks")), part)
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select(*([part] if part else []), "id", "vec", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
@@ -45,12 +64,16 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, part
         left, right = rows[rows["own"] == rows["lo"]], rows[rows["own"] == rows["hi"]]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        sims = _matrix(left["vec"]) @ _matrix(right["vec"]).T
-        i, j = np.nonzero(sims >= threshold)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        same = rows["lo"].iloc[0] == rows["hi"].iloc[0]
-        keep = a < b if same else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": sims[i, j][keep]})
+        same, out = rows["lo"].iloc[0] == rows["hi"].iloc[0], []
+        for at, to, sims in _tiles(left["vec"], right["vec"], same):
+            i, j = np.nonzero(sims >= threshold)
+            # Of a block with itself each pair is met once, above the diagonal.
+            keep = i + at < j + to if same else slice(None)
+            i, j = i[keep], j[keep]
+            a, b = left["id"].to_numpy()[i + at], right["id"].to_numpy()[j + to]
+            other = a != b
+            out.append(pd.DataFrame({"a": np.minimum(a, b)[other], "b": np.maximum(a, b)[other], "cosine": sims[i, j][other]}))
+        return pd.concat(out)
 
     kind = dict(vectors.dtypes)["id"]
     return _blocked(vectors, block, part).groupBy(*([part] if part else []), "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
@@ -61,10 +84,12 @@ def threshold_counts(vectors: DataFrame, thresholds: list[float], block: int = B
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["own"] == rows["lo"]], rows[rows["own"] == rows["hi"]]
-        sims = _matrix(left["vec"]) @ _matrix(right["vec"]).T if len(left) and len(right) else np.zeros((0, 0))
-        if rows["lo"].iloc[0] == rows["hi"].iloc[0]:
-            sims = sims[np.triu_indices(len(sims), 1)]
-        return pd.DataFrame({"threshold": thresholds, "pairs": [int((sims >= t).sum()) for t in thresholds]})
+        pairs, same = [0] * len(thresholds), rows["lo"].iloc[0] == rows["hi"].iloc[0]
+        if len(left) and len(right):
+            for at, to, sims in _tiles(left["vec"], right["vec"], same):
+                found = sims[np.triu_indices(len(sims), 1)] if same and at == to else sims
+                pairs = [n + int((found >= t).sum()) for n, t in zip(pairs, thresholds)]
+        return pd.DataFrame({"threshold": thresholds, "pairs": pairs})
 
     found = _blocked(vectors, block).groupBy("lo", "hi").applyInPandas(count, "threshold double, pairs long")
     return found.groupBy("threshold").agg(F.sum("pairs").alias("pairs"))
